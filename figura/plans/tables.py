@@ -131,3 +131,25 @@ widths AS (
   FROM (SELECT max(len(embedding)) AS d FROM embeddings) d,
        (VALUES ('l', 1), ('la', 3), ('lac', 4)) m(model, k)
 )"""
+
+
+# ---------------------------------------------------------------- vocabulary
+
+def vocabulary(spark: SparkSession, sf_dir: str):
+    """Stand-in word vectors: a term's vector is ``embeddings[vec_id =
+    md5_bucket(term) % floor(1.2 * count(embeddings))]`` (about one key in
+    six has no vector). Two scalars are read from the table."""
+    from figura.operators.features import Vocabulary
+    emb = read(spark, sf_dir, "embeddings")
+    row = emb.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    v = (12 * int(row["n"])) // 10
+    return Vocabulary(emb, "vec_id", "embedding", int(row["d"]), key_fn=lambda t: bucket(t, v))
+
+
+VOCAB_SQL = """
+vsize AS (SELECT (12 * count(*)) // 10 AS v, max(len(embedding)) AS d FROM embeddings),
+dims AS (SELECT unnest(range(0, d)) AS pos FROM vsize)"""
+
+
+def sql_vocab_key(term: str) -> str:
+    return sql_bucket(term, "(SELECT v FROM vsize)")
