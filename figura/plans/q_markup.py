@@ -1 +1,207 @@
-"""Driver queries."""
+"""Driver queries: markup node table (pages, derived XML corpora) and the
+file-format round trips (nested JSON lines, CSV blanks).
+
+Files are staged under the session's shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from figura.functions import text as T
+from figura.operators import corpus
+from figura.plans.catalog import register
+from figura.plans.q_features import _ROLES_SQL, _roles
+from figura.plans.q_text import SQL_WORD_TOKENS, SQL_WS_TOKENS
+from figura.plans.tables import EXAMPLES_SQL, read
+from figura.session import shared_path
+from figura.sources import markup, readers
+
+NL = "chr(10)"
+
+
+def _page_nodes(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return markup.node_table(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("content")))
+
+
+def leaf_tokens(spark, sf_dir):
+    """Tokens of each navigation list: texts of its leaf descendants (the
+    links) in document order."""
+    nodes = _page_nodes(spark, sf_dir)
+    targets = markup.elements(nodes).where(F.col("tag") == "ul").select("doc_id", "pre")
+    toks = markup.leaf_tokens(nodes, targets)
+    return toks.select(F.col("doc_id").cast("bigint").alias("page_id"),
+                       F.size("tokens").alias("n_tokens"), T.join_tokens("tokens").alias("tokens"))
+
+
+_LINK_TEXTS = """array_to_string(regexp_extract_all(substr(html, instr(html, '<ul>'),
+                   instr(html, '</ul>') - instr(html, '<ul>')), '<a href="[^"]*">([^<]*)</a>', 1), ' ')"""
+register("leaf_tokens", f"""
+SELECT page_id, CAST(len({SQL_WS_TOKENS.format(_LINK_TEXTS)}) AS INTEGER) AS n_tokens,
+       array_to_string({SQL_WS_TOKENS.format(_LINK_TEXTS)}, ' ') AS tokens
+FROM pages
+""")(leaf_tokens)
+
+
+def attr_extract(spark, sf_dir):
+    """``a/@href`` values of every page, in document order."""
+    nodes = _page_nodes(spark, sf_dir)
+    vals = markup.attribute_values(nodes, "a", "href")
+    pairs = F.array_sort(F.collect_list(F.struct("pre", "value")))
+    agg = vals.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_href"),
+                                     F.array_join(F.transform(pairs, lambda x: x["value"]), " ").alias("hrefs"))
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"))
+    return (pages.join(agg, "doc_id", "left")
+            .select(F.col("doc_id").cast("bigint").alias("page_id"),
+                    F.coalesce("n_href", F.lit(0)).alias("n_href"),
+                    F.coalesce("hrefs", F.lit("")).alias("hrefs")))
+
+
+register("attr_extract", r"""
+SELECT page_id, CAST(len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS BIGINT) AS n_href,
+       array_to_string(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1), ' ') AS hrefs
+FROM pages
+""")(attr_extract)
+
+
+def node_text(spark, sf_dir):
+    """Text of every ``<style>`` element (text runs under it, in order)."""
+    nodes = _page_nodes(spark, sf_dir)
+    styles = markup.elements(nodes).where(F.col("tag") == "style").select("doc_id", "pre")
+    txt = markup.element_text(nodes, styles, "style_text")
+    return txt.select(F.col("doc_id").cast("bigint").alias("page_id"), "style_text")
+
+
+register("node_text", r"""
+SELECT page_id, unnest(regexp_extract_all(html, '(?s)<style[^>]*>(.*?)</style>', 1)) AS style_text
+FROM pages
+""")(node_text)
+
+
+# ------------------------------------------------------------- XML corpora
+
+def _xml_escape(c):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+
+def conversation_xml(conv):
+    """One XML fragment per conversation: ``text[@xml:id] > u[@who] >
+    s[@n] > w`` (built with Spark string functions)."""
+    lines = F.split(F.col("text"), "\n")
+    sents = F.transform(lines, lambda ln, i: F.concat(
+        F.lit('<s n="'), (i + 1).cast("string"), F.lit('">'),
+        F.array_join(F.transform(T.whitespace_tokens(ln), lambda w: F.concat(F.lit("<w>"), _xml_escape(w), F.lit("</w>"))), " "),
+        F.lit("</s>")))
+    turn_xml = F.concat(F.lit('<u who="'), F.col("role"), F.lit('">'), F.array_join(sents, ""), F.lit("</u>"))
+    body = corpus.ordered_text(conv.select("conv_id", "turn", turn_xml.alias("x")), ["conv_id"], "turn", "x",
+                               sep="", name="body")
+    fid = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-fragment01"))
+    return body.select("conv_id", fid.alias("fragment_id"),
+                       F.concat(F.lit('<text xml:id="'), fid, F.lit('">'), F.col("body"), F.lit("</text>")).alias("xml"))
+
+
+def _fragment_words(nodes):
+    sents = markup.elements(nodes).where(F.col("tag") == "s").select("doc_id", "pre")
+    toks = markup.leaf_tokens(nodes, sents)
+    pairs = F.array_sort(F.collect_list(F.struct("pre", "tokens")))
+    return toks.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_sentences"),
+        F.flatten(F.transform(pairs, lambda x: x["tokens"])).alias("_w")) \
+        .select("doc_id", "n_sentences", F.size("_w").alias("n_words"), F.md5(F.array_join("_w", " ")).alias("words_md5"))
+
+
+def xml_corpus_scan(spark, sf_dir):
+    """Conversations written as (a) one big annotated corpus file read back
+    fragment by fragment and (b) one source file per key read back only for
+    the keys that examples name; both parsed into node tables; sentences
+    and words per fragment, and whether the source file was found."""
+    conv = read(spark, sf_dir, "conversations")
+    xml = conversation_xml(conv)
+    root = shared_path(spark, "xml-corpus")
+    xml.select("xml").write.mode("overwrite").text(f"{root}/annotated")
+    xml.select(F.col("fragment_id").alias("key"), "xml").write.mode("overwrite") \
+        .partitionBy("key").text(f"{root}/source")
+    frags = readers.scan_fragments(spark, f"{root}/annotated")
+    nodes = markup.node_table(frags.withColumnRenamed("fragment_id", "doc_id"))
+    words = _fragment_words(nodes)
+    wanted = conv.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-fragment01")).alias("k"))
+    src = readers.scan_keyed_files(spark, f"{root}/source", wanted, "k")
+    src_ids = src.select(F.col("key").alias("doc_id"), F.lit(True).alias("source_found"))
+    return (words.join(src_ids, "doc_id", "left")
+            .select(F.col("doc_id").alias("fragment_id"), "n_sentences", "n_words", "words_md5",
+                    F.coalesce("source_found", F.lit(False)).alias("source_found")))
+
+
+register("xml_corpus_scan", f"""
+WITH l AS (
+  SELECT conv_id, turn, unnest(range(0, len(string_split(text, {NL})))) AS line,
+         unnest(string_split(text, {NL})) AS ln
+  FROM conversations
+), w AS (
+  SELECT conv_id, turn, line, unnest(range(0, len({SQL_WS_TOKENS.format('ln')}))) AS pos,
+         unnest({SQL_WS_TOKENS.format('ln')}) AS tok
+  FROM l
+), ws AS (
+  SELECT conv_id, count(*) AS n_words, md5(string_agg(tok, ' ' ORDER BY turn, line, pos)) AS words_md5
+  FROM w GROUP BY conv_id
+), ss AS (SELECT conv_id, count(*) AS n_sentences FROM l GROUP BY conv_id)
+SELECT 'c' || CAST(ss.conv_id AS VARCHAR) || '-fragment01' AS fragment_id, ss.n_sentences,
+       CAST(coalesce(ws.n_words, 0) AS INTEGER) AS n_words,
+       coalesce(ws.words_md5, md5('')) AS words_md5, true AS source_found
+FROM ss LEFT JOIN ws ON ss.conv_id = ws.conv_id
+""")(xml_corpus_scan)
+
+
+# ------------------------------------------------------------- JSON lines, CSV
+
+def jsonl_nested_scan(spark, sf_dir):
+    """Labels and nested lemma records written as JSON lines, read back
+    with explicit schemas (two lemma files unioned) and joined."""
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels")
+    root = shared_path(spark, "jsonl")
+    lemma = F.try_element_at(T.word_tokens("text"), F.lit(1))
+    rec = docs.select(F.struct(lemma.alias("U-lemmaByPOS")).alias("x"),
+                      F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"),
+                      F.col("lang"))
+    rec.where(F.col("lang") == "en").drop("lang").write.mode("overwrite").json(f"{root}/lemmas_a")
+    rec.where(F.col("lang") != "en").drop("lang").write.mode("overwrite").json(f"{root}/lemmas_b")
+    labels.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"),
+                  F.col("quality").alias("y")).write.mode("overwrite").json(f"{root}/labels")
+    lem = readers.read_lemmas_jsonl(spark, [f"{root}/lemmas_a", f"{root}/lemmas_b"])
+    lab = readers.read_labels_jsonl(spark, f"{root}/labels")
+    return corpus.join_labels(lab, lem)
+
+
+register("jsonl_nested_scan", f"""
+SELECT 'doc_' || CAST(l.doc_id AS VARCHAR) AS id, l.quality AS y,
+       {SQL_WORD_TOKENS.format('d.text')}[1] AS verb_lemma
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+""")(jsonl_nested_scan)
+
+
+CSV_SCHEMA = "id bigint, y int, genre string, partition string, v string, s string, o string, sentence string"
+
+
+def csv_roundtrip_blanks(spark, sf_dir):
+    """Examples with blank arguments and quoted, comma-bearing sentences
+    written as CSV and read back in both null regimes: blanks stay ''
+    in one, become null in the other; ``NA`` stays a word in the first."""
+    roles = _roles(spark, sf_dir).withColumn("sentence", F.split_part(F.col("text"), F.lit("\n"), F.lit(1))) \
+        .select("id", "y", "genre", "partition", "v", "s", "o", "sentence")
+    path = shared_path(spark, "csv")
+    readers.write_csv(roles, path)
+    keep = readers.read_csv_keep_blanks(spark, path, CSV_SCHEMA)
+    nulls = readers.read_csv_default_na(spark, path, CSV_SCHEMA).select(
+        "id", F.col("s").isNull().alias("s_null"), F.col("o").isNull().alias("o_null"))
+    return keep.join(nulls, "id").select("id", "y", "genre", "partition", "v", "s", "o",
+                                         F.md5("sentence").alias("sentence_md5"), "s_null", "o_null")
+
+
+register("csv_roundtrip_blanks", f"""
+WITH {_ROLES_SQL.strip()}
+SELECT id, y, genre, partition, v, s, o, md5(split_part(text, {NL}, 1)) AS sentence_md5,
+       s = '' AS s_null, o = '' AS o_null
+FROM roles
+""")(csv_roundtrip_blanks)
