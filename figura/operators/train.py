@@ -31,7 +31,10 @@ def fit_predict(df: DataFrame, parts: list[str], model_name: str, classifier=Non
     data = (df.withColumn("_x", array_to_vector(F.concat(*[F.col(p) for p in parts])))
             .withColumn("n_features", F.size(F.concat(*[F.col(p) for p in parts]))))
     train = data.where(F.col(split) == "train")
-    w = class_weight(train, y).first()["pos_weight"]   # one scalar
+    cw = class_weight(train, y).first()   # one row of scalars
+    if not cw["n_pos"] and not cw["n_neg"]:
+        raise ValueError(f"model {model_name}: the train split is empty")
+    w = cw["pos_weight"]
     train = train.withColumn("_w", F.when(F.col(y) == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
     clf.setFeaturesCol("_x").setLabelCol("_label").setWeightCol("_w") \
         .setPredictionCol("_pred").setProbabilityCol("_prob").setRawPredictionCol("_raw")
