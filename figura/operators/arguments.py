@@ -42,15 +42,19 @@ def repair_word_offset(raw: str | Column = "raw_sentence", offset: str | Column
             .otherwise(first.cast("int")))
 
 
-def extract_arguments(deps: DataFrame, keys: list[str]) -> DataFrame:
+def extract_arguments(deps: DataFrame, keys: list[str], order: str = "dependent",
+                      verbs: DataFrame | None = None) -> DataFrame:
     """Subject / object (gloss and lemma) of every candidate verb position.
 
     ``deps``: one row per dependency of a sentence, ``keys`` identify the
     sentence; columns ``dependent`` (1-based index, also the list order),
     ``governor`` (0 = root), ``dep``, ``dependent_gloss``,
-    ``dependent_lemma``, ``governor_gloss``, ``governor_lemma``.
+    ``dependent_lemma``, ``governor_gloss``, ``governor_lemma``; ``order``
+    is the position in the parser's dependency list (by default the
+    dependent index, the order parsers list basic dependencies in).
 
-    Every token is a candidate verb (``word_offset = dependent``). Rules:
+    ``verbs`` lists the examples ``(keys..., word_offset)``; by default
+    every dependent of every sentence is a candidate verb. Rules:
     among dependencies governed by the verb, the last ``nsubj`` is the
     subject and the last ``dobj`` the object. When the verb governs
     nothing, its first ``case`` relation puts the governor in the object
@@ -59,14 +63,18 @@ def extract_arguments(deps: DataFrame, keys: list[str]) -> DataFrame:
     governed = (deps.where(F.col("governor") > 0)
                 .groupBy(*keys, F.col("governor").alias("word_offset"))
                 .agg(F.max(F.when(F.col("dep") == SUBJECT_LABEL,
-                                  F.struct("dependent", "dependent_gloss", "dependent_lemma"))).alias("_s"),
+                                  F.struct(F.col(order).alias("_ord"), "dependent_gloss", "dependent_lemma")))
+                     .alias("_s"),
                      F.max(F.when(F.col("dep") == OBJECT_LABEL,
-                                  F.struct("dependent", "dependent_gloss", "dependent_lemma"))).alias("_o"),
+                                  F.struct(F.col(order).alias("_ord"), "dependent_gloss", "dependent_lemma")))
+                     .alias("_o"),
                      F.lit(True).alias("_gov")))
     first_case = (deps.where(F.col("dep") == CASE_LABEL)
                   .groupBy(*keys, F.col("dependent").alias("word_offset"))
-                  .agg(F.min(F.struct("dependent", "governor_gloss", "governor_lemma")).alias("_c")))
-    verbs = deps.select(*keys, F.col("dependent").alias("word_offset"))
+                  .agg(F.min(F.struct(F.col(order).alias("_ord"), "governor_gloss", "governor_lemma"))
+                       .alias("_c")))
+    if verbs is None:
+        verbs = deps.select(*keys, F.col("dependent").alias("word_offset")).distinct()
     j = (verbs.join(governed, [*keys, "word_offset"], "left")
          .join(first_case, [*keys, "word_offset"], "left"))
     gov = F.coalesce(F.col("_gov"), F.lit(False))

@@ -40,6 +40,15 @@ def nearest_ancestors(targets: DataFrame, candidates: DataFrame, kinds: list[str
     return (targets.select(doc, pre).join(found.withColumnRenamed("_t", pre), [doc, pre], "left"))
 
 
+def context_candidates(nodes: DataFrame) -> DataFrame:
+    """Context-bearing elements of a node table with their kind: ``p``,
+    ``u`` and ``div_<level>`` for divs with a level attribute."""
+    level = F.col("attrs").getItem("level")
+    kind = (F.when(F.col("tag") == "p", F.lit("p")).when(F.col("tag") == "u", F.lit("u"))
+            .when((F.col("tag") == "div") & level.isNotNull(), F.concat(F.lit("div_"), level)))
+    return nodes.select("doc_id", "pre", kind.alias("kind")).where(F.col("kind").isNotNull())
+
+
 def smallest_context(candidates: list[tuple[str, Column]]) -> Column:
     """Among non-null candidate texts, the one with the shortest stripped
     text; ties keep the earlier candidate. Returns ``struct(len, prio,

@@ -375,7 +375,9 @@ def dependency_table(conv):
 def dep_arguments(spark, sf_dir):
     """Subject/object and their lemmas for every token taken as the verb."""
     deps = dependency_table(read(spark, sf_dir, "conversations"))
-    return arguments.extract_arguments(deps, ["conv_id", "turn"])
+    # one dependency per token: the token positions are the candidate verbs
+    verbs = deps.select("conv_id", "turn", F.col("dependent").alias("word_offset"))
+    return arguments.extract_arguments(deps, ["conv_id", "turn"], verbs=verbs)
 
 
 _labels_sql = ", ".join(f"'{x}'" for x in DEP_LABELS)
