@@ -19,6 +19,11 @@ def _py_get(arr: Column, i: Column) -> tuple[Column, Column]:
     return ok, F.lower(F.get(arr, F.when(i < 0, n + i).otherwise(i)))
 
 
+def py_item(arr: Column, i: Column) -> tuple[Column, Column]:
+    """``arr[i].lower()`` with Python indexing: (in_range, value)."""
+    return _py_get(arr, i)
+
+
 def repair_word_offset(raw: str | Column = "raw_sentence", offset: str | Column = "word_offset",
                        verb: str | Column = "verb") -> Column:
     """1-based verb offset repair against the raw tokens.
@@ -90,3 +95,19 @@ def extract_arguments(deps: DataFrame, keys: list[str], order: str = "dependent"
         pick(F.col("_o.dependent_gloss"), F.col("_c.governor_gloss")).alias("object"),
         pick(F.col("_s.dependent_lemma"), F.lit(None)).alias("subject_lemma"),
         pick(F.col("_o.dependent_lemma"), F.col("_c.governor_lemma")).alias("object_lemma"))
+
+
+def deps_long(parsed: DataFrame, key: str = "id") -> DataFrame:
+    """Parser output in nested form (``tokens`` array of ``struct<lemma>``,
+    ``deps`` array of ``struct<dep, governor, governorGloss, dependent,
+    dependentGloss>``) -> one row per dependency with lemmas looked up by
+    1-based index (list position kept as ``dep_pos``)."""
+    lem = F.transform(F.col("tokens"), lambda t: t["lemma"])
+    rows = parsed.select(key, lem.alias("_lem"), F.posexplode("deps").alias("dep_pos", "d"))
+    gov = F.col("d.governor")
+    return rows.select(
+        key, "dep_pos", F.col("d.dependent").alias("dependent"), gov.alias("governor"),
+        F.col("d.dep").alias("dep"), F.col("d.dependentGloss").alias("dependent_gloss"),
+        F.try_element_at(F.col("_lem"), F.col("d.dependent")).alias("dependent_lemma"),
+        F.col("d.governorGloss").alias("governor_gloss"),
+        F.when(gov > 0, F.try_element_at(F.col("_lem"), gov)).alias("governor_lemma"))
