@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour).
 #
-# WS_CLASS: the characters Python's str.split()/str.strip() treat as
-# whitespace: tab, line feed, vertical tab, form feed, carriage return,
+# Whitespace: exactly the characters Python's str.split()/str.strip() treat
+# as whitespace: tab, line feed, vertical tab, form feed, carriage return,
 # U+001C..U+001F, space, U+0085, U+00A0, U+1680, U+2000..U+200A, U+2028,
 # U+2029, U+202F, U+205F, U+3000.
-WS_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# WS_CLASS_SQL spells the set out (for RE2 engines); WS_CLASS is the same
+# set for Java regex: Java's whitespace predicate plus the four characters
+# it leaves out (U+0085, U+00A0, U+2007, U+202F), about 2.5x faster.
+WS_CLASS_SQL = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+WS_CLASS = r"[\p{javaWhitespace}\x{85}\x{A0}\x{2007}\x{202F}]"
 # INFIX_CHARS: characters the punctuation-infix tokenizer splits on:
 # . , ? : ; ‘ ’ ` “ ” " ' ~
 INFIX_CLASS = "[.,?:;‘’`“”\"'~]"
@@ -40,13 +44,15 @@ def strip(c) -> Column:
 
 
 def normalize_whitespace(c) -> Column:
-    """``' '.join(x.split())``: collapse whitespace runs to one space, trim."""
-    return strip(F.regexp_replace(_c(c), f"{WS_CLASS}+", " "))
+    """``' '.join(x.split())``: collapse whitespace runs to one space, trim
+    (after the collapse only plain spaces can remain at the ends)."""
+    return F.trim(F.regexp_replace(_c(c), f"{WS_CLASS}+", " "))
 
 
 def whitespace_tokens(c) -> Column:
-    """``x.split()``: tokens between whitespace runs; ``''`` gives ``[]``."""
-    return F.filter(F.split(_c(c), f"{WS_CLASS}+"), lambda t: t != F.lit(""))
+    """``x.split()``: tokens between whitespace runs; ``''`` gives ``[]``
+    (the only empty pieces a split can leave are at the ends)."""
+    return F.array_remove(F.split(_c(c), f"{WS_CLASS}+"), "")
 
 
 def join_tokens(c, sep: str = " ") -> Column:

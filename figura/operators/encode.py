@@ -93,7 +93,7 @@ def attach_encodings(df: DataFrame, roles: list[str], factory: EncoderFactory, d
     return out
 
 
-def word2vec_vectors(tokens: DataFrame, token_col: str, dim: int = 300, min_count: int = 1,
+def word2vec_vectors(tokens: DataFrame, token_col: str, dim: int = 300, min_count: int = 5,
                      seed: int = 0, max_iter: int = 1):
     """Fit Word2Vec on token arrays; returns the model and its vector table
     ``(word, vector array<float>)``."""

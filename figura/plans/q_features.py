@@ -7,6 +7,7 @@ to ``DIGITS`` so the oracle compare is value based.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from figura.functions import text as T
@@ -139,7 +140,8 @@ def _features(spark, sf_dir):
     vecs = FT.term_vectors(roles, ["v", "s", "o"], vocab)
     toks = roles.select("id", F.explode(T.infix_tokens("text")).alias("token"))
     ctx = FT.mean_pool(toks, "id", "token", vocab, docs=roles.select("id"), dtype="float32")
-    return vecs.join(ctx, "id")
+    # reused by several branches of the calling plans
+    return vecs.join(ctx, "id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def feature_concat(spark, sf_dir):

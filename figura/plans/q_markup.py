@@ -6,6 +6,7 @@ Files are staged under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from figura.functions import text as T
@@ -21,8 +22,10 @@ NL = "chr(10)"
 
 
 def _page_nodes(spark, sf_dir):
+    """Parsed pages, persisted: the node table feeds several joins."""
     pages = read(spark, sf_dir, "pages")
-    return markup.node_table(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("content")))
+    return markup.node_table(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"))) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def leaf_tokens(spark, sf_dir):
@@ -123,7 +126,8 @@ def xml_corpus_scan(spark, sf_dir):
     xml.select(F.col("fragment_id").alias("key"), "xml").write.mode("overwrite") \
         .partitionBy("key").text(f"{root}/source")
     frags = readers.scan_fragments(spark, f"{root}/annotated")
-    nodes = markup.node_table(frags.withColumnRenamed("fragment_id", "doc_id"))
+    nodes = markup.node_table(frags.withColumnRenamed("fragment_id", "doc_id")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     words = _fragment_words(nodes)
     wanted = conv.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-fragment01")).alias("k"))
     src = readers.scan_keyed_files(spark, f"{root}/source", wanted, "k")

@@ -21,7 +21,7 @@ def q(s: str) -> str:
     return s.replace("'", "''")
 
 
-WS = q(text.WS_CLASS)
+WS = q(text.WS_CLASS_SQL)
 
 
 class _Tpl:
@@ -110,7 +110,7 @@ def token_offsets_q(spark, sf_dir):
     return token_offsets(read(spark, sf_dir, "documents"), "doc_id")
 
 
-_NWS = q(NON_WS_CLASS)
+_NWS = q("[^" + text.WS_CLASS_SQL[1:])
 register("token_offsets", f"""
 WITH pieces AS (
   SELECT doc_id,

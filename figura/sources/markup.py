@@ -133,13 +133,25 @@ def element_text(nodes: DataFrame, targets: DataFrame, name: str = "text") -> Da
     return targets.join(got, ["doc_id", "pre"], "left").withColumn(name, F.coalesce(F.col(name), F.lit("")))
 
 
+def child_text(nodes: DataFrame, targets: DataFrame, name: str = "text") -> DataFrame:
+    """Concatenated text runs that are direct children of each target (an
+    equi-join on the parent; for an element without element children this
+    is its full text)."""
+    runs = nodes.where(F.col("tag") == TEXT).select(
+        "doc_id", F.col("parent").alias("pre"), F.col("pre").alias("_tp"), "text")
+    hit = runs.join(targets.select("doc_id", "pre"), ["doc_id", "pre"])
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("_tp"), F.col("text"))))
+    got = hit.groupBy("doc_id", "pre").agg(F.array_join(F.transform(pairs, lambda x: x["text"]), "").alias(name))
+    return targets.join(got, ["doc_id", "pre"], "left").withColumn(name, F.coalesce(F.col(name), F.lit("")))
+
+
 def leaf_tokens(nodes: DataFrame, targets: DataFrame, name: str = "tokens") -> DataFrame:
     """Raw tokens of each target: texts of its leaf descendants in document
     order, joined by spaces and split on whitespace (text lying directly in
     an element that also has element children is not included)."""
     from figura.functions.text import join_tokens, whitespace_tokens
     leaves = leaf_elements(nodes).select("doc_id", "pre", "ancestors")
-    leaf_txt = element_text(nodes, leaves.select("doc_id", "pre"), "ltext").join(leaves, ["doc_id", "pre"])
+    leaf_txt = child_text(nodes, leaves, "ltext")
     up = leaf_txt.select("doc_id", F.col("pre").alias("_lp"), "ltext", F.explode("ancestors").alias("pre"))
     hit = up.join(targets.select("doc_id", "pre"), ["doc_id", "pre"])
     pairs = F.array_sort(F.collect_list(F.struct(F.col("_lp"), F.col("ltext"))))
