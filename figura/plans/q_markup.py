@@ -120,10 +120,11 @@ def xml_corpus_scan(spark, sf_dir):
     the keys that examples name; both parsed into node tables; sentences
     and words per fragment, and whether the source file was found."""
     conv = read(spark, sf_dir, "conversations")
-    xml = conversation_xml(conv)
+    xml = conversation_xml(conv).persist(StorageLevel.MEMORY_AND_DISK)   # written twice
     root = shared_path(spark, "xml-corpus")
     xml.select("xml").write.mode("overwrite").text(f"{root}/annotated")
-    xml.select(F.col("fragment_id").alias("key"), "xml").write.mode("overwrite") \
+    # one file per key: cluster by key so that each key is written once
+    xml.select(F.col("fragment_id").alias("key"), "xml").repartition("key").write.mode("overwrite") \
         .partitionBy("key").text(f"{root}/source")
     frags = readers.scan_fragments(spark, f"{root}/annotated")
     nodes = markup.node_table(frags.withColumnRenamed("fragment_id", "doc_id")) \

@@ -6,7 +6,9 @@ lower-cased, as an HTML parser does with XML) and emits one row per element
 and per text run:
 
     doc_id, pre, post, parent, depth, tag, attrs map<string,string>,
-    text (text runs only), ancestors array<bigint> (root first)
+    text (text runs only), ancestors array<bigint> (root first),
+    child_elements (element children of an element), in_leaf (a text run
+    whose parent element has no element children)
 
 ``pre``/``post`` are document-order numbers (ancestor = pre below and post
 above), ``ancestors`` makes "enclosing element of kind X" an equi-join
@@ -25,86 +27,125 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = ("doc_id string, pre bigint, post bigint, parent bigint, depth int, tag string, "
-               "attrs map<string,string>, text string, ancestors array<bigint>")
+               "attrs map<string,string>, text string, ancestors array<bigint>, "
+               "child_elements int, in_leaf boolean")
 
 TEXT = "#text"
 # HTML elements that never have an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+COLUMNS = ["doc_id", "pre", "post", "parent", "depth", "tag", "attrs", "text", "ancestors",
+           "child_elements", "in_leaf"]
+
+
 class _TreeBuilder(HTMLParser):
+    """Collects node columns (column lists, not row dicts) while parsing."""
+
     def __init__(self, doc_id: str):
         super().__init__(convert_charrefs=True)
         self.doc_id = doc_id
-        self.rows: list[dict] = []
-        self.stack: list[dict] = []
-        self.n = 0
+        self.cols: dict[str, list] = {c: [] for c in COLUMNS[1:]}
+        self.stack: list[tuple[int, str]] = []     # (pre, tag) of open elements
+        self.path: list[int] = []                  # pre numbers of open elements
         self.post = 0
 
-    def _node(self, tag, attrs, text):
-        row = {"doc_id": self.doc_id, "pre": self.n, "post": None,
-               "parent": self.stack[-1]["pre"] if self.stack else None,
-               "depth": len(self.stack), "tag": tag, "attrs": attrs, "text": text,
-               "ancestors": [r["pre"] for r in self.stack]}
-        self.n += 1
-        self.rows.append(row)
-        return row
-
-    def _close(self, row):
-        row["post"] = self.post
+    def _node(self, tag, attrs, text) -> int:
+        c = self.cols
+        pre = len(c["pre"])
+        c["pre"].append(pre)
+        c["post"].append(None)
+        c["parent"].append(self.path[-1] if self.path else None)
+        c["depth"].append(len(self.path))
+        c["tag"].append(tag)
+        c["attrs"].append(attrs)
+        c["text"].append(text)
+        c["ancestors"].append(list(self.path))
+        if tag != TEXT:
+            c["child_elements"].append(0)
+            if self.path:
+                c["child_elements"][self.path[-1]] += 1
+        else:
+            c["child_elements"].append(None)
+        c["in_leaf"].append(None)
+        return pre
+
+    def _close(self, pre: int) -> None:
+        self.cols["post"][pre] = self.post
         self.post += 1
 
     def handle_starttag(self, tag, attrs):
-        row = self._node(tag, {k: (v if v is not None else "") for k, v in attrs}, None)
+        pre = self._node(tag, {k: (v if v is not None else "") for k, v in attrs}, None)
         if tag in VOID:
-            self._close(row)
+            self._close(pre)
         else:
-            self.stack.append(row)
+            self.stack.append((pre, tag))
+            self.path.append(pre)
 
     def handle_startendtag(self, tag, attrs):
         self._close(self._node(tag, {k: (v if v is not None else "") for k, v in attrs}, None))
 
     def handle_endtag(self, tag):
-        if not any(r["tag"] == tag for r in self.stack):
+        if not any(t == tag for _, t in self.stack):
             return  # stray end tag
         while self.stack:
-            row = self.stack.pop()
-            self._close(row)
-            if row["tag"] == tag:
+            pre, t = self.stack.pop()
+            self.path.pop()
+            self._close(pre)
+            if t == tag:
                 break
 
     def handle_data(self, data):
         if data:
             self._close(self._node(TEXT, None, data))
 
-    def finish(self) -> list[dict]:
+    def finish(self) -> dict[str, list]:
         self.close()
         while self.stack:
-            self._close(self.stack.pop())
-        return self.rows
+            pre, _ = self.stack.pop()
+            self.path.pop()
+            self._close(pre)
+        c = self.cols
+        c["doc_id"] = [self.doc_id] * len(c["pre"])
+        c["in_leaf"] = [None if t != TEXT else (p is not None and c["child_elements"][p] == 0)
+                        for t, p in zip(c["tag"], c["parent"])]
+        return c
 
 
 def parse_markup(doc_id: str, content: str) -> list[dict]:
     """Node rows of one document (pure Python; used inside tasks)."""
     b = _TreeBuilder(doc_id)
     b.feed(content or "")
-    return b.finish()
+    cols = b.finish()
+    return [dict(zip(COLUMNS, vals)) for vals in zip(*[cols[c] for c in COLUMNS])]
 
 
 def _parse_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["doc_id", "pre", "post", "parent", "depth", "tag", "attrs", "text", "ancestors"]
     for pdf in it:
-        rows: list[dict] = []
+        acc: dict[str, list] = {c: [] for c in COLUMNS}
         for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
-            rows.extend(parse_markup(str(doc_id), content))
-        out = pd.DataFrame(rows, columns=cols)
+            b = _TreeBuilder(str(doc_id))
+            b.feed(content or "")
+            for c, vals in b.finish().items():
+                acc[c].extend(vals)
+        out = pd.DataFrame(acc, columns=COLUMNS)
         out["parent"] = out["parent"].astype("Int64")
+        out["child_elements"] = out["child_elements"].astype("Int32")
+        out["in_leaf"] = out["in_leaf"].astype("boolean")
         yield out
 
 
-def node_table(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
-    """``(doc_id, content)`` documents -> node table (see module doc)."""
+def node_table(docs: DataFrame, doc_id: str = "doc_id", content: str = "content",
+               min_partitions: int | None = None) -> DataFrame:
+    """``(doc_id, content)`` documents -> node table (see module doc).
+
+    Parsing is CPU-bound Python, so when the input arrives in fewer splits
+    than ``min_partitions`` (default: the cluster's parallelism), the
+    documents are first spread round-robin over that many tasks."""
     src = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content"))
+    want = min_partitions or src.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < want:
+        src = src.repartition(want)
     return src.mapInPandas(_parse_batches, NODE_SCHEMA)
 
 
@@ -115,10 +156,8 @@ def elements(nodes: DataFrame) -> DataFrame:
 
 
 def leaf_elements(nodes: DataFrame) -> DataFrame:
-    """Elements without element children (anti-join on parent)."""
-    el = elements(nodes)
-    parents = el.where(F.col("parent").isNotNull()).select("doc_id", F.col("parent").alias("pre")).distinct()
-    return el.join(parents, ["doc_id", "pre"], "left_anti")
+    """Elements without element children."""
+    return elements(nodes).where(F.col("child_elements") == 0)
 
 
 def element_text(nodes: DataFrame, targets: DataFrame, name: str = "text") -> DataFrame:
@@ -148,15 +187,24 @@ def child_text(nodes: DataFrame, targets: DataFrame, name: str = "text") -> Data
 def leaf_tokens(nodes: DataFrame, targets: DataFrame, name: str = "tokens") -> DataFrame:
     """Raw tokens of each target: texts of its leaf descendants in document
     order, joined by spaces and split on whitespace (text lying directly in
-    an element that also has element children is not included)."""
-    from figura.functions.text import join_tokens, whitespace_tokens
-    leaves = leaf_elements(nodes).select("doc_id", "pre", "ancestors")
-    leaf_txt = child_text(nodes, leaves, "ltext")
-    up = leaf_txt.select("doc_id", F.col("pre").alias("_lp"), "ltext", F.explode("ancestors").alias("pre"))
-    hit = up.join(targets.select("doc_id", "pre"), ["doc_id", "pre"])
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("_lp"), F.col("ltext"))))
-    got = hit.groupBy("doc_id", "pre").agg(
-        join_tokens(F.transform(pairs, lambda x: x["ltext"])).alias("_joined"))
+    an element that also has element children is not included).
+
+    Text runs inside leaves are matched to targets through their ancestor
+    lists; the join and the per-target aggregation share one partitioning
+    on ``(doc_id, pre)``."""
+    from figura.functions.text import whitespace_tokens
+    runs = nodes.where(F.col("in_leaf")).select(
+        "doc_id", F.col("pre").alias("_tp"), F.col("parent").alias("_leaf"), "text",
+        F.explode("ancestors").alias("pre"))
+    hit = runs.join(targets.select("doc_id", "pre"), ["doc_id", "pre"])
+    hit = hit.where(F.col("_leaf") != F.col("pre"))        # the target itself is not its own leaf
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("_tp"), F.col("_leaf"), F.col("text"))))
+    # runs of one leaf are adjacent in document order: glue them, and put a
+    # space between different leaves
+    pieces = F.transform(pairs, lambda x, i: F.when(
+        (i > 0) & (x["_leaf"] != F.element_at(pairs, i)["_leaf"]), F.concat(F.lit(" "), x["text"]))
+        .otherwise(x["text"]))
+    got = hit.groupBy("doc_id", "pre").agg(F.array_join(pieces, "").alias("_joined"))
     return (targets.join(got, ["doc_id", "pre"], "left")
             .withColumn(name, whitespace_tokens(F.coalesce(F.col("_joined"), F.lit("")))).drop("_joined"))
 
