@@ -19,9 +19,10 @@ def predictions_wide(preds: DataFrame, models=("l", "la", "lac"), id_col: str =
 
 
 def annotate(rows: DataFrame, annots: DataFrame, on: str = "id") -> DataFrame:
-    """Left join of rows with a (small) annotation relation; unannotated rows
-    get null labels. Annotations are hand labels of a bounded dev set."""
-    return rows.join(F.broadcast(annots), on, "left")
+    """Left join of rows with an annotation relation; unannotated rows get
+    null labels. No broadcast hint: AQE broadcasts the relation only when
+    its measured size is under the broadcast threshold."""
+    return rows.join(annots, on, "left")
 
 
 def group_counts(df: DataFrame, by: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,23 +11,40 @@ from figura.functions.text import WS_CLASS
 NON_WS_CLASS = "[^" + WS_CLASS[1:]
 
 
+def running_total(rows: DataFrame, keys: list[str], pos: str, amount: str, name: str,
+                  chunk: int = 4096) -> DataFrame:
+    """Inclusive running sum of ``amount`` in ``pos`` order within each key,
+    computed in two levels so that no task holds a whole group: totals per
+    (key, chunk of ``chunk`` positions) are aggregated map-side, a window
+    over those few totals gives each chunk's base, and the final window
+    runs within one chunk."""
+    c = F.floor(F.col(pos) / chunk).alias("_chunk")
+    rows = rows.withColumn("_chunk", c)
+    totals = rows.groupBy(*keys, "_chunk").agg(F.sum(amount).alias("_tot"))
+    wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("_base", F.coalesce(F.sum("_tot").over(wk), F.lit(0))).drop("_tot")
+    wc = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding,
+                                                                       Window.currentRow)
+    return (rows.join(bases, [*keys, "_chunk"])
+            .withColumn(name, F.col("_base") + F.sum(amount).over(wc)).drop("_chunk", "_base"))
+
+
 def token_offsets(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per whitespace token: ``(key, pos, token, start)`` where
     ``start`` is the 0-based character offset of the token in ``text``.
 
     The gap before each token and the token come out of one regex pass; the
-    offset is the running sum of gap + token lengths before it, a window
-    within one text (the text itself is a single row, so its tokens are a
-    bounded group).
-    """
+    offset is the running total of gap + token lengths up to the token,
+    minus its own length (see ``running_total``)."""
     pat = f"({WS_CLASS}*)({NON_WS_CLASS}+)"
     pieces = df.select(
         key,
         F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(pat), 1).alias("gap"),
                      F.regexp_extract_all(F.col(text), F.lit(pat), 2).alias("tok")).alias("z"))
+    # both levels of the running total read the token table: extract once
+    pieces = pieces.persist(StorageLevel.MEMORY_AND_DISK)
     rows = pieces.select(key, F.posexplode("z").alias("pos", "p")).select(
         key, "pos", F.col("p.tok").alias("token"),
-        F.length("p.gap").alias("_g"), F.length("p.tok").alias("_t"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(key, "pos", "token",
-                       (F.sum(F.col("_g") + F.col("_t")).over(w) - F.col("_t")).cast("int").alias("start"))
+        (F.length("p.gap") + F.length("p.tok")).alias("_span"), F.length("p.tok").alias("_t"))
+    out = running_total(rows, [key], "pos", "_span", "_end")
+    return out.select(key, "pos", "token", (F.col("_end") - F.col("_t")).cast("int").alias("start"))
