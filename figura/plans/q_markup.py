@@ -186,22 +186,31 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 """)(jsonl_nested_scan)
 
 
-CSV_SCHEMA = "id bigint, y int, genre string, partition string, v string, s string, o string, sentence string"
+CSV_SCHEMA = "id bigint, v string, s string, o string, sentence string"
 
 
 def csv_roundtrip_blanks(spark, sf_dir):
-    """Examples with blank arguments and quoted, comma-bearing sentences
-    written as CSV and read back in both null regimes: blanks stay ''
-    in one, become null in the other; ``NA`` stays a word in the first."""
+    """Examples written as three CSV files and read back: a header index
+    (id, genre, partition), headerless labels (id, y) and the example rows
+    with blank arguments and quoted, comma-bearing sentences, read in both
+    null regimes (blanks stay '' in one and become null in the other; the
+    word ``NA`` stays a word in the first)."""
     roles = _roles(spark, sf_dir).withColumn("sentence", F.split_part(F.col("text"), F.lit("\n"), F.lit(1))) \
         .select("id", "y", "genre", "partition", "v", "s", "o", "sentence")
     path = shared_path(spark, "csv")
-    readers.write_csv(roles, path)
-    keep = readers.read_csv_keep_blanks(spark, path, CSV_SCHEMA)
-    nulls = readers.read_csv_default_na(spark, path, CSV_SCHEMA).select(
+    readers.write_csv(roles.select("id", "genre", "partition"), f"{path}/index")
+    (roles.select(F.col("id").cast("string").alias("id"), "y").write.mode("overwrite")
+     .csv(f"{path}/labels"))                                   # no header row
+    readers.write_csv(roles.select("id", "v", "s", "o", "sentence"), f"{path}/examples")
+    index = readers.read_index_csv(spark, f"{path}/index", "id bigint, genre string, partition string")
+    labels = readers.read_headerless_labels_csv(spark, f"{path}/labels") \
+        .select(F.col("id").cast("bigint").alias("id"), "y")
+    keep = readers.read_csv_keep_blanks(spark, f"{path}/examples", CSV_SCHEMA)
+    nulls = readers.read_csv_default_na(spark, f"{path}/examples", CSV_SCHEMA).select(
         "id", F.col("s").isNull().alias("s_null"), F.col("o").isNull().alias("o_null"))
-    return keep.join(nulls, "id").select("id", "y", "genre", "partition", "v", "s", "o",
-                                         F.md5("sentence").alias("sentence_md5"), "s_null", "o_null")
+    return (index.join(labels, "id").join(keep, "id").join(nulls, "id")
+            .select("id", "y", "genre", "partition", "v", "s", "o",
+                    F.md5("sentence").alias("sentence_md5"), "s_null", "o_null"))
 
 
 register("csv_roundtrip_blanks", f"""

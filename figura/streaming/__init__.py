@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference pipeline is entirely batch (files in, files out); it has no
+watermarks, windows over event time, or stateful stream operators, so no
+Structured Streaming operators are built here. Every operator in
+``figura.operators`` takes and returns plain DataFrames, so a user who
+needs incremental scoring can call them from ``foreachBatch``.
+"""
