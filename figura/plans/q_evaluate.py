@@ -62,9 +62,9 @@ FROM agg a LEFT JOIN widths w ON a.model = w.model
 def split_sizes(spark, sf_dir):
     ex = with_dev_split(examples(spark, sf_dir))
     sizes = evaluate.split_sizes(ex)
-    integ = evaluate.split_integrity(ex)   # one row: broadcast on a constant key
-    return (sizes.withColumn("_k", F.lit(1))
-            .join(F.broadcast(integ.withColumn("_k", F.lit(1))), "_k").drop("_k"))
+    integ = evaluate.split_integrity(ex)   # one row, attached as scalar subqueries
+    return sizes.select("split", "n", *[integ.select(c).scalar().alias(c)
+                                        for c in ("n_rows", "n_outside", "n_overlap")])
 
 
 register("split_sizes", f"""
