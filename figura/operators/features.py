@@ -70,12 +70,16 @@ def mean_pool(tokens: DataFrame, key: str, token: str, vocab: Vocabulary,
     """Mean of the token vectors of each ``key`` group; unknown tokens count
     as zero vectors, and groups without tokens (rows of ``docs``) get zeros.
 
-    Tokens are first counted per (group, vocabulary key), so each distinct
-    key is joined once per group and enters the mean with its count as
+    Tokens are first counted per (group, token), so each distinct token is
+    mapped and joined once per group and enters the mean with its count as
     weight.
     """
-    counts = (tokens.select(key, vocab.key_fn(F.col(token)).alias("_key"))
-              .groupBy(key, "_key").agg(F.count(F.lit(1)).cast("double").alias("_w")))
+    # count each token per group first (map-side partial aggregation), then
+    # map the distinct (group, token) pairs to vocabulary keys; two tokens
+    # with one key are two weighted rows of the same vector, so the mean is
+    # unchanged
+    counts = (tokens.groupBy(key, F.col(token).alias("_tok")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+              .select(key, vocab.key_fn(F.col("_tok")).alias("_key"), "_w"))
     vecs = (counts.join(vocab.vectors, "_key", "left")
             .select(key, "_w", array_to_vector(F.coalesce(F.col("_vec"), zero_vector(vocab.dim)))
                     .alias("_v")))

@@ -45,13 +45,32 @@ def fit_predict(df: DataFrame, parts: list[str], model_name: str, classifier=Non
 
 
 def ablation(df: DataFrame, feature_sets: dict[str, list[str]] | None = None,
-             classifier=None) -> DataFrame:
-    """Run every feature set on one persisted frame; union the predictions."""
+             classifier=None, concurrent: bool = True) -> DataFrame:
+    """Run every feature set on one persisted frame; union the predictions.
+
+    The models are independent, so by default they are fitted concurrently
+    from driver threads: boosting runs one small job per round, and
+    overlapping the three models keeps the executors busy instead of
+    waiting on per-round job latency."""
+    from concurrent.futures import ThreadPoolExecutor
+
     feature_sets = feature_sets or FEATURE_SETS
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = None
-    for name, parts in feature_sets.items():
+    cached.count()
+
+    def run(item):
+        name, parts = item
         p = fit_predict(cached, parts, name, classifier).persist(StorageLevel.MEMORY_AND_DISK)
-        p.count()   # materialise before the next model reuses the executors
-        out = p if out is None else out.unionByName(p)
+        p.count()   # materialise the predictions once
+        return p
+
+    items = list(feature_sets.items())
+    if concurrent and len(items) > 1:
+        with ThreadPoolExecutor(max_workers=len(items)) as pool:
+            parts = list(pool.map(run, items))
+    else:
+        parts = [run(i) for i in items]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
