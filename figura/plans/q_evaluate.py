@@ -15,7 +15,8 @@ R = DIGITS
 
 
 def _round(expr: str) -> str:
-    return f"round({expr}, {R})"
+    # + 0.0 turns a rounded -0.0 into 0.0, as Spark's decimal rounding does
+    return f"(round({expr}, {R}) + 0.0)"
 
 
 _PRF_SQL = """

@@ -51,7 +51,7 @@ pooled AS (SELECT doc_id, pos, sum(w * val) / sum(w) AS value FROM x GROUP BY 1,
 
 register("mean_pool", f"""
 WITH {VOCAB_SQL}, {_MEAN_POOL_SQL}
-SELECT d.doc_id, CAST(dims.pos AS INTEGER) AS pos, round(coalesce(p.value, 0.0), {R}) AS value
+SELECT d.doc_id, CAST(dims.pos AS INTEGER) AS pos, (round(coalesce(p.value, 0.0), {R}) + 0.0) AS value
 FROM documents d CROSS JOIN dims LEFT JOIN pooled p ON d.doc_id = p.doc_id AND dims.pos = p.pos
 """)(mean_pool)
 
@@ -104,7 +104,7 @@ tv AS (
 
 register("blank_zero_vector", f"""
 WITH {VOCAB_SQL}, {_ROLES_SQL}, {_TERM_VEC_SQL}
-SELECT id, role, term, CAST(pos AS INTEGER) AS pos, round(value, {R}) AS value FROM tv
+SELECT id, role, term, CAST(pos AS INTEGER) AS pos, (round(value, {R}) + 0.0) AS value FROM tv
 """)(blank_zero_vector)
 
 
@@ -127,7 +127,7 @@ def layer_slice(spark, sf_dir):
 register("layer_slice", f"""
 WITH w AS (SELECT max(len(embedding)) // {LAYERS * TOKENS} AS width FROM embeddings)
 SELECT vec_id, CAST(g.pos AS INTEGER) AS pos,
-       round(CAST(embedding[2 * {TOKENS} * w.width + g.pos + 1] AS DOUBLE), {R}) AS value
+       (round(CAST(embedding[2 * {TOKENS} * w.width + g.pos + 1] AS DOUBLE), {R}) + 0.0) AS value
 FROM embeddings, w, (SELECT unnest(range(0, (SELECT width FROM w))) AS pos) g
 """)(layer_slice)
 
@@ -167,7 +167,7 @@ parts AS (
   LEFT JOIN pooled p ON r.id = p.id AND dims.pos = p.pos
 )
 SELECT id, CAST(4 * (SELECT d FROM vsize) AS INTEGER) AS n_features,
-       CAST(part * (SELECT d FROM vsize) + pos AS INTEGER) AS pos, round(value, {R}) AS value
+       CAST(part * (SELECT d FROM vsize) + pos AS INTEGER) AS pos, (round(value, {R}) + 0.0) AS value
 FROM parts
 """)(feature_concat)
 
