@@ -85,13 +85,16 @@ def fragment_ordinals(divs: DataFrame, doc: str = "doc_id", pre: str = "pre",
     """Number the fragments of each document 1, 2, ... in document order:
     level-1 divs, or every div when a document has no level-1 div.
 
-    Only div rows reach the windows, so a window holds one document's
-    fragment headers, not its text."""
-    per_doc = Window.partitionBy(doc)
-    has_l1 = F.max((F.col(level) == "1").cast("int")).over(per_doc)
-    frags = divs.withColumn("_has_l1", F.coalesce(has_l1, F.lit(0))) \
-        .where((F.col("_has_l1") == 0) | (F.col(level) == "1"))
-    return frags.withColumn("fragment_n", F.row_number().over(per_doc.orderBy(pre))).drop("_has_l1")
+    No window spans a whole document: whether a document has level-1 divs
+    is a grouped flag (partial aggregation), and the ordinal is a two-level
+    running count (``running_total`` over chunks of ``pre``)."""
+    from figura.operators.text_ops import running_total
+    flags = divs.groupBy(doc).agg(F.max((F.col(level) == "1").cast("int")).alias("_has_l1"))
+    frags = (divs.join(flags, doc)
+             .where((F.coalesce(F.col("_has_l1"), F.lit(0)) == 0) | (F.col(level) == "1"))
+             .drop("_has_l1").withColumn("_one", F.lit(1)))
+    return running_total(frags, [doc], pre, "_one", "fragment_n") \
+        .withColumn("fragment_n", F.col("fragment_n").cast("int")).drop("_one")
 
 
 def first_sentence(sentences: DataFrame, keys: list[str], pre: str = "pre") -> DataFrame:

@@ -162,3 +162,17 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 45
+
+
+def test_running_total_matches_window_on_skewed_key(spark):
+    from pyspark.sql import Window
+
+    from figura.operators.text_ops import running_total
+    # key "hot" holds 3/4 of the rows and spans many chunks of 16 positions
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, "hot").otherwise("cold").alias("k"),
+                                  (F.col("id") * 3).alias("pos"), (F.col("id") % 7).alias("amt"))
+    got = running_total(df, ["k"], "pos", "amt", "run", chunk=16)
+    w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.withColumn("run", F.sum("amt").over(w))
+    assert sorted(map(tuple, got.select("k", "pos", "run").collect())) == \
+        sorted(map(tuple, want.select("k", "pos", "run").collect()))
