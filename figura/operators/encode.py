@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -100,7 +101,12 @@ def word2vec_vectors(tokens: DataFrame, token_col: str, dim: int = 300, min_coun
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=max_iter,
                    inputCol=token_col, outputCol="_doc_vec",
                    numPartitions=max(1, tokens.sparkSession.sparkContext.defaultParallelism))
-    model = w2v.fit(tokens)
+    # the fit reads its input twice (vocabulary, then training): tokenise once
+    cached = tokens.select(token_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = w2v.fit(cached)
+    finally:
+        cached.unpersist()
     vectors = model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
     return model, vectors
 
