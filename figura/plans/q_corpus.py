@@ -218,7 +218,7 @@ WITH t AS (
 ), s AS (
   SELECT doc_id, turn, line, turn_pre + 1 + line AS pre FROM lines
 )
-SELECT s.doc_id AS conv_id, s.turn, s.line,
+SELECT s.doc_id AS conv_id, s.turn, CAST(s.line AS INTEGER) AS line,
        max(CASE WHEN n.kind = 'p' THEN n.pre END) AS p_pre,
        max(CASE WHEN n.kind = 'u' THEN n.pre END) AS u_pre,
        CAST(NULL AS BIGINT) AS div_4_pre, CAST(NULL AS BIGINT) AS div_3_pre,
@@ -412,7 +412,7 @@ WITH s AS (
   SELECT conv_id, turn, dependent AS w, arg_min(governor_gloss, dependent) AS cg, arg_min(governor_lemma, dependent) AS cl
   FROM deps WHERE dep = 'case' GROUP BY 1, 2, 3
 )
-SELECT v.conv_id, v.turn, v.dependent AS word_offset,
+SELECT v.conv_id, v.turn, CAST(v.dependent AS INTEGER) AS word_offset,
        CASE WHEN g.w IS NOT NULL THEN coalesce(lower(g.sg), '') ELSE '' END AS subject,
        CASE WHEN g.w IS NOT NULL THEN coalesce(lower(g.og), '') ELSE coalesce(lower(c.cg), '') END AS object,
        CASE WHEN g.w IS NOT NULL THEN coalesce(lower(g.sl), '') ELSE '' END AS subject_lemma,
