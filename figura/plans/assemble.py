@@ -20,6 +20,7 @@ runs inside the markup scan that produced the node tables.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +56,13 @@ def source_genres(nodes: DataFrame) -> DataFrame:
 
 def source_contexts(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request ``(bnc_file, bnc_file_n, sentence_number)``: the
-    texts of the enclosing paragraph, utterance, level-4/3/2 divs and the
-    fragment, the sentence text, and the document genre."""
+    smallest enclosing context (paragraph, utterance, level-4/3/2 div, or
+    the fragment; shortest stripped text, ties to the earlier kind), its
+    kind, the sentence span inside it, and the document genre.
+
+    Candidates are compared by stripped length computed from text-run
+    statistics; only the winning element's text is ever built, so a large
+    fragment is not copied onto every sentence that asks for it."""
     el = markup.elements(nodes)
     divs = el.where(F.col("tag") == "div").select("doc_id", "pre", F.col("attrs").getItem("level").alias("level"))
     frags = context.fragment_ordinals(divs).select("doc_id", F.col("pre").alias("frag_pre"), "fragment_n")
@@ -69,26 +75,35 @@ def source_contexts(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     hit = (req.join(s_in_frag.withColumnRenamed("fragment_n", "bnc_file_n"), ["doc_id", "bnc_file_n", "n"])
            .groupBy("doc_id", "bnc_file", "bnc_file_n", "sentence_number")
            .agg(F.min(F.struct("s_pre", "frag_pre")).alias("_h"))
-           .select("doc_id", "bnc_file", "bnc_file_n", "sentence_number", "_h.s_pre", "_h.frag_pre"))
+           .select("doc_id", "bnc_file", "bnc_file_n", "sentence_number", "_h.s_pre", "_h.frag_pre")
+           .persist(StorageLevel.MEMORY_AND_DISK))     # read by four branches below
     targets = hit.select("doc_id", F.col("s_pre").alias("pre")).distinct() \
         .join(s.select("doc_id", F.col("s_pre").alias("pre"), "ancestors"), ["doc_id", "pre"])
     near = context.nearest_ancestors(targets, context.context_candidates(nodes), KINDS)
-    # all element texts needed, computed once each
-    wanted = near.select("doc_id", F.col("pre").alias("s_pre"), F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.col(k).alias("a")) for k in KINDS])).alias("x")) \
-        .select("doc_id", "s_pre", "x.kind", "x.a").where(F.col("a").isNotNull())
-    wanted = wanted.unionByName(hit.select("doc_id", "s_pre", F.lit("div_1").alias("kind"),
-                                           F.col("frag_pre").alias("a")))
-    wanted = wanted.unionByName(hit.select("doc_id", "s_pre", F.lit("sentence_text").alias("kind"),
-                                           F.col("s_pre").alias("a")))
-    texts = markup.element_text(nodes, wanted.select("doc_id", F.col("a").alias("pre")).distinct())
-    per_s = (wanted.join(texts.withColumnRenamed("pre", "a"), ["doc_id", "a"])
-             .groupBy("doc_id", "s_pre")
-             .agg(*[F.max(F.when(F.col("kind") == k, F.col("text"))).alias(LEVEL_COLS.get(k, k))
-                    for k in [*KINDS, "div_1", "sentence_text"]]))
-    return (hit.join(per_s, ["doc_id", "s_pre"], "left")
+    # candidate contexts of every sentence, in tie-break order
+    cand = near.select("doc_id", F.col("pre").alias("s_pre"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("prio"), F.lit(LEVEL_COLS[k]).alias("kind"), F.col(k).alias("a"))
+        for i, k in enumerate(KINDS)])).alias("x")) \
+        .select("doc_id", "s_pre", "x.prio", "x.kind", "x.a").where(F.col("a").isNotNull())
+    cand = cand.unionByName(hit.select("doc_id", "s_pre", F.lit(len(KINDS)).alias("prio"),
+                                       F.lit("div_1").alias("kind"), F.col("frag_pre").alias("a"))) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    lens = markup.element_stripped_lengths(nodes, cand.select("doc_id", F.col("a").alias("pre")), "slen")
+    best = (cand.join(lens.withColumnRenamed("pre", "a"), ["doc_id", "a"])
+            .groupBy("doc_id", "s_pre").agg(F.min(F.struct("slen", "prio", "kind", "a")).alias("_b"))
+            .select("doc_id", "s_pre", F.col("_b.kind").alias("min_kind"), F.col("_b.a").alias("a")))
+    # texts of the winners and of the sentences only
+    need = best.select("doc_id", F.col("a").alias("pre")).unionByName(
+        hit.select("doc_id", F.col("s_pre").alias("pre"))).distinct()
+    texts = markup.element_text(nodes, need)
+    win = best.join(texts.select("doc_id", F.col("pre").alias("a"), F.col("text").alias("_ctx")), ["doc_id", "a"])
+    sent = texts.select("doc_id", F.col("pre").alias("s_pre"), F.col("text").alias("_sent"))
+    out = (hit.join(win, ["doc_id", "s_pre"], "left").join(sent, ["doc_id", "s_pre"], "left")
+           .withColumn("min_context", T.normalize_whitespace("_ctx")))
+    span = T.char_span(F.col("min_context"), T.normalize_whitespace(F.col("_sent")))
+    return (out.withColumn("sentence_start_idx", span["start"]).withColumn("sentence_end_idx", span["end"])
             .join(source_genres(nodes).select("doc_id", "genre"), "doc_id", "left")
-            .drop("doc_id", "s_pre", "frag_pre"))
+            .drop("doc_id", "s_pre", "frag_pre", "a", "_ctx", "_sent"))
 
 
 def assemble_examples(train_index: DataFrame, train_labels: DataFrame, test_labels: DataFrame,
@@ -96,18 +111,20 @@ def assemble_examples(train_index: DataFrame, train_labels: DataFrame, test_labe
                       lemmas: DataFrame) -> DataFrame:
     """The example table (one row per labelled verb). The node tables are
     read several times, so they are persisted (memory, spilling to disk)."""
-    from pyspark import StorageLevel
     annotated = annotated.persist(StorageLevel.MEMORY_AND_DISK)
     source = source.persist(StorageLevel.MEMORY_AND_DISK)
+    # parse once, before the many branches that read the node tables start
+    annotated.count()
+    source.count()
     keys = ["bnc_file", "bnc_file_n", "sentence_number"]
-    sents = annotated_sentences(annotated)
+    sents = annotated_sentences(annotated).persist(StorageLevel.MEMORY_AND_DISK)   # train and test
     train = corpus.join_labels(corpus.parse_train_ids(train_index), train_labels)
     train = context.lookup_sentences(train, sents).drop("pre")
     test = corpus.parse_test_ids(test_labels)
     ok, token = arguments.py_item(F.col("raw_sentence"), F.col("word_offset") - 1)
     test = context.lookup_sentences(test, sents).drop("pre").withColumn("verb", F.when(ok, token))
     requests = train.select(*keys).unionByName(test.select(*keys))
-    ctx = context.with_min_context(source_contexts(source, requests))
+    ctx = source_contexts(source, requests)
     train = train.join(ctx.drop("genre"), keys, "left")
     test = (test.join(ctx, keys, "left")
             .withColumn("partition", F.lit("test")).withColumn("fold_no", F.lit(0)))
@@ -119,7 +136,7 @@ def assemble_examples(train_index: DataFrame, train_labels: DataFrame, test_labe
     for c in ("subject", "object", "subject_lemma", "object_lemma"):
         ex = ex.withColumn(c, F.coalesce(F.col(c), F.lit("")))
     ex = corpus.join_lemmas(ex, lemmas)
-    return corpus.finalize_examples(ex.drop("sentence_text", "min_kind"))
+    return corpus.finalize_examples(ex.drop("min_kind"))
 
 
 def assembly_rejects(examples: DataFrame) -> DataFrame:

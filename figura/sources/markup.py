@@ -172,6 +172,40 @@ def element_text(nodes: DataFrame, targets: DataFrame, name: str = "text") -> Da
     return targets.join(got, ["doc_id", "pre"], "left").withColumn(name, F.coalesce(F.col(name), F.lit("")))
 
 
+def element_stripped_lengths(nodes: DataFrame, targets: DataFrame, name: str = "stripped_len") -> DataFrame:
+    """``len(text.strip())`` of each target element's full text, computed
+    from per-run statistics without building the text.
+
+    The stripped length is the total length minus the leading whitespace
+    (whole blank runs before the first non-blank run, plus that run's own
+    leading whitespace) and the trailing whitespace (likewise at the end).
+    Two grouped aggregations over the runs, no text concatenation."""
+    from figura.functions.text import WS_CLASS
+    t = F.col("text")
+    runs = nodes.where(F.col("tag") == TEXT).select(
+        "doc_id", F.col("pre").alias("_tp"), F.length(t).alias("_len"),
+        t.rlike(f"^{WS_CLASS}*$").alias("_blank"),
+        (F.length(t) - F.length(F.regexp_replace(t, f"^{WS_CLASS}+", ""))).alias("_lead"),
+        (F.length(t) - F.length(F.regexp_replace(t, f"{WS_CLASS}+$", ""))).alias("_trail"),
+        F.explode("ancestors").alias("pre"))
+    hit = runs.join(targets.select("doc_id", "pre").distinct(), ["doc_id", "pre"])
+    ends = hit.groupBy("doc_id", "pre").agg(
+        F.sum("_len").alias("_total"),
+        F.min(F.when(~F.col("_blank"), F.struct("_tp", "_lead"))).alias("_first"),
+        F.max(F.when(~F.col("_blank"), F.struct("_tp", "_trail"))).alias("_last"))
+    edges = (hit.join(ends.select("doc_id", "pre", F.col("_first._tp").alias("_f"), F.col("_last._tp").alias("_l")),
+                      ["doc_id", "pre"])
+             .groupBy("doc_id", "pre")
+             .agg(F.sum(F.when(F.col("_tp") < F.col("_f"), F.col("_len")).otherwise(0)).alias("_head"),
+                  F.sum(F.when(F.col("_tp") > F.col("_l"), F.col("_len")).otherwise(0)).alias("_tail")))
+    lens = ends.join(edges, ["doc_id", "pre"]).select(
+        "doc_id", "pre",
+        F.when(F.col("_first").isNull(), F.lit(0)).otherwise(
+            F.col("_total") - F.col("_head") - F.col("_first._lead") - F.col("_tail") - F.col("_last._trail"))
+        .cast("int").alias(name))
+    return targets.join(lens, ["doc_id", "pre"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+
+
 def child_text(nodes: DataFrame, targets: DataFrame, name: str = "text") -> DataFrame:
     """Concatenated text runs that are direct children of each target (an
     equi-join on the parent; for an element without element children this

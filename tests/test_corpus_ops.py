@@ -157,3 +157,18 @@ def test_first_sentence_is_first_in_document_order(spark, n):
     got = sorted((r.sentence_number, r.sentence) for r in
                  context.lookup_sentences(ex, s.repartition(n)).collect())
     assert got == [("1", "early"), ("3", None)]
+
+
+def test_stripped_lengths_match_text(spark):
+    from figura.functions.text import strip
+    docs = spark.createDataFrame(
+        [("a", "<d><p>  </p><p> x y \n</p><q>\t</q></d>"),
+         ("b", "<d>\n<s> </s>\n</d>"),
+         ("c", "<d><w>ab</w> <w> c </w></d>"),
+         ("e", "<d></d>")], "doc_id string, content string")
+    nodes = markup.node_table(docs).persist()
+    el = markup.elements(nodes).select("doc_id", "pre")
+    got = {(r.doc_id, r.pre): r.stripped_len for r in markup.element_stripped_lengths(nodes, el).collect()}
+    want = {(r.doc_id, r.pre): r.n for r in markup.element_text(nodes, el)
+            .select("doc_id", "pre", F.length(strip("text")).alias("n")).collect()}
+    assert got == want
