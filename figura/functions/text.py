@@ -70,6 +70,16 @@ def word_tokens(c) -> Column:
         & ~w.startswith("_"))
 
 
+def first_word(c) -> Column:
+    """``word_tokens(c)[0]`` or ``''``, without tokenising the whole text:
+    the first maximal word run of 2..15 characters not starting with an
+    underscore (lookarounds make the run maximal), found by one
+    ``regexp_extract`` that stops at the first match."""
+    w = WORD_CLASS
+    pat = f"(?<!{w})(?!_)({w}{{{WORD_MIN_LEN},{WORD_MAX_LEN}}})(?!{w})"
+    return F.regexp_extract(F.lower(_c(c)), pat, 1)
+
+
 def infix_tokens(c) -> Column:
     """Punctuation-infix tokenizer: every infix character becomes its own
     token, the rest splits on whitespace."""

@@ -39,7 +39,7 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 
 
 def _first_word(c):
-    return F.try_element_at(T.word_tokens(c), F.lit(1))
+    return F.nullif(T.first_word(c), F.lit(""))     # null when the text has no word
 
 
 def lemma_join_union(spark, sf_dir):

@@ -65,7 +65,7 @@ def _roles(spark, sf_dir):
     ex = examples(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
 
     def word(c):
-        return F.coalesce(F.try_element_at(T.word_tokens(c), F.lit(1)), F.lit(""))
+        return T.first_word(c)
     line = lambda k: F.split_part(F.col("text"), F.lit("\n"), F.lit(k))
     return ex.select("id", "y", "partition", "genre", "text",
                      word(F.col("text")).alias("v"), word(line(2)).alias("s"), word(line(3)).alias("o"))

@@ -166,7 +166,7 @@ def jsonl_nested_scan(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels")
     root = shared_path(spark, "jsonl")
-    lemma = F.try_element_at(T.word_tokens("text"), F.lit(1))
+    lemma = F.nullif(T.first_word("text"), F.lit(""))
     rec = docs.select(F.struct(lemma.alias("U-lemmaByPOS")).alias("x"),
                       F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"),
                       F.col("lang"))

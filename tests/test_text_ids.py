@@ -101,3 +101,10 @@ def test_union_by_name_and_joins(spark):
     lem1 = spark.createDataFrame([("a", "go")], "id string, verb_lemma string")
     lem2 = spark.createDataFrame([("c", "be")], "id string, verb_lemma string")
     assert rows_of(corpus.join_lemmas(u, lem1, lem2), "id", "verb_lemma") == [("a", "go")]
+
+
+@pytest.mark.parametrize("s", ["Hello, World42 it's", "_x y2k", "a incomprehensibilitiesxx bb", "", "É_té x"])
+def test_first_word_equals_first_token(spark, s):
+    df = spark.createDataFrame([(s,)], "x string")
+    r = df.select(text.first_word("x").alias("a"), text.word_tokens("x").alias("b")).first()
+    assert r.a == (r.b[0] if r.b else "")
