@@ -44,6 +44,25 @@ def fit_predict(df: DataFrame, parts: list[str], model_name: str, classifier=Non
                          F.col("_pred").cast("int").alias("pred"), "n_features")
 
 
+def sized_for_training(df: DataFrame, feature_sets: dict[str, list[str]],
+                       target_bytes: int = 128 << 20) -> DataFrame:
+    """Persist the training frame in partitions of about ``target_bytes`` of
+    feature data (rows x widest feature vector x 8 bytes).
+
+    Boosting runs several jobs per round over this frame, so its partition
+    count is chosen from its size rather than inherited from the shuffle
+    setting (AQE does not coalesce the partitions of a cached plan)."""
+    import math
+    parts = sorted({p for ps in feature_sets.values() for p in ps})
+    probe = df.select(F.count(F.lit(1)).alias("n"),
+                      F.max(F.size(F.concat(*[F.col(p) for p in parts]))).alias("w")).first()
+    n, w = int(probe["n"] or 0), int(probe["w"] or 0)
+    n_parts = max(1, math.ceil(n * max(w, 1) * 8 / target_bytes))
+    out = df.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 def ablation(df: DataFrame, feature_sets: dict[str, list[str]] | None = None,
              classifier=None, concurrent: bool = True) -> DataFrame:
     """Run every feature set on one persisted frame; union the predictions.
@@ -55,8 +74,7 @@ def ablation(df: DataFrame, feature_sets: dict[str, list[str]] | None = None,
     from concurrent.futures import ThreadPoolExecutor
 
     feature_sets = feature_sets or FEATURE_SETS
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cached.count()
+    cached = sized_for_training(df, feature_sets)
 
     def run(item):
         name, parts = item
