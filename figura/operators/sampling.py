@@ -70,9 +70,11 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     and checkpointed so the numbering is stable; each partition's offset is
     the running total of the (one-per-partition) counts before it.
     """
-    spark = df.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(p, *order_cols)
+    # without an explicit count AQE sizes the range partitions; coalesced
+    # partitions are contiguous ranges read in order, so numbering holds
+    ranged = (df.repartitionByRange(partitions, *order_cols) if partitions
+              else df.repartitionByRange(*order_cols))
+    ranged = (ranged
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)

@@ -81,6 +81,10 @@ def test_dense_index(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(13)
     got = dense_index(df, ["k"], name="i", start=1, partitions=5).collect()
     assert sorted((r.k, r.i) for r in got) == [(k, k + 1) for k in range(1000)]
+    # partition count left to AQE
+    big = spark.range(30000).select(((F.col("id") * 7919) % 30000).alias("k")).repartition(13)
+    got = dense_index(big, ["k"], name="i").collect()
+    assert sorted((r.k, r.i) for r in got) == [(k, k) for k in range(30000)]
 
 
 def test_vector_helpers(spark):
