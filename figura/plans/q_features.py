@@ -217,8 +217,9 @@ def feature_store_roundtrip(spark, sf_dir):
     d = FT.context_dictionary(f)
     facts = FT.gather_contexts(f, d).select(
         "id", "ctx_id", F.col("y").cast("int").alias("y"), "partition", "genre", "v_emb", "s_emb", "o_emb")
-    dims = d.join(f.select("min_context", "ctx_emb").dropDuplicates(["min_context"]), "min_context") \
-        .select("ctx_id", "min_context", "ctx_emb")
+    # one vector per context, joined on the 32-byte context key, not the text
+    vec = f.select(F.sha2(F.col("min_context"), 256).alias("ctx_key"), "ctx_emb").dropDuplicates(["ctx_key"])
+    dims = d.join(vec, "ctx_key").select("ctx_id", "min_context", "ctx_emb")
     path = shared_path(spark, "feature-store")
     FT.write_feature_store(facts, dims, path)
     facts_r, dims_r = FT.read_feature_store(spark, path)
