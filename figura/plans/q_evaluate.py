@@ -9,7 +9,7 @@ from figura.operators import analysis, evaluate
 from figura.plans.catalog import register
 from figura.plans.tables import (DIGITS, MODEL_PAIRS, PREDICTIONS_SQL, SPLIT_SQL,
                                  WIDTHS_SQL, examples, feature_widths, predictions,
-                                 read, with_dev_split)
+                                 with_dev_split)
 
 R = DIGITS
 

@@ -14,7 +14,7 @@ from figura.operators import corpus
 from figura.plans.catalog import register
 from figura.plans.q_features import _ROLES_SQL, _roles
 from figura.plans.q_text import SQL_WORD_TOKENS, SQL_WS_TOKENS
-from figura.plans.tables import EXAMPLES_SQL, read
+from figura.plans.tables import read
 from figura.session import shared_path
 from figura.sources import markup, readers
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from figura.functions import ids, text
+from figura.functions import text
 from figura.operators import corpus
-from figura.operators.text_ops import NON_WS_CLASS, token_offsets
+from figura.operators.text_ops import token_offsets
 from figura.plans.catalog import register
 from figura.functions.hashing import bucket
 from figura.plans.tables import read, sql_bucket
