@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -39,19 +41,41 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "16g"))
+               .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for k, v in PLAN_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make a session ready for this package: a checkpoint folder and, once
+    per session, the package itself on every executor."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers (a zip of its sources), so that
+    they can import it from any working folder and on any machine."""
+    sc = spark.sparkContext
+    if getattr(sc, "_figura_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="figura-pkg-")) / "figura.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(str(out))
+    sc._figura_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder, creating a local one
-    only when none is configured (tests, single machine)."""
+    only when none is configured and the master is this machine; on a cluster
+    a missing setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -59,6 +83,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
+    elif not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="figura-ckpt-"))
     return sc.getCheckpointDir()
