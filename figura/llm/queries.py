@@ -30,7 +30,7 @@ def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op3_line_runs", sql=f"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM documents WHERE text IS NOT NULL),
 p AS (
   SELECT doc_id, unnest(range(len(l))) AS o, unnest(l) AS line FROM d),
@@ -74,7 +74,7 @@ WITH t AS (
   SELECT doc_id, coalesce(trim(source), '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 g AS (
   SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
