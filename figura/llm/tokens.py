@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark's tasks are the parallelism
 
@@ -22,77 +21,74 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
 
 
+class Irregular(Exception):
+    """A piece that does not tokenise alone as it does in place."""
+
+
+class _Known(dict):
+    """Ids by piece, filled on demand; emptied when it holds ``room`` pieces."""
+
+    def __init__(self, make, room: int):
+        super().__init__()
+        self.make, self.room = make, room
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.make(piece)
+        if len(self) >= self.room:
+            self.clear()
+        self[piece] = got
+        return got
+
+
 class Encoder:
     """Encodes texts to arrays of ids like ``Tokenizer.encode(text,
     add_special_tokens=False)``, followed by ``end`` if that is given.
 
-    ``spaced``: a piece carries the space before it (byte-level vocabularies);
-    otherwise white space is dropped and letters are lower-cased.
+    Pieces carry the space before them if the vocabulary has no normalizer
+    (``spaced``); otherwise white space is dropped and letters lower-cased.
     """
 
-    def __init__(self, path: str, end: int | None = None, room: int = 300_000):
+    def __init__(self, path: str, end: int | None = None, room: int = 500_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = b"" if end is None else np.array([end], np.uint32).tobytes()
+        self.end = b"" if end is None else array("I", [end]).tobytes()
         self.spaced = self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.room = self.tokenizer.model, room
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known = _Known(self._piece, room)
+        self.words = _Known(self._model, room)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _model(self, part: str) -> bytes:
-        mapped = part.encode().decode("latin-1").translate(_BYTES)
-        return np.array([t.id for t in self.model.tokenize(mapped)], np.uint32).tobytes()
+        mapped = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece; one Latin-1 word with ASCII marks behind it is
         given to the model at once, anything else to the whole tokenizer."""
+        if self.spaced and (not piece or piece[-1].isspace() or piece[0] == " " and piece[1].isspace()):
+            raise Irregular
         m = _TAIL.search(piece)
-        word, tail = (piece[:m.start()], m[0]) if m else (piece, "")
+        word = piece[:m.start()] if m else piece
         bare = word[1:] if self.spaced and word[:1] == " " else word
-        if not bare.isalpha() or max(bare) > "\xff":
+        if not bare.isalpha() or not bare.isascii() and max(bare) > "\xff":
             return self._whole(piece)
-        if not self.spaced:
-            word = word.lower()
-        out = self.words.get(word)
-        if out is None:
-            if len(self.words) >= self.room:
-                self.words.clear()
-            out = self.words[word] = self._model(word)
-        if tail:
-            marks = self.words.get(tail)
-            if marks is None:
-                marks = self.words[tail] = self._model(tail)
-            out += marks
-        return out
+        ids = self.words[word if self.spaced else word.lower()]
+        return ids + self.words[m[0]] if m else ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return self.end
-        if any(a in text for a in self.added):
+        if "\0" in text or any(a in text for a in self.added):
             return self._whole(text) + self.end
-        if self.spaced:
-            pieces = text.replace(" ", "\0 ").split("\0")
-            if "\0" in text or any(len(p) == 1 or p[-1:].isspace() or p[1:2].isspace() for p in pieces[1:]) \
-                    or not pieces[0] or pieces[0][-1:].isspace():
-                return self._whole(text) + self.end
-        else:
-            pieces = text.split()
-        known = self.known
+        pieces = text.replace(" ", "\0 ").split("\0") if self.spaced else text.split()
         try:
-            return b"".join([known[p] for p in pieces]) + self.end
-        except KeyError:
-            pass
-        if len(known) >= self.room:
-            known.clear()
-        for p in pieces:
-            if p not in known:
-                known[p] = self._piece(p)
-        return b"".join([known[p] for p in pieces]) + self.end
+            return b"".join(map(self.known.__getitem__, pieces)) + self.end
+        except Irregular:
+            return self._whole(text) + self.end
 
 
 _HELD: dict[tuple, Encoder] = {}
