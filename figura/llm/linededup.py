@@ -127,7 +127,8 @@ def delete_repeats(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
     Rows that agree in doc_id and text get the same result; other columns pass
     through, whatever their names.
     """
-    runs = repeated_runs(docs, min_words, doc_id, text)
+    # the same plan at every size: texts are dealt once by document, the runs are the hashed side
+    runs = repeated_runs(docs, min_words, doc_id, text).hint("shuffle_hash")
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"))
     t = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), key.alias("d")).join(runs, "d", "left")
     t = t.select("row", "runs", _lines(F.col(f"row.{text}")).alias("all"),
