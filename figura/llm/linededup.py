@@ -103,7 +103,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
     first = table.select("d", F.col("o").alias("s"), "depth", F.col("rank").alias("left"))
     second = table.select("d", F.col("o").alias("t"), "depth", F.col("rank").alias("right"))
     named = stage(w.join(first, ["d", "s", "depth"]).join(second, ["d", "t", "depth"]).select("d", "s", "n", "left", "right"), "line-intervals")
-    heads = named.groupBy("n", "left", "right").agg(F.min(F.struct("d", "s")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    # written before the join, which then may split a hot interval's rows
+    heads = stage(named.groupBy("n", "left", "right").agg(F.min(F.struct("d", "s")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"), "line-heads")
     later = named.join(heads, ["n", "left", "right"]).where(F.struct("d", "s") != F.col("head")).select("d", "s", (F.col("s") + F.col("n")).alias("e"))
     before = Window.partitionBy("d").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("d").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -112,7 +113,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
             .groupBy("d", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
             .groupBy("d").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs")))
     out = stage(runs, "line-runs")
-    drop_staged(*staged, named)
+    drop_staged(*staged, named, heads)
     return out
 
 
