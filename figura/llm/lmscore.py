@@ -34,6 +34,8 @@ from figura.llm.common import stage, tasks
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
+#: Bits of an n-gram's hash that are kept: 2 ** 40 n-grams share one by chance about once in 2 ** 17.
+KEY_BITS = 56
 
 
 def ngrams(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +49,8 @@ def ngrams(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     prev = np.concatenate([[_MIX], w[:-1]])
     x = (prev ^ (prev >> np.uint64(29))) * _MIX + w
     x = (x ^ (x >> np.uint64(32))) * _MIX
-    return prev & ~_ONE, (x ^ (x >> np.uint64(29))) | _ONE
+    drop = np.uint64(64 - KEY_BITS + 1)
+    return (prev >> drop) << _ONE, ((x ^ (x >> np.uint64(29))) >> drop) << _ONE | _ONE
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -90,7 +93,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[li
 
 def _by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """Sorted keys cut by their top bits."""
-    shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    shard = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]])
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         if b > a:
@@ -148,7 +151,7 @@ def train(target: DataFrame, background: DataFrame, bits: int, chunk_tokens: int
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, doc_id: str = "doc_id",
                              text: str = "text", add: float = 0.01, shard_bytes: int = 16 << 20,
-                             chunk_tokens: int = 1_000_000, heavy: int = 1 << 15) -> DataFrame:
+                             chunk_tokens: int = 2_000_000, heavy: int = 1 << 17) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens and score, the mean of
     target loss less background loss in bits per token.
 
@@ -194,8 +197,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     kind = dict(texts(docs).dtypes)["doc_id"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each chunk: a row with its documents' token counts and heavy
-        n-grams' sums (shard -1), and its other n-grams by shard."""
+        """For each chunk: its n-grams by shard, and a row (beyond the shards)
+        with its documents' token counts and the sums of heavy n-grams."""
         hot_keys, hot_terms = known.value
         for ids, ctx, big in _chunks(batches, chunk_tokens):
             keys = np.concatenate([x for pair in zip(ctx, big, strict=True) for x in pair])
@@ -207,45 +210,48 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
                 is_hot = hot_keys[at] == keys
                 sums = np.bincount(doc[is_hot], hot_terms[at[is_hot]], len(ids))
                 keys, doc = keys[~is_hot], doc[~is_hot]
-            pos = pa.array(np.arange(len(ids)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1] * len(ids), pa.int32()), pa.array(ids, id_type), pos, pa.array(sizes), pa.array(sums),
-                 pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+            home = (1 << bits) + xxhash.xxh32_intdigest(sums.tobytes()) % (1 << bits)
+            yield _row(home, sizes.tobytes(), sums.tobytes(), _ids_blob(ids, id_type))
             order = np.argsort(keys, kind="stable")
             keys, doc = keys[order], doc[order]
             for s, at in _by_shard(keys, bits):
                 here, k = np.unique(doc[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()),
-                     pa.array([_packed(keys[at])]), pa.array([_planes(k.astype(np.uint32))]),
-                     pa.array([_ids_blob([ids[i] for i in here], id_type)])], names=names)
+                yield _row(s, _packed(keys[at]), _planes(k.astype(np.uint32)), _ids_blob([ids[i] for i in here], id_type))
+
+    def _row(shard: int, keys: bytes, docs: bytes, ids: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in (keys, docs, ids)]],
+                                          names=["shard", "keys", "docs", "ids"])
 
-    names = ["shard", "doc_id", "pos", "n_tokens", "part", "keys", "docs", "ids"]
     from pyspark.sql.pandas.types import to_arrow_type
     id_type = to_arrow_type(texts(docs).schema["doc_id"].dataType)
-    asked = stage(texts(docs).mapInArrow(ask, f"shard int, doc_id {kind}, pos int, n_tokens bigint, part double, keys binary, docs binary, ids binary"), "lm-asked")
+    asked = texts(docs).mapInArrow(ask, "shard int, keys binary, docs binary, ids binary")
 
     def answer(key, asks: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        keys, c_t, c_b = load(*shard[["keys", "c_t", "c_b"]].iloc[0]) if len(shard) else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-        term = terms(keys, c_t, c_b)
         out = []
+        own = key[0] >= 1 << bits
+        if not own and len(shard):
+            keys, c_t, c_b = load(*shard[["keys", "c_t", "c_b"]].iloc[0])
+        else:
+            keys, c_t, c_b = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        term = terms(keys, c_t, c_b)
         for k, d, i in zip(asks["keys"], asks["docs"], asks["ids"], strict=True):
-            k, d, i = _unpacked(k), _from_planes(d, np.uint32), _ids_list(i)
-            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-            found = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-            x = np.where(found, term[at] if len(keys) else 0.0, 0.0)
-            once = k[~found]
-            x[~found] = terms(once, np.zeros(len(once)), np.ones(len(once)))
-            out.append(pd.DataFrame({"doc_id": i, "part": np.bincount(d, x, len(i))}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "part": []})
-
-    n = max(tasks(docs.sparkSession), 1 << bits)
-    parts = (asked.where("shard >= 0").select("shard", "keys", "docs", "ids").repartition(n, "shard").groupBy("shard")
+            i = _ids_list(i)
+            if own:
+                out.append(pd.DataFrame({"doc_id": i, "n_tokens": np.frombuffer(k, np.int64), "part": np.frombuffer(d)}))
+                continue
+            k, d = _unpacked(k), _from_planes(d, np.uint32)
+            x = terms(k, np.zeros(len(k)), np.ones(len(k)))        # met once, here, and never in the target
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                x = np.where(keys[at] == k, term[at], x)
+            out.append(pd.DataFrame({"doc_id": i, "n_tokens": np.zeros(len(i), np.int64), "part": np.bincount(d, x, len(i))}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "part": []})
+
+    n = max(tasks(docs.sparkSession), 2 << bits)
+    parts = (asked.repartition(n, "shard").groupBy("shard")
              .cogroup(model.select("shard", "keys", "c_t", "c_b").repartition(n, "shard").groupBy("shard"))
-             .applyInPandas(answer, f"doc_id {kind}, part double"))
-    own = asked.where("shard < 0").select("doc_id", "n_tokens", "part")
-    return (own.unionByName(parts.withColumn("n_tokens", F.lit(0).cast("long")))
-            .groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("part").alias("s"))
+             .applyInPandas(answer, f"doc_id {kind}, n_tokens bigint, part double"))
+    return (parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("part").alias("s"))
             .select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("s") / F.col("n_tokens")).alias("score")))
 
 
