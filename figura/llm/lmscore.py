@@ -11,7 +11,8 @@ the target.
 The loss is a sum of one term a context and one a bigram, each known from that
 n-gram's own counts. So counting shuffles n-gram hashes (combined per chunk of
 documents, packed), scoring sends a document's distinct n-grams to the shards
-that hold their terms and adds up partial sums. N-grams with a large share of
+that hold their terms and adds up partial sums per chunk (packed; at most one
+per n-gram that was asked). N-grams with a large share of
 all tokens, a number bounded by that share, are scored where the document is;
 those met once in the corpus and never in the target need no entry. Counts
 cover all data; models never reach the driver.
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +159,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
 
     ``background`` is ``docs`` unless given. Null, empty and wordless texts
     have no tokens and a null score. With an empty target, or an empty
-    background, the other side's counts decide alone. Rows with the same
-    doc_id are scored as one document. Other columns are ignored.
+    background, the other side's counts decide alone. Rows are scored one by one,
+    whatever their ids. Other columns are ignored.
     """
     def texts(df: DataFrame) -> DataFrame:
         return df.select((F.col(doc_id) if doc_id in df.columns else F.lit(None)).alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -198,9 +200,11 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each chunk: its n-grams by shard, and a row (beyond the shards)
-        with its documents' token counts and the sums of heavy n-grams."""
+        with its documents' ids, token counts and sums of heavy n-grams."""
         hot_keys, hot_terms = known.value
-        for ids, ctx, big in _chunks(batches, chunk_tokens):
+        part = TaskContext.get().partitionId()
+        for seq, (ids, ctx, big) in enumerate(_chunks(batches, chunk_tokens)):
+            chunk = (part << 32) + seq                   # the same if the task runs again
             keys = np.concatenate([x for pair in zip(ctx, big, strict=True) for x in pair])
             sizes = np.array([len(c) for c in ctx], np.int64)
             doc = np.repeat(np.arange(len(ids), dtype=np.uint32), 2 * sizes)
@@ -210,49 +214,56 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
                 is_hot = hot_keys[at] == keys
                 sums = np.bincount(doc[is_hot], hot_terms[at[is_hot]], len(ids))
                 keys, doc = keys[~is_hot], doc[~is_hot]
-            home = (1 << bits) + xxhash.xxh32_intdigest(sums.tobytes()) % (1 << bits)
-            yield _row(home, sizes.tobytes(), sums.tobytes(), _ids_blob(ids, id_type))
+            home = (1 << bits) + xxhash.xxh32_intdigest(chunk.to_bytes(8)) % (1 << bits)
+            yield _row(home, chunk, sizes.tobytes(), sums.tobytes(), _ids_blob(ids, id_type))
             order = np.argsort(keys, kind="stable")
             keys, doc = keys[order], doc[order]
             for s, at in _by_shard(keys, bits):
-                here, k = np.unique(doc[at], return_inverse=True)
-                yield _row(s, _packed(keys[at]), _planes(k.astype(np.uint32)), _ids_blob([ids[i] for i in here], id_type))
+                yield _row(s, chunk, _packed(keys[at]), _planes(doc[at]), None)
 
-    def _row(shard: int, keys: bytes, docs: bytes, ids: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in (keys, docs, ids)]],
-                                          names=["shard", "keys", "docs", "ids"])
+    def _row(shard: int, chunk: int, keys: bytes, docs: bytes, ids: bytes | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([chunk], pa.int64()), *[pa.array([x], pa.binary()) for x in (keys, docs, ids)]],
+            names=["shard", "chunk", "keys", "docs", "ids"])
 
     from pyspark.sql.pandas.types import to_arrow_type
     id_type = to_arrow_type(texts(docs).schema["doc_id"].dataType)
-    asked = texts(docs).mapInArrow(ask, "shard int, keys binary, docs binary, ids binary")
+    asked = texts(docs).mapInArrow(ask, "shard int, chunk bigint, keys binary, docs binary, ids binary")
 
     def answer(key, asks: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        own = key[0] >= 1 << bits
-        if not own and len(shard):
+        """The chunks' own rows as they are; for n-grams, the documents of the
+        chunk that have some (keys) and what they add up to (docs)."""
+        if key[0] >= 1 << bits or not len(asks):
+            return asks[["chunk", "keys", "docs", "ids"]]
+        if len(shard):
             keys, c_t, c_b = load(*shard[["keys", "c_t", "c_b"]].iloc[0])
         else:
             keys, c_t, c_b = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        term = terms(keys, c_t, c_b)
-        for k, d, i in zip(asks["keys"], asks["docs"], asks["ids"], strict=True):
-            i = _ids_list(i)
-            if own:
-                out.append(pd.DataFrame({"doc_id": i, "n_tokens": np.frombuffer(k, np.int64), "part": np.frombuffer(d)}))
-                continue
+        term, out = terms(keys, c_t, c_b), []
+        for chunk, k, d in zip(asks["chunk"], asks["keys"], asks["docs"], strict=True):
             k, d = _unpacked(k), _from_planes(d, np.uint32)
             x = terms(k, np.zeros(len(k)), np.ones(len(k)))        # met once, here, and never in the target
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                 x = np.where(keys[at] == k, term[at], x)
-            out.append(pd.DataFrame({"doc_id": i, "n_tokens": np.zeros(len(i), np.int64), "part": np.bincount(d, x, len(i))}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "part": []})
+            here, d = np.unique(d, return_inverse=True)
+            out.append((chunk, _packed(here), np.bincount(d, x, len(here)).tobytes(), None))
+        return pd.DataFrame(out, columns=["chunk", "keys", "docs", "ids"])
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["ids"].notna()].iloc[0]
+        sizes, sums = np.frombuffer(own["keys"], np.int64), np.frombuffer(own["docs"]).copy()
+        for k, d in rows.loc[rows["ids"].isna(), ["keys", "docs"]].itertuples(index=False):
+            sums[_unpacked(k, np.uint32)] += np.frombuffer(d)
+        with np.errstate(invalid="ignore"):
+            return pd.DataFrame({"doc_id": _ids_list(own["ids"]), "n_tokens": sizes, "score": np.where(sizes > 0, sums / sizes, np.nan)})
 
     n = max(tasks(docs.sparkSession), 2 << bits)
     parts = (asked.repartition(n, "shard").groupBy("shard")
              .cogroup(model.select("shard", "keys", "c_t", "c_b").repartition(n, "shard").groupBy("shard"))
-             .applyInPandas(answer, f"doc_id {kind}, n_tokens bigint, part double"))
-    return (parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("part").alias("s"))
-            .select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("s") / F.col("n_tokens")).alias("score")))
+             .applyInPandas(answer, "chunk bigint, keys binary, docs binary, ids binary"))
+    return (parts.repartition(n, "chunk").groupBy("chunk").applyInPandas(total, f"doc_id {kind}, n_tokens bigint, score double")
+            .withColumn("score", F.when(F.col("n_tokens") > 0, F.col("score"))))
 
 
 def _ids_blob(ids: list, kind: pa.DataType) -> bytes:
