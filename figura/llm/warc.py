@@ -349,4 +349,5 @@ def archive_pages(pages: DataFrame, out: str | None = None, page_id: str = "page
     manifest = write_archives(captures(pages, page_id, url, payload), f"{out}/archives", archive_bytes)
     merged = merge_index(manifest, f"{out}/index", fan_in, range_rows)
     index = read_index(merged).select("archive", "offset", F.col("key").alias("url_key"), F.col("ts").alias("timestamp"), "position")
-    return read_archives(manifest).join(index, ["archive", "offset"])
+    # file names compress so well that the planner would take a long index for a small one
+    return read_archives(manifest).join(index.hint("merge"), ["archive", "offset"])
