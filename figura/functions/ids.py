@@ -39,7 +39,7 @@ def segment_part(c) -> Column:
 def segment_fragment(c) -> Column:
     """``b17-fragment02`` -> 2 (characters after the ``fragment`` prefix)."""
     frag = F.split_part(_c(c), F.lit("-"), F.lit(2))
-    return F.substring(frag, len(FRAGMENT_PREFIX) + 1, 1 << 20).cast("int")
+    return F.substring(frag, F.lit(len(FRAGMENT_PREFIX) + 1), F.length(frag)).cast("int")
 
 
 def segment_valid(c) -> Column:
@@ -54,3 +54,9 @@ def segment_valid(c) -> Column:
 def assert_segment_valid(c) -> Column:
     """Fail the job on the first malformed segment id."""
     return F.assert_true(segment_valid(c), F.concat(F.lit("bad text segment id: "), _c(c)))
+
+
+def two_digits(c) -> Column:
+    """A number as text of two digits at least (7 -> ``07``, 103 -> ``103``)."""
+    text = _c(c).cast("string")
+    return F.lpad(text, F.greatest(F.lit(2), F.length(text)), "0")

@@ -79,7 +79,7 @@ def split_integrity(examples: DataFrame, id_col: str = "id", split: str = "split
     occur in more than one split (all must be 0 for a valid split)."""
     per_id = examples.groupBy(id_col).agg(F.countDistinct(split).alias("k"),
                                           F.count(F.lit(1)).alias("c"),
-                                          F.count_if(~F.col(split).isin(*allowed)).alias("bad"))
+                                          F.count_if(~F.coalesce(F.col(split).isin(*allowed), F.lit(False))).alias("bad"))
     return per_id.agg(F.sum("c").cast("bigint").alias("n_rows"),
                       F.sum("bad").cast("bigint").alias("n_outside"),
                       F.count_if(F.col("k") > 1).alias("n_overlap"))

@@ -14,13 +14,21 @@ from figura.operators.sampling import seeded_sample
 PAIRS = [("l", "la"), ("la", "lac")]
 
 
+def unknown_partition(c: str):
+    """An expression that fails the job, naming the partition it met."""
+    return F.raise_error(F.concat(F.lit("unknown partition: "), F.coalesce(F.col(c), F.lit("null")))).cast("string")
+
+
 def with_split(facts: DataFrame, n_dev: int = 0, seed: int = 0) -> DataFrame:
-    """``split`` = test / dev (seeded exact-size sample of train) / train."""
+    """``split`` = test / dev (seeded exact-size sample of train) / train.
+    Any other partition, null included, is an error."""
     dev = seeded_sample(facts.where(F.col("partition") == "train").select("id"), n_dev, seed) \
         .withColumn("_dev", F.lit(True))
     return (facts.join(F.broadcast(dev), "id", "left")
             .withColumn("split", F.when(F.col("partition") == "test", "test")
-                        .when(F.col("_dev"), "dev").otherwise("train")).drop("_dev"))
+                        .when(F.col("_dev"), "dev")
+                        .when(F.col("partition") == "train", "train")
+                        .otherwise(unknown_partition("partition"))).drop("_dev"))
 
 
 def classify(facts: DataFrame, contexts: DataFrame, n_dev: int = 0, seed: int = 0,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from figura.functions import text as T
 from figura.functions.hashing import bucket
+from figura.functions.ids import two_digits
 from figura.operators import arguments, context, corpus
 from figura.plans.catalog import register
 from figura.plans.q_text import SQL_NORM, SQL_STRIP, SQL_WORD_TOKENS, SQL_WS_TOKENS
@@ -261,7 +262,7 @@ def sentence_lookup(spark, sf_dir):
     sentence number); missing sentences come back as not found."""
     conv = read(spark, sf_dir, "conversations")
     seg = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-fragment"),
-                   F.lpad(F.col("turn").cast("string"), 2, "0"))
+                   two_digits("turn"))
     sentences = conv.select(seg.alias("text_segment_id"),
                             F.posexplode(F.split(F.col("text"), "\n")).alias("pre", "line"))
     sentences = sentences.select("text_segment_id", (F.col("pre") + 1).cast("string").alias("sentence_number"),
@@ -275,7 +276,7 @@ def sentence_lookup(spark, sf_dir):
 
 register("sentence_lookup", f"""
 WITH seg AS (
-  SELECT conv_id, turn, text, 'c' || CAST(conv_id AS VARCHAR) || '-fragment' || lpad(CAST(turn AS VARCHAR), 2, '0') AS sid
+  SELECT conv_id, turn, text, 'c' || CAST(conv_id AS VARCHAR) || '-fragment' || lpad(CAST(turn AS VARCHAR), greatest(2, length(CAST(turn AS VARCHAR)))::INTEGER, '0') AS sid
   FROM conversations
 ), sent AS (
   SELECT sid, unnest(range(0, len(string_split(text, {NL})))) AS pre, unnest(string_split(text, {NL})) AS line FROM seg

@@ -9,6 +9,7 @@ from figura.operators import corpus
 from figura.operators.text_ops import token_offsets
 from figura.plans.catalog import register
 from figura.functions.hashing import bucket
+from figura.functions.ids import two_digits
 from figura.plans.tables import read, sql_bucket
 
 # Stand-in corpus type codes drawn per document (the last one is not in
@@ -173,7 +174,7 @@ FROM sent s JOIN ctx c ON s.conv_id = c.conv_id
 
 def _conv_ids(conv):
     seg = F.concat(F.lit("c"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 2),
-                   F.lit("-fragment"), F.lpad(F.col("turn").cast("string"), 2, "0"))
+                   F.lit("-fragment"), two_digits("turn"))
     verb = F.regexp_replace(F.lower(F.split_part(F.col("text"), F.lit(" "), F.lit(1))), r"[^\p{L}]", "")
     toks = F.size(text.whitespace_tokens("text"))
     sent_no = F.length("text").cast("string")
@@ -195,7 +196,7 @@ def id_split_typed(spark, sf_dir):
             .unionByName(test.withColumn("form", F.lit("test")).select("form", *cols)))
 
 
-_SQL_SEG = "'c' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 2) || '-fragment' || lpad(CAST(turn AS VARCHAR), 2, '0')"
+_SQL_SEG = "'c' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 2) || '-fragment' || lpad(CAST(turn AS VARCHAR), greatest(2, length(CAST(turn AS VARCHAR)))::INTEGER, '0')"
 _SQL_VERB = r"regexp_replace(lower(split_part(text, ' ', 1)), '[^\p{L}]', '', 'g')"
 _SQL_NTOK = f"CAST(len({SQL_WS_TOKENS.format(x='text')}) AS VARCHAR)"
 register("id_split_typed", f"""

@@ -75,7 +75,7 @@ def scan_fragments(spark: SparkSession, path, tag: str = "text") -> DataFrame:
     raw = spark.read.option("lineSep", close).text(path)
     start = F.locate(f"<{tag}", F.col("value"))
     frag = raw.where(start > 0).select(
-        F.concat(F.substring(F.col("value"), start, F.lit(1 << 30)), F.lit(close)).alias("content"))
+        F.concat(F.substring(F.col("value"), start, F.length("value")), F.lit(close)).alias("content"))
     fid = F.regexp_extract(F.col("content"), r'xml:id="([^"]*)"', 1)
     return frag.select(fid.alias("fragment_id"), "content")
 
