@@ -41,4 +41,5 @@ def mcnemar_midp(b, c) -> Column:
             F.exp(acc["lp"]).alias("pmf"))
 
     res = F.aggregate(F.sequence(F.lit(0).cast("bigint"), x), init, step)
-    return F.lit(2.0) * res["cdf"] - res["pmf"]
+    # equal counts: by symmetry 1, without the walk and its rounding
+    return F.when(b == c, F.lit(1.0)).otherwise(F.lit(2.0) * res["cdf"] - res["pmf"])

@@ -5,11 +5,12 @@ batches of *distinct* texts) and a Word2Vec-based vectoriser.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -25,7 +26,8 @@ _ENCODERS: dict = {}
 
 
 def _get_encoder(factory: EncoderFactory):
-    key = getattr(factory, "__qualname__", None) or repr(factory)
+    # by content: factories of one function with other parameters differ
+    key = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
     enc = _ENCODERS.get(key)
     if enc is None:
         enc = _ENCODERS[key] = factory()

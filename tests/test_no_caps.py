@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from figura.functions import ids
-from figura.operators import evaluate
+from figura.functions.stats import mcnemar_midp
+from figura.operators import encode, evaluate
 from figura.plans import classify, tables
 from figura.sources import readers
 
@@ -33,3 +34,15 @@ def test_long_fragment_is_whole(spark, tmp_path):
     (tmp_path / "a.xml").write_text(f'<c><text xml:id="t1">{body}</text><text xml:id="t2"/></c>')
     got = {r.fragment_id: r.content for r in readers.scan_fragments(spark, str(tmp_path)).collect()}
     assert body in got["t1"]
+
+
+def test_midp_of_equal_counts_is_one(spark):
+    df = spark.createDataFrame([(10**6, 10**6), (3 * 10**9, 3 * 10**9), (5, 5), (0, 0)], "b long, c long")
+    assert [r[0] for r in df.select(mcnemar_midp("b", "c")).collect()] == [1.0] * 4
+
+
+def test_encoders_of_one_factory_function_are_kept_apart():
+    def factory(width):
+        return lambda: encode.HashingEncoder(width)
+    assert [encode._get_encoder(factory(w)).dim for w in (3, 5, 3)] == [3, 5, 3]
+    assert encode._get_encoder(factory(3)) is encode._get_encoder(factory(3))
