@@ -344,7 +344,8 @@ def repeated_spans(runs: DataFrame, out: str, length: int, gram: int, collection
     spark = runs.sparkSession
     n = tasks(spark)
     keyed = runs.where("key IS NOT NULL")
-    twice = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # written before the join, which then may split a hot anchor's rows
+    twice = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "met-anchors")
     met = stage(keyed.join(twice, "key"), "met-passages")
     heads = met.groupBy("key", "shape", "text").agg(F.count(F.lit(1)).alias("n"), F.first("chunk").alias("chunk"), F.first("place").alias("place"))
 
