@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figura.functions.vectors import zero_vector
+from figura.operators.features import spread_blanks
 
 EncoderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 
@@ -62,10 +63,12 @@ def hashing_encoder_factory(dim: int = 300) -> EncoderFactory:
 
 
 def encode_texts(texts: DataFrame, col: str, factory: EncoderFactory, dim: int,
-                 name: str = "vec", batch_rows: int = 256) -> DataFrame:
-    """Encode the *distinct* non-blank values of ``col`` once each:
-    ``(col, name array<float>)``. Blank values never reach the encoder."""
-    distinct = texts.select(F.col(col).alias("_t")).where(F.col("_t") != "").distinct()
+                 name: str = "vec", batch_rows: int = 256, blanks: bool = False) -> DataFrame:
+    """Encode the *distinct* values of ``col`` once each:
+    ``(col, name array<float>)``. Nulls, and blanks unless ``blanks``, never
+    reach the encoder."""
+    values = texts.select(F.col(col).alias("_t"))
+    distinct = values.where(F.col("_t").isNotNull() if blanks else F.col("_t") != "").distinct()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _get_encoder(factory)
@@ -81,17 +84,19 @@ def encode_texts(texts: DataFrame, col: str, factory: EncoderFactory, dim: int,
 
 
 def attach_encodings(df: DataFrame, roles: list[str], factory: EncoderFactory, dim: int,
-                     suffix: str = "_emb") -> DataFrame:
+                     suffix: str = "_emb", zero_roles: list[str] | None = None) -> DataFrame:
     """Encode the terms of all ``roles`` in one pass (distinct terms across
-    roles) and join them back; blanks get zeros."""
-    terms = None
-    for r in roles:
-        t = df.select(F.col(r).alias("_term"))
-        terms = t if terms is None else terms.unionByName(t)
-    enc = encode_texts(terms, "_term", factory, dim, "_vec")
+    roles) and join them back. Blanks of ``zero_roles`` (default: all roles)
+    get zeros; a blank of another role is encoded like any other term."""
+    zero_roles = roles if zero_roles is None else zero_roles
+    stacked = F.array(*[F.when(F.col(r) != "", F.col(r)) if r in zero_roles else F.col(r) for r in roles])
+    enc = encode_texts(df.select(F.explode(stacked).alias("_term")), "_term", factory, dim, "_vec", blanks=True)
     out = df
     for r in roles:
-        out = (out.join(enc.select(F.col("_term").alias(r), F.col("_vec").alias(f"{r}{suffix}")), r, "left")
+        key = spread_blanks(r, df.columns) if r in zero_roles else F.col(r)
+        out = (out.withColumn("_jk", key)
+               .join(enc.select(F.col("_term").alias("_jk"), F.col("_vec").alias(f"{r}{suffix}")), "_jk", "left")
+               .drop("_jk")
                .withColumn(f"{r}{suffix}", F.coalesce(F.col(f"{r}{suffix}"), zero_vector(dim))))
     return out
 

@@ -38,25 +38,33 @@ class Vocabulary:
         self.key_fn = key_fn
 
 
+def spread_blanks(term: str, columns: list[str], ways: int = 4096) -> Column:
+    """Join key of a term column whose blanks (the commonest value) match
+    nothing: they are dealt to ``ways`` keys that no term has (a NUL first) by
+    a hash of the row, so that no task gets all of them."""
+    deal = F.pmod(F.xxhash64(*columns), F.lit(ways)).cast("string")
+    return F.when(F.coalesce(F.col(term), F.lit("")) != "", F.col(term)).otherwise(F.concat(F.lit("\0"), deal))
+
+
 def term_vectors(df: DataFrame, roles: list[str], vocab: Vocabulary,
                  suffix: str = "_emb", zero_roles: list[str] | None = None) -> DataFrame:
     """Attach a vector per role column (verb, subject, object ...).
 
-    Distinct non-blank terms of all roles are looked up once (dedupe before
-    the lookup; blanks never reach it), then joined back. A blank or
-    out-of-vocabulary term gets zeros.
+    The terms of all roles are stacked in one pass, looked up once each and
+    joined back. A blank of a role in ``zero_roles`` (default: all roles) is
+    never looked up and gets zeros; a blank of another role is a term like any
+    other. Terms without a vector get zeros.
     """
     zero_roles = roles if zero_roles is None else zero_roles
-    terms = None
-    for r in roles:
-        t = df.select(F.col(r).alias("_term")).where(F.col("_term") != "")
-        terms = t if terms is None else terms.unionByName(t)
+    looked_up = F.array(*[F.when(F.col(r) != "", F.col(r)) if r in zero_roles else F.col(r) for r in roles])
+    terms = df.select(F.explode(looked_up).alias("_term")).where(F.col("_term").isNotNull())
     looked = (terms.distinct().withColumn("_key", vocab.key_fn(F.col("_term")))
               .join(vocab.vectors, "_key", "left").select("_term", "_vec"))
     out = df
     for r in roles:
-        v = looked.select(F.col("_term").alias(r), F.col("_vec").alias(f"{r}{suffix}"))
-        out = out.join(v, r, "left")
+        v = looked.select(F.col("_term").alias("_jk"), F.col("_vec").alias(f"{r}{suffix}"))
+        key = spread_blanks(r, df.columns) if r in zero_roles else F.col(r)
+        out = out.withColumn("_jk", key).join(v, "_jk", "left").drop("_jk")
         vec = F.col(f"{r}{suffix}")
         fill = blank_to_zero(F.col(r), vec, vocab.dim) if r in zero_roles \
             else F.coalesce(vec, zero_vector(vocab.dim))
@@ -72,7 +80,8 @@ def mean_pool(tokens: DataFrame, key: str, token: str, vocab: Vocabulary,
 
     Tokens are first counted per (group, token), so each distinct token is
     mapped and joined once per group and enters the mean with its count as
-    weight.
+    weight. Only tokens with a vector are joined; the mean over them is scaled
+    by their share of the group's tokens.
     """
     # count each token per group first (map-side partial aggregation), then
     # map the distinct (group, token) pairs to vocabulary keys; two tokens
@@ -80,11 +89,15 @@ def mean_pool(tokens: DataFrame, key: str, token: str, vocab: Vocabulary,
     # unchanged
     counts = (tokens.groupBy(key, F.col(token).alias("_tok")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
               .select(key, vocab.key_fn(F.col("_tok")).alias("_key"), "_w"))
-    vecs = (counts.join(vocab.vectors, "_key", "left")
-            .select(key, "_w", array_to_vector(F.coalesce(F.col("_vec"), zero_vector(vocab.dim)))
-                    .alias("_v")))
-    pooled = vecs.groupBy(key).agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m")) \
-        .select(key, vector_to_array("_m", dtype).alias(name))
+    vecs = (counts.join(vocab.vectors.where(F.col("_vec").isNotNull()), "_key")
+            .select(key, "_w", array_to_vector("_vec").alias("_v")))
+    known = vecs.groupBy(key).agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"), F.sum("_w").alias("_known"))
+    totals = counts.groupBy(key).agg(F.sum("_w").alias("_all"))
+    share = F.col("_known") / F.col("_all")
+    number = "float" if dtype == "float32" else "double"
+    mean = F.transform(vector_to_array("_m"), lambda x: (x * share).cast(number))
+    none = F.array_repeat(F.lit(0.0).cast(number), vocab.dim)
+    pooled = totals.join(known, key, "left").select(key, F.coalesce(mean, none).alias(name))
     if docs is not None:
         zeros = F.array_repeat(F.lit(0.0).cast("float" if dtype == "float32" else "double"), vocab.dim)
         pooled = docs.select(key).join(pooled, key, "left") \
@@ -96,14 +109,15 @@ def context_dictionary(df: DataFrame, context: str = "min_context", order: str =
                        name: str = "ctx_id") -> DataFrame:
     """Distinct contexts numbered 0, 1, ... in first-seen order.
 
-    Contexts are grouped by their SHA-256 (32-byte shuffle keys instead of
-    whole texts); the dense number is assigned without a one-partition
-    window (see ``dense_index``)."""
-    firsts = (df.groupBy(F.sha2(F.col(context), 256).alias("ctx_key"))
-              .agg(F.min(F.struct(F.col(order).alias("first_seen"), F.col(context).alias(context)))
-                   .alias("_f"), F.count(F.lit(1)).alias("n_rows"))
-              .select("ctx_key", "_f.first_seen", f"_f.{context}", "n_rows"))
-    return dense_index(firsts, ["first_seen"], name=name, start=0)
+    Grouping and numbering see SHA-256 keys and ``order`` only (the number
+    without a one-partition window, see ``dense_index``); each text is fetched
+    by its first row afterwards."""
+    keyed = df.select(F.sha2(F.col(context), 256).alias("ctx_key"), F.col(order).alias("first_seen"), context)
+    firsts = keyed.groupBy("ctx_key").agg(F.min("first_seen").alias("first_seen"), F.count(F.lit(1)).alias("n_rows"))
+    numbered = dense_index(firsts, ["first_seen", "ctx_key"], name=name, start=0)
+    texts = keyed.join(numbered, ["ctx_key", "first_seen"])
+    # rows that repeat (order, context) carry one text
+    return texts.dropDuplicates(["ctx_key", "first_seen"]).select("ctx_key", "first_seen", context, "n_rows", name)
 
 
 def gather_contexts(examples: DataFrame, dictionary: DataFrame, context: str = "min_context",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +28,34 @@ def running_total(rows: DataFrame, keys: list[str], pos: str, amount: str, name:
             .withColumn(name, F.col("_base") + F.sum(amount).over(wc)).drop("_chunk", "_base"))
 
 
+def running_lengths(lengths, chunk: int = 64):
+    """Inclusive running sums of an int array, in the row: sums within chunks
+    of ``chunk`` elements, then each chunk moved by the total before it (an
+    append copies at most one chunk, or one number per chunk)."""
+    n = F.size(lengths)
+    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(chunk)))
+    none = F.array().cast("array<bigint>")
+    inner = F.transform(starts, lambda s: F.aggregate(
+        F.slice(lengths, s, F.lit(chunk)), none,
+        lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + x))))
+    bases = F.aggregate(inner, F.array(F.lit(0).cast("bigint")),
+                        lambda a, e: F.concat(a, F.array(F.element_at(a, -1) + F.element_at(e, -1))))
+    # one base more than chunks: the last (the grand total) meets no chunk
+    return F.flatten(F.filter(F.zip_with(inner, bases, lambda e, b: F.transform(e, lambda x: x + b)),
+                              lambda e: e.isNotNull()))
+
+
 def token_offsets(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per whitespace token: ``(key, pos, token, start)`` where
     ``start`` is the 0-based character offset of the token in ``text``.
 
-    The gap before each token and the token come out of one regex pass; the
-    offset is the running total of gap + token lengths up to the token,
-    minus its own length (see ``running_total``)."""
-    pat = f"({WS_CLASS}*)({NON_WS_CLASS}+)"
-    pieces = df.select(
-        key,
-        F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(pat), 1).alias("gap"),
-                     F.regexp_extract_all(F.col(text), F.lit(pat), 2).alias("tok")).alias("z"))
-    # both levels of the running total read the token table: extract once
-    pieces = pieces.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = pieces.select(key, F.posexplode("z").alias("pos", "p")).select(
-        key, "pos", F.col("p.tok").alias("token"),
-        (F.length("p.gap") + F.length("p.tok")).alias("_span"), F.length("p.tok").alias("_t"))
-    out = running_total(rows, [key], "pos", "_span", "_end")
-    return out.select(key, "pos", "token", (F.col("_end") - F.col("_t")).cast("int").alias("start"))
+    One regex pass cuts the text into pieces (gap and token); a token ends
+    where the running total of the piece lengths stands. All in the row, no
+    shuffle. Null and blank texts give no row."""
+    pieces = df.select(key, F.regexp_extract_all(F.col(text), F.lit(f"{WS_CLASS}*{NON_WS_CLASS}+"), F.lit(0)).alias("_p"))
+    ends = running_lengths(F.transform("_p", lambda x: F.length(x)))
+    rows = (pieces.select(key, "_p", ends.alias("_e"))
+            .select(key, F.posexplode(F.arrays_zip("_p", "_e")).alias("pos", "_z")))
+    token = F.regexp_replace(F.col("_z._p"), f"^{WS_CLASS}+", "")
+    return (rows.select(key, "pos", token.alias("token"), F.col("_z._e").alias("_end"))
+            .select(key, "pos", "token", (F.col("_end") - F.length("token")).cast("int").alias("start")))

@@ -45,7 +45,8 @@ def extract_with_encoder(examples: DataFrame, factory: encode.EncoderFactory, di
     contexts = dictionary.join(ctx_vec, "min_context", "left").select(
         "ctx_id", "min_context", F.coalesce("ctx_emb", F.array_repeat(F.lit(0.0).cast("float"), dim))
         .alias("ctx_emb"))
-    facts = encode.attach_encodings(FT.gather_contexts(ex, dictionary), list(ROLES), factory, dim)
+    facts = encode.attach_encodings(FT.gather_contexts(ex, dictionary), list(ROLES), factory, dim,
+                                    zero_roles=list(zero_roles))
     return _facts(facts), contexts
 
 

@@ -167,8 +167,9 @@ FROM fin
 """)(smallest_context)
 
 
-# Node numbering for the conversation tree: room for B - 1 lines per turn.
-B = 1_000_000
+# Node numbering for the conversation tree: an array holds fewer than 2^31
+# lines, so no turn outgrows its numbers, and every int turn fits a bigint.
+B = 1 << 31
 
 
 def _conv_nodes(conv):

@@ -24,7 +24,8 @@ NL = "chr(10)"
 def _page_nodes(spark, sf_dir):
     """Parsed pages, persisted: the node table feeds several joins."""
     pages = read(spark, sf_dir, "pages")
-    return markup.node_table(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"))) \
+    return markup.node_table(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("content")),
+                             min_partitions=spark.sparkContext.defaultParallelism) \
         .persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -118,7 +119,7 @@ def xml_corpus_scan(spark, sf_dir):
     """Conversations written as (a) one big annotated corpus file read back
     fragment by fragment and (b) one source file per key read back only for
     the keys that examples name; both parsed into node tables; sentences
-    and words per fragment, and whether the source file was found."""
+    and words per fragment, and the same words from its source file."""
     conv = read(spark, sf_dir, "conversations")
     xml = conversation_xml(conv).persist(StorageLevel.MEMORY_AND_DISK)   # written twice
     root = shared_path(spark, "xml-corpus")
@@ -131,11 +132,12 @@ def xml_corpus_scan(spark, sf_dir):
         .persist(StorageLevel.MEMORY_AND_DISK)
     words = _fragment_words(nodes)
     wanted = conv.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-fragment01")).alias("k"))
-    src = readers.scan_keyed_files(spark, f"{root}/source", wanted, "k")
-    src_ids = src.select(F.col("key").alias("doc_id"), F.lit(True).alias("source_found"))
-    return (words.join(src_ids, "doc_id", "left")
+    src = readers.scan_keyed_files(spark, f"{root}/source", wanted, "k", readers.KEY_IN_FOLDER)
+    source = markup.node_table(src.withColumnRenamed("key", "doc_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    found = _fragment_words(source).select("doc_id", F.col("words_md5").alias("source_words_md5"))
+    return (words.join(found, "doc_id", "left")
             .select(F.col("doc_id").alias("fragment_id"), "n_sentences", "n_words", "words_md5",
-                    F.coalesce("source_found", F.lit(False)).alias("source_found")))
+                    F.col("source_words_md5").isNotNull().alias("source_found"), "source_words_md5"))
 
 
 register("xml_corpus_scan", f"""
@@ -153,7 +155,8 @@ WITH l AS (
 ), ss AS (SELECT conv_id, count(*) AS n_sentences FROM l GROUP BY conv_id)
 SELECT 'c' || CAST(ss.conv_id AS VARCHAR) || '-fragment01' AS fragment_id, ss.n_sentences,
        CAST(coalesce(ws.n_words, 0) AS INTEGER) AS n_words,
-       coalesce(ws.words_md5, md5('')) AS words_md5, true AS source_found
+       coalesce(ws.words_md5, md5('')) AS words_md5, true AS source_found,
+       coalesce(ws.words_md5, md5('')) AS source_words_md5
 FROM ss LEFT JOIN ws ON ss.conv_id = ws.conv_id
 """)(xml_corpus_scan)
 

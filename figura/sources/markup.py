@@ -120,32 +120,43 @@ def parse_markup(doc_id: str, content: str) -> list[dict]:
     return [dict(zip(COLUMNS, vals)) for vals in zip(*[cols[c] for c in COLUMNS])]
 
 
+# Nodes gathered over small documents before a frame is handed on.
+NODES_PER_FRAME = 20_000
+
+
+def _frame(acc: dict[str, list]) -> pd.DataFrame:
+    out = pd.DataFrame(acc, columns=COLUMNS)
+    out["parent"] = out["parent"].astype("Int64")
+    out["child_elements"] = out["child_elements"].astype("Int32")
+    out["in_leaf"] = out["in_leaf"].astype("boolean")
+    return out
+
+
 def _parse_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    acc: dict[str, list] = {c: [] for c in COLUMNS}
     for pdf in it:
-        acc: dict[str, list] = {c: [] for c in COLUMNS}
         for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
             b = _TreeBuilder(str(doc_id))
             b.feed(content or "")
             for c, vals in b.finish().items():
                 acc[c].extend(vals)
-        out = pd.DataFrame(acc, columns=COLUMNS)
-        out["parent"] = out["parent"].astype("Int64")
-        out["child_elements"] = out["child_elements"].astype("Int32")
-        out["in_leaf"] = out["in_leaf"].astype("boolean")
-        yield out
+            if len(acc["doc_id"]) >= NODES_PER_FRAME:
+                yield _frame(acc)
+                acc = {c: [] for c in COLUMNS}
+    if acc["doc_id"]:
+        yield _frame(acc)
 
 
 def node_table(docs: DataFrame, doc_id: str = "doc_id", content: str = "content",
                min_partitions: int | None = None) -> DataFrame:
     """``(doc_id, content)`` documents -> node table (see module doc).
 
-    Parsing is CPU-bound Python, so when the input arrives in fewer splits
-    than ``min_partitions`` (default: the cluster's parallelism), the
-    documents are first spread round-robin over that many tasks."""
+    Parsing is CPU-bound Python: ``min_partitions`` spreads the documents over
+    that many tasks first, for inputs that arrive in a few splits; by default
+    they are parsed where they are."""
     src = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content"))
-    want = min_partitions or src.sparkSession.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < want:
-        src = src.repartition(want)
+    if min_partitions:
+        src = src.repartition(min_partitions)
     return src.mapInPandas(_parse_batches, NODE_SCHEMA)
 
 

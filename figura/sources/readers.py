@@ -46,13 +46,19 @@ def read_csv_keep_blanks(spark: SparkSession, path, schema: str) -> DataFrame:
     return df.na.fill("", subset=strings)
 
 
-def read_csv_default_na(spark: SparkSession, path, schema: str) -> DataFrame:
+def read_csv_r(spark: SparkSession, path, schema: str) -> DataFrame:
+    """CSV where only empty fields and ``NA`` are null (``null``, ``nan`` and
+    ``None`` are words)."""
+    return read_csv_default_na(spark, path, schema, ("", "NA"))
+
+
+def read_csv_default_na(spark: SparkSession, path, schema: str, na=NA_STRINGS) -> DataFrame:
     """CSV where empty fields and the usual NA spellings are null."""
     df = spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
     out = df
     for f in df.schema.fields:
         if f.dataType.simpleString() == "string":
-            out = out.withColumn(f.name, F.when(F.col(f.name).isin(*NA_STRINGS), None)
+            out = out.withColumn(f.name, F.when(F.col(f.name).isin(*na), None)
                                  .otherwise(F.col(f.name)))
     return out
 
@@ -69,26 +75,31 @@ def scan_fragments(spark: SparkSession, path, tag: str = "text") -> DataFrame:
     """One record per ``<tag ...>...</tag>`` fragment of a large XML file.
 
     The file is split on the closing tag, so one corpus file spreads over
-    many tasks; each record is cut back to its opening tag and closed
-    again. Returns ``(fragment_id, content)`` with the ``xml:id``."""
+    many tasks; each record is cut back to its last (innermost) opening tag
+    and closed again. Returns ``(fragment_id, content)`` with the opening
+    tag's ``xml:id``; elements whose names only begin with ``tag``, outer
+    ``tag`` elements and the ids of other elements don't count."""
     close = f"</{tag}>"
     raw = spark.read.option("lineSep", close).text(path)
-    start = F.locate(f"<{tag}", F.col("value"))
-    frag = raw.where(start > 0).select(
-        F.concat(F.substring(F.col("value"), start, F.length("value")), F.lit(close)).alias("content"))
-    fid = F.regexp_extract(F.col("content"), r'xml:id="([^"]*)"', 1)
+    body = F.regexp_extract(F.col("value"), rf"(?s)^.*(<{tag}(?:\s[^>]*)?>.*)$", 1)
+    frag = raw.select(body.alias("b")).where(F.col("b") != "").select(F.concat("b", F.lit(close)).alias("content"))
+    fid = F.regexp_extract(F.col("content"), rf'^<{tag}\s[^>]*?xml:id="([^"]*)"', 1)
     return frag.select(fid.alias("fragment_id"), "content")
 
 
+# Layouts of a source corpus: the key is the file's name, or its folder's.
+KEY_IN_FILE_NAME = r"/([^/]+)\.xml$"
+KEY_IN_FOLDER = r"/key=([^/]+)/[^/]+$"
+
+
 def scan_keyed_files(spark: SparkSession, root: str, keys: DataFrame, key_col: str,
-                     partition_col: str = "key") -> DataFrame:
-    """Whole-file scan of a corpus stored one file per key under
-    ``root/<partition_col>=<key>/``; only the directories of keys that
-    ``keys`` mentions are listed and read (partition pruning on a literal
-    key set; the key set is bounded by the number of source files).
-    Returns ``(key, path, content)``."""
-    wanted = [r[0] for r in keys.select(key_col).distinct().collect()]
-    df = spark.read.option("wholetext", True).option("basePath", root).text(root)
-    return df.where(F.col(partition_col).isin(wanted)).select(
-        F.col(partition_col).alias("key"), F.col("_metadata.file_path").alias("path"),
-        F.col("value").alias("content"))
+                     layout: str = KEY_IN_FILE_NAME) -> DataFrame:
+    """Whole-file scan of a corpus stored one file per key, in folders of any
+    depth (``X/XY/XYZ.xml``, or ``key=XYZ/...``); ``layout`` is the pattern
+    that finds the key in a file's path. Files whose key ``keys`` doesn't
+    mention are dropped by a semi-join. Returns ``(key, path, content)``."""
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    path = F.col("_metadata.file_path")
+    keyed = files.select(F.regexp_extract(path, layout, 1).alias("key"), path.alias("path"),
+                         F.col("value").alias("content")).where(F.col("key") != "")
+    return keyed.join(keys.select(F.col(key_col).cast("string").alias("key")).distinct(), "key", "left_semi")

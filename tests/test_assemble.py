@@ -21,7 +21,7 @@ SOURCE = {
 def test_assemble_tiny_corpus(spark, tmp_path):
     (tmp_path / "VUAMC.xml").write_text(ANNOTATED)
     for key, xml in SOURCE.items():
-        d = tmp_path / "source" / f"key={key}"
+        d = tmp_path / "source" / key[0] / key[:2]
         d.mkdir(parents=True)
         (d / f"{key}.xml").write_text(xml)
     frags = readers.scan_fragments(spark, str(tmp_path / "VUAMC.xml"))

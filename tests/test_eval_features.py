@@ -146,6 +146,10 @@ def test_csv_blanks_fixture(spark, tmp_path):
     assert (r.subject, r.object, r.sentence) == ("", "NA", 'He said "hi", ok')
     n = readers.read_csv_default_na(spark, str(p), schema).first()
     assert (n.subject, n.object) == (None, None)
+    q = tmp_path / "r.csv"
+    q.write_text("id,y,subject,object,sentence\n1,0,null,NA,None\n")
+    n = readers.read_csv_r(spark, str(q), schema).first()
+    assert (n.subject, n.object, n.sentence) == ("null", None, "None")
     out = shared_path(spark, "csv-test")
     readers.write_csv(readers.read_csv_keep_blanks(spark, str(p), schema), out, single_file=True)
     assert readers.read_csv_keep_blanks(spark, out, schema).first() == r

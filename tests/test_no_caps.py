@@ -46,3 +46,66 @@ def test_encoders_of_one_factory_function_are_kept_apart():
         return lambda: encode.HashingEncoder(width)
     assert [encode._get_encoder(factory(w)).dim for w in (3, 5, 3)] == [3, 5, 3]
     assert encode._get_encoder(factory(3)) is encode._get_encoder(factory(3))
+
+
+def test_keyed_files_in_both_layouts(spark, tmp_path):
+    from figura.sources import readers
+    for key in ("A1B", "A1C", "KDB"):
+        for d in (tmp_path / "nested" / key[0] / key[:2], tmp_path / "flat" / f"key={key}"):
+            d.mkdir(parents=True, exist_ok=True)
+            (d / f"{key}.xml").write_text(f"<x>{key}\nmore</x>")
+    keys = spark.createDataFrame([("A1B",), ("KDB",), ("ZZZ",), ("A1B",)], "k string")
+    for root, layout in (("nested", readers.KEY_IN_FILE_NAME), ("flat", readers.KEY_IN_FOLDER)):
+        got = readers.scan_keyed_files(spark, str(tmp_path / root), keys, "k", layout)
+        assert sorted((r.key, r.content) for r in got.collect()) == [
+            ("A1B", "<x>A1B\nmore</x>"), ("KDB", "<x>KDB\nmore</x>")]
+
+
+def test_fragments_in_an_outer_text_with_headers(spark, tmp_path):
+    from figura.sources import readers
+    (tmp_path / "c.xml").write_text(
+        '<TEI><teiHeader><textClass xml:id="hdr1">x</textClass></teiHeader><text><group>\n'
+        '<text xml:id="a-fragment01"><body><p xml:id="p1">one</p></body></text>\n'
+        '<text n="2" xml:id="b-fragment02"><textual xml:id="no">two</textual></text></group></text></TEI>')
+    got = sorted(tuple(r) for r in readers.scan_fragments(spark, str(tmp_path / "c.xml")).collect())
+    assert got == [
+        ("a-fragment01", '<text xml:id="a-fragment01"><body><p xml:id="p1">one</p></body></text>'),
+        ("b-fragment02", '<text n="2" xml:id="b-fragment02"><textual xml:id="no">two</textual></text>')]
+
+
+def test_blank_roles(spark):
+    """A blank is zeros for a zero role and a term like any other elsewhere."""
+    from figura.operators import encode, features
+    vocab = features.Vocabulary(spark.createDataFrame([("", [9.0]), ("run", [1.0])], "w string, x array<float>"),
+                                "w", "x", 1)
+    df = spark.createDataFrame([(1, "", ""), (2, "run", "nope"), (3, "", "run")], "id int, v string, s string")
+    got = features.term_vectors(df, ["v", "s"], vocab, zero_roles=["s"])
+    assert sorted((r.id, r.v, r.s, r.v_emb, r.s_emb) for r in got.collect()) == [
+        (1, "", "", [9.0], [0.0]), (2, "run", "nope", [1.0], [0.0]), (3, "", "run", [9.0], [1.0])]
+
+    def factory():
+        return lambda texts: [[len(t) + 5.0] for t in texts]
+    got = encode.attach_encodings(df, ["v", "s"], factory, 1, zero_roles=["s"])
+    assert sorted((r.id, r.v_emb, r.s_emb) for r in got.collect()) == [
+        (1, [5.0], [0.0]), (2, [8.0], [9.0]), (3, [5.0], [8.0])]
+
+
+def test_token_offsets_of_long_and_empty_texts_without_shuffle(spark):
+    import random
+    import re
+    from figura.operators.text_ops import token_offsets
+    rnd = random.Random(5)
+    texts = ["", " \n", None, "a", " a", "x" * 64] + [
+        "".join(rnd.choice("ab é\n") for _ in range(n)) for n in (63, 64, 65, 500, 40_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    out = token_offsets(df, "k")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [(k, i, m.group(), m.start()) for k, t in enumerate(texts) for i, m in enumerate(re.finditer(r"\S+", t or ""))]
+    assert sorted((r.k, r.pos, r.token, r.start) for r in out.collect()) == want
+
+
+def test_context_dictionary_with_repeated_rows(spark):
+    from figura.operators import features
+    df = spark.createDataFrame([("b", "x"), ("a", "y"), ("c", "x"), ("a", "y")], "id string, min_context string")
+    got = features.context_dictionary(df).orderBy("ctx_id").collect()
+    assert [(r.ctx_id, r.min_context, r.first_seen, r.n_rows) for r in got] == [(0, "y", "a", 2), (1, "x", "b", 2)]
