@@ -31,7 +31,8 @@ def repair_word_offset(raw: str | Column = "raw_sentence", offset: str | Column
     Keep the offset if the token there is the verb; else try +1, then +2;
     else the verb's first position; keep the offset when the verb is not in
     the sentence. As soon as a probe falls outside the sentence the offset
-    is kept unchanged (even if the verb occurs elsewhere).
+    is kept unchanged (even if the verb occurs elsewhere), and so it is
+    without a sentence or a verb.
     """
     raw = F.col(raw) if isinstance(raw, str) else raw
     o = F.col(offset) if isinstance(offset, str) else offset
@@ -40,7 +41,7 @@ def repair_word_offset(raw: str | Column = "raw_sentence", offset: str | Column
     ok2, t2 = _py_get(raw, o)
     ok3, t3 = _py_get(raw, o + 1)
     first = F.array_position(F.transform(raw, lambda t: F.lower(t)), v)
-    return (F.when(~ok1, o).when(t1 == v, o)
+    return (F.when(raw.isNull() | v.isNull(), o).when(~ok1, o).when(t1 == v, o)
             .when(~ok2, o).when(t2 == v, o + 1)
             .when(~ok3, o).when(t3 == v, o + 2)
             .when(first == 0, o)

@@ -108,9 +108,10 @@ def source_contexts(nodes: DataFrame, requests: DataFrame) -> DataFrame:
 
 def assemble_examples(train_index: DataFrame, train_labels: DataFrame, test_labels: DataFrame,
                       annotated: DataFrame, source: DataFrame, deps: DataFrame,
-                      lemmas: DataFrame) -> DataFrame:
-    """The example table (one row per labelled verb). The node tables are
-    read several times, so they are persisted (memory, spilling to disk)."""
+                      lemmas: DataFrame, keep_kind: bool = False) -> DataFrame:
+    """The example table (one row per labelled verb), with ``keep_kind`` also
+    the kind of context chosen (``min_kind``). The node tables are read
+    several times, so they are persisted (memory, spilling to disk)."""
     annotated = annotated.persist(StorageLevel.MEMORY_AND_DISK)
     source = source.persist(StorageLevel.MEMORY_AND_DISK)
     # parse once, before the many branches that read the node tables start
@@ -136,11 +137,16 @@ def assemble_examples(train_index: DataFrame, train_labels: DataFrame, test_labe
     for c in ("subject", "object", "subject_lemma", "object_lemma"):
         ex = ex.withColumn(c, F.coalesce(F.col(c), F.lit("")))
     ex = corpus.join_lemmas(ex, lemmas)
-    return corpus.finalize_examples(ex.drop("min_kind"))
+    return corpus.finalize_examples(ex if keep_kind else ex.drop("min_kind"))
 
 
-def assembly_rejects(examples: DataFrame) -> DataFrame:
-    """Examples the reference would stop on: no sentence, no context, or a
+def is_reject():
+    """True where the job would have stopped: no sentence, no context, or a
     sentence that is not inside its chosen context."""
-    return examples.where(F.col("sentence").isNull() | F.col("min_context").isNull()
-                          | (F.col("sentence_start_idx") < 0))
+    return (F.col("sentence").isNull() | F.col("min_context").isNull()
+            | F.coalesce(F.col("sentence_start_idx") < 0, F.lit(True)))
+
+
+def assembly_rejects(examples: DataFrame) -> DataFrame:
+    """The rejected examples."""
+    return examples.where(is_reject())

@@ -27,5 +27,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the query modules (each registers itself)."""
-    from figura.plans import (q_analysis, q_corpus, q_evaluate, q_features,  # noqa: F401
+    from figura.plans import (q_analysis, q_assembly, q_corpus, q_evaluate, q_features,  # noqa: F401
                               q_markup, q_models, q_text)
