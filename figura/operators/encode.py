@@ -37,22 +37,25 @@ def _get_encoder(factory: EncoderFactory):
 
 class HashingEncoder:
     """Deterministic stand-in encoder: signed feature hashing of lower-cased
-    whitespace tokens into ``dim`` buckets, averaged over tokens."""
+    whitespace tokens into ``dim`` buckets, averaged over tokens. A token's
+    hash is the first 8 hex digits of its md5; hashes with the top bit add 1,
+    others take 1 off."""
 
     def __init__(self, dim: int = 300):
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        import zlib
+        tokens = [t.lower().split() for t in texts]
+        number: dict[str, int] = {}
+        place = np.array([number.setdefault(w, len(number)) for ws in tokens for w in ws], np.int64)
+        hashes = np.array([int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) for w in number], np.int64)
+        sizes = np.array([len(ws) for ws in tokens], np.int64)
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            toks = t.lower().split()
-            for tok in toks:
-                h = zlib.crc32(tok.encode("utf-8"))
-                out[i, h % self.dim] += 1.0 if (h >> 31) & 1 else -1.0
-            if toks:
-                out[i] /= len(toks)
-        return out
+        if len(hashes):
+            sign = np.where(hashes >> 31 == 1, 1, -1).astype(np.float32)
+            rows = np.repeat(np.arange(len(texts)), sizes)
+            np.add.at(out, (rows, (hashes % self.dim)[place]), sign[place])
+        return out / np.maximum(sizes, 1).astype(np.float32)[:, None]
 
 
 def hashing_encoder_factory(dim: int = 300) -> EncoderFactory:
@@ -83,6 +86,25 @@ def encode_texts(texts: DataFrame, col: str, factory: EncoderFactory, dim: int,
         .select(F.col("_t").alias(col), F.col("_v").alias(name))
 
 
+def encode_rows(rows: DataFrame, key: str, col: str, factory: EncoderFactory, dim: int,
+                name: str = "vec", batch_rows: int = 256) -> DataFrame:
+    """Encode the texts of rows that are distinct already: ``(key, name
+    array<float>)``, so that what follows joins on the key and not on the
+    text. Null and blank texts have no row."""
+    src = rows.select(F.col(key).alias("_k"), F.col(col).alias("_t")).where(F.col("_t") != "")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = _get_encoder(factory)
+        for pdf in it:
+            for s in range(0, len(pdf), batch_rows):
+                chunk = pdf.iloc[s:s + batch_rows]
+                m = np.asarray(enc(chunk["_t"].tolist()), dtype=np.float32).reshape(len(chunk), dim)
+                yield pd.DataFrame({"_k": chunk["_k"].to_numpy(), "_v": list(m)})
+
+    return src.mapInPandas(run, f"_k {dict(src.dtypes)['_k']}, _v array<float>") \
+        .select(F.col("_k").alias(key), F.col("_v").alias(name))
+
+
 def attach_encodings(df: DataFrame, roles: list[str], factory: EncoderFactory, dim: int,
                      suffix: str = "_emb", zero_roles: list[str] | None = None) -> DataFrame:
     """Encode the terms of all ``roles`` in one pass (distinct terms across

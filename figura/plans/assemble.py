@@ -20,12 +20,12 @@ runs inside the markup scan that produced the node tables.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figura.functions import text as T
 from figura.operators import arguments, context, corpus
+from figura.session import staged
 from figura.sources import markup
 
 KINDS = ["p", "u", "div_4", "div_3", "div_2"]
@@ -75,8 +75,8 @@ def source_contexts(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     hit = (req.join(s_in_frag.withColumnRenamed("fragment_n", "bnc_file_n"), ["doc_id", "bnc_file_n", "n"])
            .groupBy("doc_id", "bnc_file", "bnc_file_n", "sentence_number")
            .agg(F.min(F.struct("s_pre", "frag_pre")).alias("_h"))
-           .select("doc_id", "bnc_file", "bnc_file_n", "sentence_number", "_h.s_pre", "_h.frag_pre")
-           .persist(StorageLevel.MEMORY_AND_DISK))     # read by four branches below
+           .select("doc_id", "bnc_file", "bnc_file_n", "sentence_number", "_h.s_pre", "_h.frag_pre"))
+    hit = staged(hit, "requested-sentences")     # read by four branches below
     targets = hit.select("doc_id", F.col("s_pre").alias("pre")).distinct() \
         .join(s.select("doc_id", F.col("s_pre").alias("pre"), "ancestors"), ["doc_id", "pre"])
     near = context.nearest_ancestors(targets, context.context_candidates(nodes), KINDS)
@@ -85,13 +85,14 @@ def source_contexts(nodes: DataFrame, requests: DataFrame) -> DataFrame:
         F.struct(F.lit(i).alias("prio"), F.lit(LEVEL_COLS[k]).alias("kind"), F.col(k).alias("a"))
         for i, k in enumerate(KINDS)])).alias("x")) \
         .select("doc_id", "s_pre", "x.prio", "x.kind", "x.a").where(F.col("a").isNotNull())
-    cand = cand.unionByName(hit.select("doc_id", "s_pre", F.lit(len(KINDS)).alias("prio"),
-                                       F.lit("div_1").alias("kind"), F.col("frag_pre").alias("a"))) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    cand = staged(cand.unionByName(hit.select("doc_id", "s_pre", F.lit(len(KINDS)).alias("prio"),
+                                              F.lit("div_1").alias("kind"), F.col("frag_pre").alias("a"))),
+                  "context-candidates")
     lens = markup.element_stripped_lengths(nodes, cand.select("doc_id", F.col("a").alias("pre")), "slen")
     best = (cand.join(lens.withColumnRenamed("pre", "a"), ["doc_id", "a"])
             .groupBy("doc_id", "s_pre").agg(F.min(F.struct("slen", "prio", "kind", "a")).alias("_b"))
             .select("doc_id", "s_pre", F.col("_b.kind").alias("min_kind"), F.col("_b.a").alias("a")))
+    best = staged(best, "context-winners")
     # texts of the winners and of the sentences only
     need = best.select("doc_id", F.col("a").alias("pre")).unionByName(
         hit.select("doc_id", F.col("s_pre").alias("pre"))).distinct()
@@ -110,27 +111,26 @@ def assemble_examples(train_index: DataFrame, train_labels: DataFrame, test_labe
                       annotated: DataFrame, source: DataFrame, deps: DataFrame,
                       lemmas: DataFrame, keep_kind: bool = False) -> DataFrame:
     """The example table (one row per labelled verb), with ``keep_kind`` also
-    the kind of context chosen (``min_kind``). The node tables are read
-    several times, so they are persisted (memory, spilling to disk)."""
-    annotated = annotated.persist(StorageLevel.MEMORY_AND_DISK)
-    source = source.persist(StorageLevel.MEMORY_AND_DISK)
-    # parse once, before the many branches that read the node tables start
-    annotated.count()
-    source.count()
+    the kind of context chosen (``min_kind``). What several
+    branches read (node tables, sentences, examples) is written once to the
+    shared folder."""
+    annotated = staged(annotated, "annotated-nodes")
+    source = staged(source, "source-nodes")
     keys = ["bnc_file", "bnc_file_n", "sentence_number"]
-    sents = annotated_sentences(annotated).persist(StorageLevel.MEMORY_AND_DISK)   # train and test
+    sents = staged(annotated_sentences(annotated), "annotated-sentences")   # train and test
     train = corpus.join_labels(corpus.parse_train_ids(train_index), train_labels)
     train = context.lookup_sentences(train, sents).drop("pre")
     test = corpus.parse_test_ids(test_labels)
     ok, token = arguments.py_item(F.col("raw_sentence"), F.col("word_offset") - 1)
     test = context.lookup_sentences(test, sents).drop("pre").withColumn("verb", F.when(ok, token))
+    train, test = staged(train, "train-examples"), staged(test, "test-examples")
     requests = train.select(*keys).unionByName(test.select(*keys))
-    ctx = source_contexts(source, requests)
+    ctx = staged(source_contexts(source, requests), "contexts")     # train and test
     train = train.join(ctx.drop("genre"), keys, "left")
     test = (test.join(ctx, keys, "left")
             .withColumn("partition", F.lit("test")).withColumn("fold_no", F.lit(0)))
     ex = corpus.union_examples(train, test)
-    ex = ex.withColumn("word_offset", arguments.repair_word_offset())
+    ex = staged(ex.withColumn("word_offset", arguments.repair_word_offset()), "examples")
     args = arguments.extract_arguments(arguments.deps_long(deps), ["id"], order="dep_pos",
                                        verbs=ex.select("id", "word_offset"))
     ex = ex.join(args, ["id", "word_offset"], "left")

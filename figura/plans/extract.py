@@ -41,8 +41,8 @@ def extract_with_encoder(examples: DataFrame, factory: encode.EncoderFactory, di
     distinct terms encoded once each."""
     ex = _terms(examples)
     dictionary = FT.context_dictionary(ex)
-    ctx_vec = encode.encode_texts(dictionary.select("min_context"), "min_context", factory, dim, "ctx_emb")
-    contexts = dictionary.join(ctx_vec, "min_context", "left").select(
+    ctx_vec = encode.encode_rows(dictionary, "ctx_id", "min_context", factory, dim, "ctx_emb")
+    contexts = dictionary.join(ctx_vec, "ctx_id", "left").select(
         "ctx_id", "min_context", F.coalesce("ctx_emb", F.array_repeat(F.lit(0.0).cast("float"), dim))
         .alias("ctx_emb"))
     facts = encode.attach_encodings(FT.gather_contexts(ex, dictionary), list(ROLES), factory, dim,

@@ -25,7 +25,7 @@ from figura.plans.q_corpus import _ok1, _ok2, _ok3, _t1, _t2, _t3, DEP_LABELS, L
 from figura.plans.q_markup import _xml_escape
 from figura.plans.q_text import SQL_NORM, SQL_WS_TOKENS
 from figura.plans.tables import TEST_BUCKETS, read, sql_bucket
-from figura.session import shared_path
+from figura.session import shared_path, staged
 from figura.sources import markup, readers
 
 NL = "chr(10)"
@@ -122,7 +122,7 @@ def corpus_assembly(spark, sf_dir):
     annotated_corpus(turns).select("xml").write.text(path)
     annotated = markup.node_table(readers.scan_fragments(spark, path).withColumnRenamed("fragment_id", "doc_id"))
     source = markup.node_table(source_corpus(turns))
-    req = requests(turns)
+    req = staged(requests(turns), "assembly-requests")     # the index, label, parse and lemma files
     train = req.where(~F.col("is_test"))
     index = train.select("id", "genre", F.lit("train").alias("partition"), "fold_no")
     lost = turns.where((F.col("conv_id") % 10 == 7) & (F.col("turn") == 0)).select(

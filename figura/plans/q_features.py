@@ -14,6 +14,7 @@ from figura.functions import text as T
 from figura.functions.vectors import first_token, last_layer, reshape3
 from figura.operators import features as FT
 from figura.plans.catalog import register
+from figura.plans.extract import extract_with_vocabulary
 from figura.plans.q_text import SQL_INFIX_TOKENS, SQL_WORD_TOKENS
 from figura.plans.tables import (DIGITS, EXAMPLES_SQL, VOCAB_SQL, examples, read,
                                  sql_vocab_key, vocabulary)
@@ -71,6 +72,12 @@ def _roles(spark, sf_dir):
                      word(F.col("text")).alias("v"), word(line(2)).alias("s"), word(line(3)).alias("o"))
 
 
+def _as_examples(spark, sf_dir):
+    """The same rows under the column names of the example table."""
+    return _roles(spark, sf_dir).withColumnsRenamed(
+        {"text": "min_context", "v": "verb_lemma", "s": "subject", "o": "object"}).where(F.col("min_context").isNotNull())
+
+
 _ROLES_SQL = EXAMPLES_SQL + f""",
 roles AS (
   SELECT e.*, d.text,
@@ -213,13 +220,7 @@ SELECT r.id, d.ctx_id, d.ctx_examples FROM roles r JOIN dict d ON r.text = d.tex
 def feature_store_roundtrip(spark, sf_dir):
     """Write the context dimension and the example facts (partitioned by
     split partition) to the shared store, read them back and gather."""
-    f = _features(spark, sf_dir).withColumnRenamed("text", "min_context")
-    d = FT.context_dictionary(f)
-    facts = FT.gather_contexts(f, d).select(
-        "id", "ctx_id", F.col("y").cast("int").alias("y"), "partition", "genre", "v_emb", "s_emb", "o_emb")
-    # one vector per context, joined on the 32-byte context key, not the text
-    vec = f.select(F.sha2(F.col("min_context"), 256).alias("ctx_key"), "ctx_emb").dropDuplicates(["ctx_key"])
-    dims = d.join(vec, "ctx_key").select("ctx_id", "min_context", "ctx_emb")
+    facts, dims = extract_with_vocabulary(_as_examples(spark, sf_dir), vocabulary(spark, sf_dir))
     path = shared_path(spark, "feature-store")
     FT.write_feature_store(facts, dims, path)
     facts_r, dims_r = FT.read_feature_store(spark, path)
