@@ -18,6 +18,12 @@ def predictions_wide(preds: DataFrame, models=("l", "la", "lac"), id_col: str =
         *[F.max(F.when(F.col("model") == m, F.col("pred"))).alias(f"{prefix}{m}") for m in models])
 
 
+def with_example_columns(wide: DataFrame, examples: DataFrame, on: str = "id") -> DataFrame:
+    """The prediction rows followed by the example table's other columns."""
+    extra = [c for c in examples.columns if c == on or c not in wide.columns]
+    return wide.join(examples.select(*extra), on)
+
+
 def annotate(rows: DataFrame, annots: DataFrame, on: str = "id") -> DataFrame:
     """Left join of rows with an annotation relation; unannotated rows get
     null labels. No broadcast hint: AQE broadcasts the relation only when

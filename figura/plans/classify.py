@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from figura.operators import analysis, evaluate, train
 from figura.operators.features import FEATURE_SETS
 from figura.operators.sampling import seeded_sample
+from figura.sources import readers
 
 PAIRS = [("l", "la"), ("la", "lac")]
 
@@ -32,9 +33,11 @@ def with_split(facts: DataFrame, n_dev: int = 0, seed: int = 0) -> DataFrame:
 
 
 def classify(facts: DataFrame, contexts: DataFrame, n_dev: int = 0, seed: int = 0,
-             classifier=None, digits: int | None = None):
+             classifier=None, digits: int | None = None, examples: DataFrame | None = None,
+             export: str | None = None):
     """Returns ``(metrics, significance, dev_predictions)``; the last is
-    None when ``n_dev`` is 0."""
+    None when ``n_dev`` is 0. With the ``examples`` table the dev rows carry
+    its columns; ``export`` is a path to write them to as CSV."""
     data = with_split(facts.join(contexts.select("ctx_id", "ctx_emb"), "ctx_id"), n_dev, seed)
     preds = train.ablation(data, FEATURE_SETS, classifier)
     test = preds.where(F.col("split") == "test")
@@ -44,4 +47,8 @@ def classify(facts: DataFrame, contexts: DataFrame, n_dev: int = 0, seed: int =
     dev = None
     if n_dev:
         dev = analysis.predictions_wide(preds.where(F.col("split") == "dev"))
+        if examples is not None:
+            dev = analysis.with_example_columns(dev, examples)
+        if export:
+            readers.write_csv(dev, export)
     return metrics, sig, dev

@@ -11,10 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from figura.functions import text as T
 from figura.operators import analysis
 from figura.operators.sampling import dense_index, head, seeded_sample
 from figura.plans.catalog import register
-from figura.plans.tables import PREDICTIONS_SQL, predictions, read
+from figura.plans.q_features import _ROLES_SQL, _roles
+from figura.plans.q_text import SQL_NORM
+from figura.plans.tables import EXAMPLES_SQL, PREDICTIONS_SQL, predictions, read
+from figura.session import shared_path
+from figura.sources import readers
 
 N_SAMPLE = 20      # analysis sample (reference: 100 of 500 dev rows)
 N_ERRORS = 20      # errors sampled per model
@@ -112,6 +117,30 @@ SELECT {", ".join(SHOW)} FROM smp WHERE ctx_label = 'beyond'
 """)(sample_beyond)
 
 
+def dev_export(spark, sf_dir):
+    """Dev rows with their example columns and every model's prediction,
+    written as CSV and read back as R reads it (empty and ``NA`` are null)."""
+    rows = _roles(spark, sf_dir).select(
+        "id", "partition", F.col("v").alias("verb"), F.col("s").alias("subject"), F.col("o").alias("object"),
+        T.normalize_whitespace("text").alias("min_context"))
+    wide = analysis.predictions_wide(predictions(spark, sf_dir).where(F.col("split") == "dev"))
+    path = shared_path(spark, "dev-export")
+    readers.write_csv(analysis.with_example_columns(wide, rows), path)
+    back = readers.read_csv_r(spark, path, "id bigint, genre string, y int, y_pred_l int, y_pred_la int, y_pred_lac int, "
+                                           "partition string, verb string, subject string, object string, min_context string")
+    return back.withColumn("min_context", F.md5("min_context")).withColumnRenamed("min_context", "context_md5")
+
+
+register("dev_export", f"""
+WITH {DEV_SQL}, {_ROLES_SQL.replace(EXAMPLES_SQL + ",", "").strip()}
+SELECT w.id, w.genre, CAST(w.y AS INTEGER) AS y, CAST(y_pred_l AS INTEGER) AS y_pred_l,
+       CAST(y_pred_la AS INTEGER) AS y_pred_la, CAST(y_pred_lac AS INTEGER) AS y_pred_lac, r.partition,
+       nullif(nullif(r.v, ''), 'NA') AS verb, nullif(nullif(r.s, ''), 'NA') AS subject, nullif(nullif(r.o, ''), 'NA') AS object,
+       md5(nullif(nullif({SQL_NORM.format('r.text')}, ''), 'NA')) AS context_md5
+FROM wide w JOIN roles r ON w.id = r.id
+""")(dev_export)
+
+
 def error_sample_counts(spark, sf_dir):
     """Per model: wrong dev rows, a seeded sample of them, label counts."""
     return analysis.error_sample_counts(dev_annotated(spark, sf_dir), N_ERRORS, SAMPLE_SEED)

@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["prf_overall_by_genre", "mcnemar_midp", "split_sizes", "error_sample_counts",
          "whitespace_norm", "infix_tokens", "token_offsets", "id_split_typed", "offset_repair",
          "smallest_context", "nearest_ancestor", "nth_fragment", "dep_arguments", "mean_pool",
-         "context_dictionary", "attr_extract", "node_text", "leaf_tokens"]
+         "context_dictionary", "attr_extract", "node_text", "leaf_tokens", "corpus_assembly",
+         "batch_encoder", "feature_store_roundtrip", "dev_export"]
 
 
 @pytest.fixture(scope="module")
