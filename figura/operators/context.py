@@ -74,12 +74,6 @@ def with_min_context(df: DataFrame, sentence: str = "sentence_text",
             .withColumn("sentence_end_idx", span["end"]))
 
 
-def context_rejects(df: DataFrame) -> DataFrame:
-    """Examples with no context at all, or whose sentence does not occur
-    in the chosen context (the reference stops there)."""
-    return df.where(F.col("min_context").isNull() | (F.col("sentence_start_idx") < 0))
-
-
 def fragment_ordinals(divs: DataFrame, doc: str = "doc_id", pre: str = "pre",
                       level: str = "level") -> DataFrame:
     """Number the fragments of each document 1, 2, ... in document order:

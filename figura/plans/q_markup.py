@@ -70,10 +70,10 @@ FROM pages
 
 
 def node_text(spark, sf_dir):
-    """Text of every ``<style>`` element (text runs under it, in order)."""
+    """Text of every ``<style>`` element (it has no element children)."""
     nodes = _page_nodes(spark, sf_dir)
     styles = markup.elements(nodes).where(F.col("tag") == "style").select("doc_id", "pre")
-    txt = markup.element_text(nodes, styles, "style_text")
+    txt = markup.child_text(nodes, styles, "style_text")
     return txt.select(F.col("doc_id").cast("bigint").alias("page_id"), "style_text")
 
 

@@ -166,18 +166,21 @@ def elements(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("tag") != TEXT)
 
 
-def leaf_elements(nodes: DataFrame) -> DataFrame:
-    """Elements without element children."""
-    return elements(nodes).where(F.col("child_elements") == 0)
+def _runs_under(runs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Text runs (``doc_id, _tp, ancestors, ...``) with each target ``pre``
+    above them. Only node numbers are exploded and matched; texts are fetched
+    for the runs that matched."""
+    hit = (runs.select("doc_id", "_tp", F.explode("ancestors").alias("pre"))
+           .join(targets.select("doc_id", "pre"), ["doc_id", "pre"]))
+    return hit.join(runs.drop("ancestors"), ["doc_id", "_tp"])
 
 
 def element_text(nodes: DataFrame, targets: DataFrame, name: str = "text") -> DataFrame:
     """Full text (all descendant text runs in document order) of each
     target element ``(doc_id, pre)``: text rows are matched to targets
     through their ancestor lists (an equi-join), then concatenated."""
-    runs = nodes.where(F.col("tag") == TEXT).select(
-        "doc_id", F.col("pre").alias("_tp"), "text", F.explode("ancestors").alias("pre"))
-    hit = runs.join(targets.select("doc_id", "pre"), ["doc_id", "pre"])
+    hit = _runs_under(nodes.where(F.col("tag") == TEXT).select("doc_id", F.col("pre").alias("_tp"), "text", "ancestors"),
+                      targets)
     pairs = F.array_sort(F.collect_list(F.struct(F.col("_tp"), F.col("text"))))
     got = hit.groupBy("doc_id", "pre").agg(F.array_join(F.transform(pairs, lambda x: x["text"]), "").alias(name))
     return targets.join(got, ["doc_id", "pre"], "left").withColumn(name, F.coalesce(F.col(name), F.lit("")))
@@ -235,13 +238,10 @@ def leaf_tokens(nodes: DataFrame, targets: DataFrame, name: str = "tokens") -> D
     an element that also has element children is not included).
 
     Text runs inside leaves are matched to targets through their ancestor
-    lists; the join and the per-target aggregation share one partitioning
-    on ``(doc_id, pre)``."""
+    lists."""
     from figura.functions.text import whitespace_tokens
-    runs = nodes.where(F.col("in_leaf")).select(
-        "doc_id", F.col("pre").alias("_tp"), F.col("parent").alias("_leaf"), "text",
-        F.explode("ancestors").alias("pre"))
-    hit = runs.join(targets.select("doc_id", "pre"), ["doc_id", "pre"])
+    hit = _runs_under(nodes.where(F.col("in_leaf")).select(
+        "doc_id", F.col("pre").alias("_tp"), F.col("parent").alias("_leaf"), "text", "ancestors"), targets)
     hit = hit.where(F.col("_leaf") != F.col("pre"))        # the target itself is not its own leaf
     pairs = F.array_sort(F.collect_list(F.struct(F.col("_tp"), F.col("_leaf"), F.col("text"))))
     # runs of one leaf are adjacent in document order: glue them, and put a
