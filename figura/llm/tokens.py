@@ -4,7 +4,9 @@ A text is cut where one space stands between two characters that are not white
 space; pieces tokenise alone as they do in place (the pre-tokenizers of the
 vocabularies used here never join across such a space). Pieces repeat, so each
 worker keeps the ids of pieces met before, in a table of bounded size. Texts
-with other spacing, or with the text of an added token, are encoded whole.
+with other spacing, or with the text of an added token, are encoded whole. If
+the vocabulary drops white space, texts are cut at all of it; there texts with
+U+001C to U+001F, white space to Python but not to the tokenizer, are whole.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end is None else array("I", [end]).tobytes()
         self.spaced = self.tokenizer.normalizer is None
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = ["\0", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *("" if self.spaced else "\x1c\x1d\x1e\x1f")]
         self.tokenize = self.tokenizer.model.tokenize
         self.known = _Known(self._piece, room)
         self.words = _Known(self._model, room)
@@ -82,7 +84,7 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return self.end
-        if "\0" in text or any(a in text for a in self.added):
+        if any(a in text for a in self.odd):
             return self._whole(text) + self.end
         pieces = text.replace(" ", "\0 ").split("\0") if self.spaced else text.split()
         try:

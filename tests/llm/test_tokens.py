@@ -41,3 +41,18 @@ def test_documents(name):
     enc = Encoder(vocabulary(name))
     for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist():
         assert ids(enc.encode(t)) == enc.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("text", ["alpha\x1cbeta", "alpha\x1dbeta", "alpha\x1ebeta", "alpha\x1fbeta", "\x1f", "a \x1f b", "a\x1c \x1d", "x\x0by\x0cz\xa0\u2028w\u3000v"])
+def test_information_separators(name, text):
+    enc = ENC[name]
+    assert ids(enc.encode(text))[:-1] == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aZé1. \n\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u3000"), max_size=30))
+def test_random_white_space(name, text):
+    enc = ENC[name]
+    assert ids(enc.encode(text))[:-1] == enc.tokenizer.encode(text, add_special_tokens=False).ids
