@@ -14,7 +14,9 @@ documents, packed), scoring sends a document's distinct n-grams to the shards
 that hold their terms and adds up partial sums per chunk (packed; at most one
 per n-gram that was asked). N-grams with a large share of
 all tokens, a number bounded by that share, are scored where the document is;
-those met once in the corpus and never in the target need no entry. Counts
+those met once in the corpus and never in the target need no entry if the
+background is the scored corpus itself (an n-gram that is asked but has no
+entry was met there, once); a background of its own keeps them all. Counts
 cover all data; models never reach the driver.
 """
 
@@ -123,10 +125,11 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(inv, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def train(target: DataFrame, background: DataFrame, bits: int, chunk_tokens: int) -> DataFrame:
+def train(target: DataFrame, background: DataFrame, bits: int, chunk_tokens: int, least: int = 1) -> DataFrame:
     """The two models, a row a shard: shard, keys, c_t and c_b (packed; without
-    n-grams met once in the background and never in the target), and the
-    shard's totals: tokens of either side, words of the vocabulary."""
+    n-grams met less than ``least`` times in the background and never in the
+    target), and the shard's totals: tokens of either side, words of the
+    vocabulary."""
     counts = ngram_counts(target, True, bits, chunk_tokens).unionAll(ngram_counts(background, False, bits, chunk_tokens))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +143,7 @@ def train(target: DataFrame, background: DataFrame, bits: int, chunk_tokens: int
             c[t] = np.zeros(len(keys), np.int64)
             c[t][np.searchsorted(keys, k)] = n
         context = keys & _ONE == 0
-        rest = (c[False] > 1) | (c[True] > 0)
+        rest = (c[False] >= least) | (c[True] > 0)
         return pd.DataFrame({
             "shard": [int(rows["shard"].iat[0])], "keys": [_packed(keys[rest])],
             "c_t": [_planes(c[True][rest])], "c_b": [_planes(c[False][rest])],
@@ -157,7 +160,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     """One row per row of ``docs``: doc_id, n_tokens and score, the mean of
     target loss less background loss in bits per token.
 
-    ``background`` is ``docs`` unless given. Null, empty and wordless texts
+    ``background`` is ``docs`` unless given; n-grams of ``docs`` that a given
+    background does not hold count as never met in it. Null, empty and wordless texts
     have no tokens and a null score. With an empty target, or an empty
     background, the other side's counts decide alone. Rows are scored one by one,
     whatever their ids. Other columns are ignored.
@@ -165,10 +169,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     def texts(df: DataFrame) -> DataFrame:
         return df.select((F.col(doc_id) if doc_id in df.columns else F.lit(None)).alias("doc_id"), F.col(text).cast("binary").alias("text"))
 
-    background = docs if background is None else background
-    size = texts(background).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = background is None or background is docs
+    background = docs if own else background
+    read = texts(docs) if own else texts(docs).select("text").unionAll(texts(background).select("text"))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0      # shards hold the model and the asked n-grams
     bits = max(0, math.ceil(math.log2(max(1, size / shard_bytes))))
-    model = train(texts(target), texts(background), bits, chunk_tokens)
+    unseen = 1 if own else 0                             # background count of an n-gram of docs without an entry
+    model = train(texts(target), texts(background), bits, chunk_tokens, unseen + 1)
     total = model.agg(F.sum("n_t"), F.sum("n_b"), F.sum("words")).first()
     n_t, n_b, words = (int(x or 0) for x in total)
     scale = n_t / n_b if n_t and n_b else 1.0
@@ -242,7 +249,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
         term, out = terms(keys, c_t, c_b), []
         for chunk, k, d in zip(asks["chunk"], asks["keys"], asks["docs"], strict=True):
             k, d = _unpacked(k), _from_planes(d, np.uint32)
-            x = terms(k, np.zeros(len(k)), np.ones(len(k)))        # met once, here, and never in the target
+            x = terms(k, np.zeros(len(k)), np.full(len(k), unseen))    # never in the target
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                 x = np.where(keys[at] == k, term[at], x)

@@ -106,6 +106,25 @@ def test_cross_entropy_difference(docs, empty):
     assert lmscore.cross_entropy_difference(docs, empty).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("kw", [{}, dict(shard_bytes=2000, chunk_tokens=500, heavy=50)])
+@pytest.mark.parametrize("held", ["separate", "empty"])
+def test_cross_entropy_difference_with_a_background(spark, docs, held, kw):
+    """N-grams that the background holds once, and those it doesn't hold."""
+    back = [] if held == "empty" else [(1, "alpha beta gamma once only"), (2, "the of the of"), (3, None), (4, PAIRS[1][1])]
+    target = [(d, t) for d, t in PAIRS if d is not None and d % 5 == 0 and d != 44]
+    grams = lambda t: (w := [lower(x) for x in (t or "").split()]) and list(zip(["<s>", *w], w))
+    (gt, ht), (gb, hb) = [(Counter(x for _, t in rows for x in grams(t)), Counter(h for _, t in rows for h, _ in grams(t))) for rows in (target, back)]
+    v, a = len(set(ht) | set(hb)), 0.01
+    scale = sum(ht.values()) / sum(hb.values()) if hb else 1.0
+    want = []
+    for d, t in PAIRS:
+        diff = [math.log2(ht[h] + a * v) - math.log2(gt[h, w] + a) - math.log2(scale * hb[h] + a * v) + math.log2(scale * gb[h, w] + a) for h, w in grams(t)]
+        want.append((d, len(diff), round(sum(diff) / len(diff), 6) if diff else None))
+    got = lmscore.cross_entropy_difference(docs, spark.createDataFrame(target, "doc_id long, text string"),
+                                           spark.createDataFrame(back, "doc_id long, text string"), **kw).collect()
+    assert key((r.doc_id, r.n_tokens, None if r.score is None else round(r.score, 6)) for r in got) == key(want)
+
+
 def brute_runs(rows, least):
     """Deleted non-blank lines by (id, text): windows of ``least`` words or more, compared pairwise by content."""
     docs = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
