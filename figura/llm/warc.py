@@ -33,7 +33,9 @@ MIN_REVISIT = 100
 SAMPLES = 64
 _RUN = pa.schema([("key", pa.string()), ("url", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()),
                   ("digest", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_MANIFEST = "run string, first string, last string, n bigint, path string, archive string, samples array<string>"
+_MANIFEST = "run string, first string, last string, part int, n bigint, path string, archive string, samples array<string>"
+#: The sort key's separator, U+0000, sorts before all that a URL key has in it.
+_ESCAPES = (("\x01", "\x01\x02"), ("\x00", "\x01\x01"))
 
 
 def url_key(url: str | None) -> str:
@@ -52,9 +54,19 @@ def url_key(url: str | None) -> str:
 def sort_key(key: str, ts: str, page_id: int | None) -> str:
     """One string that orders captures by URL key, timestamp and page."""
     page = 0 if page_id is None else page_id + (1 << 63)
+    for c, e in _ESCAPES:
+        key = key.replace(c, e)
     return f"{key}\x00{ts}\x00{page:020d}"
 
 
+def _key_of(sort: str) -> str:
+    """The URL key in a sort key."""
+    key = sort.split("\x00", 1)[0]
+    for c, e in reversed(_ESCAPES):
+        key = key.replace(e, c)
+    return key
+
+
 def _record(headers: Sequence[tuple[str, object]], block: bytes) -> bytes:
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(block)}\r\n\r\n"
     return gzip.compress(head.encode() + block + b"\r\n\r\n", 3, mtime=0)
@@ -145,7 +157,7 @@ def _write_run(out: str, rows: list[tuple], keys: list[str], stem: str) -> tuple
 
 def write_archives(caps: DataFrame, out: str, archive_bytes: int = 64 << 20) -> DataFrame:
     """Write the captures as archives with a sorted run each; returns the
-    manifest (run, first, last, n, path, archive, samples). A file is closed
+    manifest (run, first, last, part, n, path, archive, samples). A file is closed
     at ``archive_bytes`` of uncompressed payload, so a task's memory is bounded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, rows, held = io.BytesIO(), [], 0
@@ -158,7 +170,7 @@ def write_archives(caps: DataFrame, out: str, archive_bytes: int = 64 << 20) ->
             order = sorted((sort_key(r[0], r[2], r[3]), k) for k, r in enumerate(rows))
             got = _write_run(out, [(*rows[k][:5], archive, *rows[k][5:]) for _, k in order], [k for k, _ in order], name)
             body, rows, held = io.BytesIO(), [], 0
-            return _manifest([(name, *got[:4], archive, got[4])])
+            return _manifest([(name, *got[:2], 0, *got[2:4], archive, got[4])])
 
         for b in batches:
             for p in b.to_pylist():
@@ -176,8 +188,8 @@ def write_archives(caps: DataFrame, out: str, archive_bytes: int = 64 << 20) ->
 
 
 def _manifest(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["run", "first", "last", "n", "path", "archive", "samples"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+    names = ["run", "first", "last", "part", "n", "path", "archive", "samples"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
     cols = list(zip(*rows, strict=True)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -221,13 +233,15 @@ class LoserTree:
 def _slice(paths: list[str], lo: str | None, hi: str | None, rows: int) -> Iterator[tuple]:
     """(key, row) of a run's files in order, for keys in [lo, hi); only row
     groups that can hold such keys are read, ``rows`` rows at a time."""
+    low, high = (None if k is None else _key_of(k) for k in (lo, hi))
     for path in paths:
         fs, p = open_fs(path)
         f = pq.ParquetFile(fs.open_input_file(p))
         groups = []
         for g in range(f.num_row_groups):
             stats = f.metadata.row_group(g).column(0).statistics
-            if stats is None or not stats.has_min_max or ((lo is None or stats.max >= lo.split("\x00")[0]) and (hi is None or stats.min <= hi.split("\x00")[0])):
+            least, most = (stats.min, stats.max) if stats is not None and stats.has_min_max else (None, None)   # long ones are left out
+            if (low is None or most is None or most >= low) and (high is None or least is None or least <= high):
                 groups.append(g)
         for batch in f.iter_batches(rows, row_groups=groups) if groups else ():
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -241,7 +255,8 @@ def _slice(paths: list[str], lo: str | None, hi: str | None, rows: int) -> Itera
 def merge_pass(manifest: DataFrame, out: str, fan_in: int, range_rows: int) -> DataFrame:
     """One pass: runs (made of files in key order) are grouped by ``fan_in``;
     each group becomes one run of range files. Splitters are picked from the
-    samples of a group, on the group's rows only."""
+    samples of a group, on the group's rows only. The files of a range are
+    numbered (``part``): those that one sort key fills have the same ``first``."""
     runs = manifest.groupBy("run").agg(F.sum("n").alias("n"))
     # runs are few (one per archive); their numbers are taken by hash order in buckets of about fan_in
     count = runs.count()
@@ -257,9 +272,9 @@ def merge_pass(manifest: DataFrame, out: str, fan_in: int, range_rows: int) -> D
     nxt = Window.partitionBy("grp").orderBy("lo")
     ranges = (cuts.distinct().withColumn("hi", F.lead("lo").over(nxt))
               .withColumn("lo", F.when(F.row_number().over(nxt) > 1, F.col("lo"))))
-    files = (ranges.join(dealt.select("grp", "run", "first", "last", "path", "n"), "grp")
+    files = (ranges.join(dealt.select("grp", "run", "first", "last", "part", "path", "n"), "grp")
              .where((F.col("hi").isNull() | (F.col("first") < F.col("hi"))) & (F.col("lo").isNull() | (F.col("last") >= F.col("lo")))))
-    work = files.groupBy("grp", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("run", "first", "path"))).alias("files"))
+    work = files.groupBy("grp", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("run", "first", "part", "path"))).alias("files"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,15 +292,19 @@ def merge_pass(manifest: DataFrame, out: str, fan_in: int, range_rows: int) -> D
                         rows, keys = [], []
                 if rows:
                     done.append(_write_run(out, rows, keys, uuid.uuid4().hex))
-                yield _manifest([(f"merged-{task['grp']}", *d[:4], None, d[4]) for d in done])
+                yield _manifest([(f"merged-{task['grp']}", *d[:2], part, *d[2:4], None, d[4]) for part, d in enumerate(done)])
 
     return stage(work.repartition(max(1, work.count())).mapInArrow(run, _MANIFEST), "merge-manifest")
 
 
 def merge_index(manifest: DataFrame, out: str, fan_in: int = 64, range_rows: int = 20_000) -> DataFrame:
-    """Merge all runs into one, pass by pass; returns its manifest."""
+    """Merge all runs into one, pass by pass; returns its manifest. A pass
+    that doesn't give the rows that it was given is an error."""
+    want = manifest.agg(F.sum("n")).first()[0]
     while True:
         manifest = merge_pass(manifest, out, fan_in, range_rows)
+        if (got := manifest.agg(F.sum("n")).first()[0]) != want:
+            raise RuntimeError(f"{got} captures are left of {want}")
         if manifest.select("run").distinct().count() <= 1:
             return manifest
 
@@ -294,7 +313,7 @@ def read_index(merged: DataFrame) -> DataFrame:
     """The captures of a merged index with ``position``, their place in the
     global order, and ``capture``, their place in the history of the URL key."""
     from pyspark.sql import Window
-    w = Window.orderBy("first")                          # one row per range file
+    w = Window.orderBy("first", "part")                  # one row per range file
     starts = merged.select("path", (F.sum("n").over(w) - F.col("n")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

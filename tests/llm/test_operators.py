@@ -75,6 +75,23 @@ def test_archives(spark, empty):
     assert warc.archive_pages(empty.selectExpr("doc_id page_id", "text url", "text html")).count() == 0
 
 
+def test_one_key_fills_many_range_files(spark, tmp_path):
+    """Files of one sort key are read on in the next pass, in order."""
+    pages = [(7, "http://a.org/x", "<p>")] * 90 + [(i, "http://a.org/x", "<p>") for i in range(20)] + [(None, None, None)] * 70
+    pages += [(i, "http://b.org/" + "y" * 5000 * (i % 2), "<p>") for i in range(20)]
+    pages += [(i, u, "<p>") for i in range(6) for u in ("http://a.org/x\x00", "http://a.org/x\x00!", "http://a.org/x\x01", "http://a.org/x\x00\x00")]
+    random.Random(4).shuffle(pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    manifest = warc.write_archives(warc.captures(df), f"{tmp_path}/archives", 20)
+    merged = warc.merge_index(manifest, f"{tmp_path}/index", fan_in=2, range_rows=3)
+    got = warc.read_index(merged).orderBy("position").collect()
+    assert key((r.page_id, r.url) for r in got) == key(x[:2] for x in pages)
+    assert [r.position for r in got] == list(range(len(pages)))
+    order = [(r.key, r.ts, -1 if r.page_id is None else r.page_id) for r in got]
+    assert order == sorted(order)
+    assert [warc._key_of(warc.sort_key(k, "2", 1)) for k in ("", "a\x00\x01b", "\x01\x02")] == ["", "a\x00\x01b", "\x01\x02"]
+
+
 def test_loser_tree_merges():
     rng = random.Random(1)
     runs = [sorted((rng.randint(0, 9), i) for _ in range(rng.randint(0, 9))) for i in range(7)]
