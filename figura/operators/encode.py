@@ -1,6 +1,6 @@
 """Text encoders: the batched-encoder contract (any callable that turns a
 list of texts into a float matrix, run with ``mapInPandas`` over Arrow
-batches of *distinct* texts) and a Word2Vec-based vectoriser.
+batches of *distinct* texts).
 """
 
 from __future__ import annotations
@@ -10,9 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, cloudpickle
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,25 +119,3 @@ def attach_encodings(df: DataFrame, roles: list[str], factory: EncoderFactory, d
                .drop("_jk")
                .withColumn(f"{r}{suffix}", F.coalesce(F.col(f"{r}{suffix}"), zero_vector(dim))))
     return out
-
-
-def word2vec_vectors(tokens: DataFrame, token_col: str, dim: int = 300, min_count: int = 5,
-                     seed: int = 0, max_iter: int = 1):
-    """Fit Word2Vec on token arrays; returns the model and its vector table
-    ``(word, vector array<float>)``."""
-    w2v = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=max_iter,
-                   inputCol=token_col, outputCol="_doc_vec",
-                   numPartitions=max(1, tokens.sparkSession.sparkContext.defaultParallelism))
-    # the fit reads its input twice (vocabulary, then training): tokenise once
-    cached = tokens.select(token_col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = w2v.fit(cached)
-    finally:
-        cached.unpersist()
-    vectors = model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
-    return model, vectors
-
-
-def word2vec_documents(model, tokens: DataFrame, name: str = "ctx_emb") -> DataFrame:
-    """Document vector = mean of its words' vectors (Word2VecModel)."""
-    return model.transform(tokens).withColumn(name, vector_to_array("_doc_vec", "float32")).drop("_doc_vec")

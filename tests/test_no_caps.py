@@ -109,3 +109,21 @@ def test_context_dictionary_with_repeated_rows(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "y"), ("c", "x"), ("a", "y")], "id string, min_context string")
     got = features.context_dictionary(df).orderBy("ctx_id").collect()
     assert [(r.ctx_id, r.min_context, r.first_seen, r.n_rows) for r in got] == [(0, "y", "a", 2), (1, "x", "b", 2)]
+
+
+def test_word_vectors_count_every_word(spark, tmp_path):
+    """A word met once counts; rows are those of the SQL."""
+    import duckdb
+
+    import __spark_entry__ as E
+    docs = [(1, "zebra quilt once\nriver\nstone", "en"), (2, "zebra", "en"), (3, "", "en"), (4, None, "en"), (5, "the the of", "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, str(i % 2)) for i, _, _ in docs], "doc_id long, quality string").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, [i + 1.0, 2.0]) for i in range(7)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    cols = "id, ctx_dim, v_known, s_known, o_known, ctx_l2"
+    got = sorted(tuple(r) for r in E.queries()["word2vec_features"](spark, str(tmp_path)).select(*cols.split(", ")).collect())
+    assert [r[2] for r in got] == [True, True, False, False, True] and [r[5] > 0 for r in got] == [True, True, False, False, True]
+    assert got == sorted(con.execute(f"SELECT {cols} FROM ({E.oracle_sql()['word2vec_features']})").fetchall())
