@@ -33,7 +33,7 @@ MIN_REVISIT = 100
 SAMPLES = 64
 _RUN = pa.schema([("key", pa.string()), ("url", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()),
                   ("digest", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_MANIFEST = "run string, first string, last string, part int, n bigint, path string, archive string, samples array<string>"
+_MANIFEST = "run string, first string, last string, part int, n bigint, path string, tail bigint, archive string, samples array<string>"
 #: The sort key's separator, U+0000, sorts before all that a URL key has in it.
 _ESCAPES = (("\x01", "\x01\x02"), ("\x00", "\x01\x01"))
 
@@ -152,12 +152,13 @@ def _write_run(out: str, rows: list[tuple], keys: list[str], stem: str) -> tuple
     path = f"{out}/{stem}.parquet"
     write_file(path, buf.getvalue())
     step = max(1, len(keys) // SAMPLES)
-    return keys[0], keys[-1], len(rows), path, keys[::step]
+    tail = next((k for k, r in enumerate(reversed(rows)) if r[0] != rows[-1][0]), len(rows))      # rows of the last URL key
+    return keys[0], keys[-1], len(rows), path, tail, keys[::step]
 
 
 def write_archives(caps: DataFrame, out: str, archive_bytes: int = 64 << 20) -> DataFrame:
     """Write the captures as archives with a sorted run each; returns the
-    manifest (run, first, last, part, n, path, archive, samples). A file is closed
+    manifest (run, first, last, part, n, path, tail, archive, samples). A file is closed
     at ``archive_bytes`` of uncompressed payload, so a task's memory is bounded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, rows, held = io.BytesIO(), [], 0
@@ -170,7 +171,7 @@ def write_archives(caps: DataFrame, out: str, archive_bytes: int = 64 << 20) ->
             order = sorted((sort_key(r[0], r[2], r[3]), k) for k, r in enumerate(rows))
             got = _write_run(out, [(*rows[k][:5], archive, *rows[k][5:]) for _, k in order], [k for k, _ in order], name)
             body, rows, held = io.BytesIO(), [], 0
-            return _manifest([(name, *got[:2], 0, *got[2:4], archive, got[4])])
+            return _manifest([(name, *got[:2], 0, *got[2:5], archive, got[5])])
 
         for b in batches:
             for p in b.to_pylist():
@@ -188,8 +189,8 @@ def write_archives(caps: DataFrame, out: str, archive_bytes: int = 64 << 20) ->
 
 
 def _manifest(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["run", "first", "last", "part", "n", "path", "archive", "samples"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+    names = ["run", "first", "last", "part", "n", "path", "tail", "archive", "samples"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())]
     cols = list(zip(*rows, strict=True)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -292,7 +293,7 @@ def merge_pass(manifest: DataFrame, out: str, fan_in: int, range_rows: int) -> D
                         rows, keys = [], []
                 if rows:
                     done.append(_write_run(out, rows, keys, uuid.uuid4().hex))
-                yield _manifest([(f"merged-{task['grp']}", *d[:2], part, *d[2:4], None, d[4]) for part, d in enumerate(done)])
+                yield _manifest([(f"merged-{task['grp']}", *d[:2], part, *d[2:5], None, d[5]) for part, d in enumerate(done)])
 
     return stage(work.repartition(max(1, work.count())).mapInArrow(run, _MANIFEST), "merge-manifest")
 
@@ -311,23 +312,33 @@ def merge_index(manifest: DataFrame, out: str, fan_in: int = 64, range_rows: int
 
 def read_index(merged: DataFrame) -> DataFrame:
     """The captures of a merged index with ``position``, their place in the
-    global order, and ``capture``, their place in the history of the URL key."""
+    global order, and ``capture``, their place in the history of the URL key
+    (both from 0). Histories go on from file to file: a file's first key has
+    the rows in earlier files that these end with (``tail``)."""
     from pyspark.sql import Window
     w = Window.orderBy("first", "part")                  # one row per range file
-    starts = merged.select("path", (F.sum("n").over(w) - F.col("n")).alias("start"))
+    head, last = (F.substring_index(c, "\x00", 1) for c in ("first", "last"))
+    same = Window.partitionBy("ends").orderBy("first", "part")
+    ends = merged.withColumn("ends", last).withColumn("upto", F.sum("tail").over(same))
+    before = F.when(F.lag("ends").over(w) == head, F.lag("upto").over(w)).otherwise(0)
+    starts = ends.select("path", (F.sum("n").over(w) - F.col("n")).alias("start"), before.alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = pq.read_table(io.BytesIO(read_file(path)))
+            for path, start, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t, held = pq.read_table(io.BytesIO(read_file(path))), None
                 for part in t.to_batches():
+                    rank = np.empty(part.num_rows, np.int64)
+                    for k, key in enumerate(part.column(0).to_pylist()):
+                        before = before if held in (None, key) else 0
+                        rank[k], held, before = before, key, before + 1
                     at = pa.array(np.arange(start, start + part.num_rows))
                     start += part.num_rows
-                    yield pa.RecordBatch.from_arrays([*part.columns, at], names=[*_RUN.names, "position"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, at, pa.array(rank)], names=[*_RUN.names, "position", "capture"])
 
     return (starts.repartition(max(1, merged.count()))
             .mapInArrow(run, "key string, url string, ts string, page_id bigint, digest string, archive string, "
-                             "offset bigint, length bigint, position bigint"))
+                             "offset bigint, length bigint, position bigint, capture bigint"))
 
 
 def read_archives(paths: DataFrame) -> DataFrame:

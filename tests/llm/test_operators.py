@@ -89,6 +89,10 @@ def test_one_key_fills_many_range_files(spark, tmp_path):
     assert [r.position for r in got] == list(range(len(pages)))
     order = [(r.key, r.ts, -1 if r.page_id is None else r.page_id) for r in got]
     assert order == sorted(order)
+    met = Counter()
+    for r in got:
+        assert r.capture == met[r.key]
+        met[r.key] += 1
     assert [warc._key_of(warc.sort_key(k, "2", 1)) for k in ("", "a\x00\x01b", "\x01\x02")] == ["", "a\x00\x01b", "\x01\x02"]
 
 
