@@ -55,7 +55,7 @@ STAGES = [
     ("best-fit packing", bestfit_packing),
 ]
 
-#: Tokenisation and SimHash have no SQL form; tests hold run() against brute force.
+#: Tokenisation and SimHash have no SQL form. Tests hold stages against their operators, not run() against brute force.
 ORACLE_SQL = None
 
 
