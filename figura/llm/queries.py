@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figura.llm import decontaminate, linededup, lmscore, packing, quality, sharding, simhash, suffixdedup, warc, wavelet
+from figura.llm import decontaminate, linededup, lmscore, packing, quality, sharding, simhash, spelling, suffixdedup, warc, wavelet
 from figura.llm.catalog import register, table
 from figura.llm.tokens import vocabulary
 
@@ -155,3 +155,9 @@ def op9_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 1024, end=2)
+
+
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its form, root and near words."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
