@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figura.llm import decontaminate, linededup, lmscore, packing, quality, sharding, simhash, spelling, suffixdedup, warc, wavelet
+from figura.llm import (decontaminate, divergence, linededup, lmscore, packing, pii, quality, sharding, simhash, spelling,
+                        suffixdedup, warc, wavelet)
 from figura.llm.catalog import register, table
 from figura.llm.tokens import vocabulary
 
@@ -161,3 +162,48 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word with its form, root and near words."""
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@register("op12_source_divergence", sql=r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, term, sum(c)::BIGINT AS c FROM c GROUP BY ALL),
+s AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS n FROM l GROUP BY ALL),
+m AS (SELECT lang, source, sum(c)::BIGINT AS n FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000 * (coalesce(c.c, 0) + 2)) // (coalesce(m.n, 0) + 2 * s.v) AS p
+  FROM g JOIN k USING (lang) JOIN s USING (lang) LEFT JOIN m USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+t AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p, 1 + (1000000000 * (l.c + 2)) // (s.n + 2 * s.v) AS q
+  FROM p JOIN l USING (lang, term) JOIN s USING (lang) WHERE p.c > 0),
+term AS (
+  SELECT lang, source, part, item, ((p - q) * (p - q)) // (p + q) AS value FROM t WHERE p > q),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM r WHERE part = 'pair' OR rank <= 10
+""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of a language's sources, and the terms that
+    set each source apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, all spans."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
