@@ -1,110 +1,78 @@
 """Divergence between the sources of one language, in exact integers.
 
-Documents become exact sparse count vectors with ``CountVectorizer`` (minDF,
-largest vocabSize, so no term is cut), vectors are summed by (lang, source),
-and pairs of sources are compared on the terms that occur in either.
-
-A fitted vocabulary passes through the driver and is broadcast. So terms are
-first dealt into shards by hash, as many as keep a shard under ``shard_terms``
-different terms, each shard is fitted on its own, and vocabularies leave the
-driver's model as a table. A term names its language too (``term\\0lang``), so
-one fit serves all languages and document frequencies are per language.
+A document is an exact sparse vector of term counts. As ``CountVectorizer``
+with minDF and the largest vocabSize would, each language keeps every term
+that is in enough of its documents; vectors are summed by (lang, source), and
+pairs of sources are compared on the terms that occur in either.
+
+``CountVectorizer`` itself collects its vocabulary on the driver, broadcasts it
+and handles a string object per token. Here the vocabulary stays a table: tasks
+add up their documents' vectors by group (counts, and documents that have the
+term), Spark merges these sums by term, and minDF is applied to the merged
+ones. Nothing that grows with the data passes through the driver.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from figura.llm.common import drop_staged, folder, remove, stage, tasks
+from figura.llm.common import drop_staged, stage, tasks
 
 WORD = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-MAX_VOCAB = 2**31 - 1
 SCALE = 1000          # three steps of long division by it make the factor 10^9
-_TOKENS = "lang string, source string, terms array<string>"
+_HELD = 600_000       # entries of summed vectors a task holds
+_DOC = 1 << 40        # a document, above the occurrences in a sum
 
 
-def document_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(lang, source, terms) of every row: whole texts, only A-Z lower-cased,
-    each term followed by ``\\0`` and the language. Nulls count as ''."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            terms = []
-            for g, t in zip(b.column(0), b.column(2), strict=True):
-                tail = "\0" + g.as_py()
-                terms.append([w + tail for w in WORD.findall(t.as_py().encode().lower().decode())])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.list_(pa.string()))],
-                                             names=["lang", "source", "terms"])
-
-    text_of = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))]
-    return docs.select(*text_of).mapInArrow(run, _TOKENS)
-
+def group_vectors(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """(lang, source, term, c, df): for every group its terms, their
+    occurrences and the documents that have them, and a row with a null term
+    that says the group is there.
 
-def _dealt(tokens: DataFrame, shards: int) -> DataFrame:
-    """Each row once per shard that has terms of it, with these terms."""
+    Terms are the runs of letters of whole texts (``WORD``), only A-Z
+    lower-cased; null lang, source or text is ''."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], dict[str, int]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (g, s), terms in sums.items():
+                n = np.fromiter(terms.values(), np.int64, len(terms))
+                cols = [pa.array([*terms, None], pa.string()), pa.array(np.append(n % _DOC, 0)), pa.array(np.append(n // _DOC, 0))]
+                yield pa.RecordBatch.from_arrays([pa.array([x] * (len(terms) + 1), pa.string()) for x in (g, s)] + cols,
+                                                 names=["lang", "source", "term", "c", "df"])
+            sums.clear()
+        held = 0
         for b in batches:
-            for i in range(len(b)):
-                at: dict[int, list[str]] = {}
-                for w in b.column(2)[i].as_py():
-                    at.setdefault(zlib.crc32(w.encode()) % shards, []).append(w)
-                if at:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([b.column(k)[i].as_py()] * len(at), pa.string()) for k in (0, 1)]
-                        + [pa.array(list(at.values()), pa.list_(pa.string())), pa.array(list(at), pa.int32())],
-                        names=["lang", "source", "terms", "shard"])
-    return tokens.mapInArrow(run, _TOKENS + ", shard int")
-
-
-def _shard_counts(tokens: DataFrame, min_df: int) -> DataFrame:
-    """(lang, source, term, c) of one shard's kept terms, staged.
-
-    ``min_df`` rows of an empty term, which no text has, keep a vocabulary
-    from being empty, which the estimator refuses; they are dropped here.
-    """
-    spark = tokens.sparkSession
-    none = spark.range(min_df).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("")).alias("terms"))
-    rows = tokens.select("lang", "source", "terms").unionByName(none)
-    model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_df), vocabSize=MAX_VOCAB).fit(rows)
-    at = folder(spark, "divergence-model")
-    model.write().save(at)
-    vocabulary = (spark.read.parquet(f"{at}/data").select(F.posexplode("vocabulary").alias("i", "key"))
-                  .where("key <> ''").select("i", F.substring_index("key", "\0", 1).alias("term")))
-    vectors = stage(model.transform(rows).select("lang", "source", "v"), "divergence-vectors")
-    flat = (spark.read.schema("lang string, source string, v struct<indices: array<int>, values: array<double>>")
-            .parquet(vectors.inputFiles()[0].rsplit("/", 1)[0]))
-    sums = (flat.select("lang", "source", F.inline(F.arrays_zip("v.indices", "v.values")).alias("i", "x"))
-            .groupBy("lang", "source", "i").agg(F.sum(F.col("x").cast("long")).alias("c")))
-    got = stage(sums.join(vocabulary, "i").select("lang", "source", "term", "c"), "divergence-counts")
-    drop_staged(vectors)
-    remove(spark, at)
-    return got
-
-
-def group_counts(tokens: DataFrame, min_df: int = 10, shard_terms: int = 1 << 20) -> DataFrame:
-    """(lang, source, term, c): occurrences in each group of the terms that
-    are in ``min_df`` documents of their language at least."""
-    spark = tokens.sparkSession
-    n = tokens.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    shards = 1 + n // shard_terms
-    if shards == 1:
-        return _shard_counts(tokens, min_df)
-    at = folder(spark, "divergence-shards")
-    _dealt(tokens, shards).write.partitionBy("shard").parquet(at)
-    dealt = spark.read.schema(_TOKENS + ", shard int").parquet(at)
-    got = _shard_counts(dealt.where("shard = 0"), min_df)
-    for k in range(1, shards):
-        got = got.unionByName(_shard_counts(dealt.where(F.col("shard") == k), min_df))
-    remove(spark, at)
-    return got
+            for g, s, t in zip(*b.columns, strict=True):
+                terms = sums.setdefault((g.as_py(), s.as_py()), {})
+                before = len(terms)
+                for w, n in Counter(WORD.findall(t.as_py().encode().lower().decode())).items():
+                    terms[w] = terms.get(w, 0) + n + _DOC
+                held += len(terms) - before
+                if held >= _HELD:
+                    yield from out()
+                    held = 0
+        yield from out()
+
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))]
+    got = docs.select(*cols).mapInArrow(run, "lang string, source string, term string, c bigint, df bigint")
+    return got.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("df").alias("df"))
+
+
+def kept_counts(vectors: DataFrame, min_df: int) -> DataFrame:
+    """(lang, source, term, c) of the terms that are in ``min_df`` documents
+    of their language at least."""
+    kept = (vectors.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("df").alias("df"))
+            .where(F.col("df") >= min_df).select("lang", "term"))
+    return vectors.where("term IS NOT NULL").select("lang", "source", "term", "c").join(kept, ["lang", "term"])
 
 
 def share(c: Column, n: Column, v: Column) -> Column:
@@ -178,7 +146,7 @@ def pair_sums(counts: DataFrame, groups: DataFrame, source_block: int = 64, term
 
 
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_df: int = 10, top: int = 10,
-          shard_terms: int = 1 << 20, source_block: int = 64, term_block: int = 4096) -> DataFrame:
+          source_block: int = 64, term_block: int = 4096) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` has each other
     source of the language with the divergence summed over all kept terms;
     part ``term`` the ``top`` kept terms by which a group exceeds its language.
@@ -188,17 +156,17 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     Rows given twice count twice; ties rank by item in UTF-8 order; an empty
     table gives no rows; columns besides the three named are not read.
     """
-    tokens = stage(document_terms(docs, lang, source, text), "divergence-terms")
-    counts = group_counts(tokens, min_df, shard_terms)
+    vectors = stage(group_vectors(docs, lang, source, text), "divergence-vectors")
+    counts = stage(kept_counts(vectors, min_df), "divergence-counts")
     langs = stage(counts.groupBy("lang", "term").agg(F.sum("c").alias("lc")), "divergence-langs")
     sizes = langs.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lc").alias("ln"))
     zero = F.lit(0).cast("long")
     groups = stage(
-        tokens.select("lang", "source").distinct()
+        vectors.where("term IS NULL").select("lang", "source")
         .join(counts.groupBy("lang", "source").agg(F.sum("c").alias("n")), ["lang", "source"], "left")
         .join(sizes, "lang", "left")
         .select("lang", "source", *[F.coalesce(x, zero).alias(x) for x in ("n", "v", "ln")]), "divergence-groups")
-    drop_staged(tokens)
+    drop_staged(vectors)
 
     sums = pair_sums(counts, groups, source_block, term_block)
     g, o = groups.alias("g"), groups.alias("o")

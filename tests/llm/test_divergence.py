@@ -57,7 +57,7 @@ def sample():
     return rows + [rows[3], rows[3]]
 
 
-@pytest.mark.parametrize(("min_df", "kw"), [(3, {}), (10, {"shard_terms": 12, "source_block": 3, "term_block": 5})])
+@pytest.mark.parametrize(("min_df", "kw"), [(3, {}), (10, {"source_block": 3, "term_block": 5})])
 def test_equals_integers(spark, min_df, kw):
     rows = sample()
     df = spark.createDataFrame([(1, *r, "t", 1, 2, "x", 3) for r in rows], SCHEMA).repartition(4)
