@@ -26,9 +26,10 @@ def _c(c) -> Column:
 
 
 def split_id(c, fields=TRAIN_ID_FIELDS) -> list[Column]:
-    """Split an id on ``_`` into typed columns; missing parts are null."""
+    """Split an id on ``_`` into typed columns; missing parts, and parts that
+    are no number where one belongs, are null."""
     parts = F.split(_c(c), "_")
-    return [F.get(parts, i).cast(t).alias(name) for i, (name, t) in enumerate(fields)]
+    return [F.get(parts, i).try_cast(t).alias(name) for i, (name, t) in enumerate(fields)]
 
 
 def segment_part(c) -> Column:
@@ -37,17 +38,19 @@ def segment_part(c) -> Column:
 
 
 def segment_fragment(c) -> Column:
-    """``b17-fragment02`` -> 2 (characters after the ``fragment`` prefix)."""
+    """``b17-fragment02`` -> 2 (characters after the ``fragment`` prefix),
+    null where there is no number."""
     frag = F.split_part(_c(c), F.lit("-"), F.lit(2))
-    return F.substring(frag, F.lit(len(FRAGMENT_PREFIX) + 1), F.length(frag)).cast("int")
+    return F.substring(frag, F.lit(len(FRAGMENT_PREFIX) + 1), F.length(frag)).try_cast("int")
 
 
-def segment_valid(c) -> Column:
-    """Exactly two ``-`` parts, a 3-character corpus part and a fragment
-    part that starts with ``fragment``."""
+def segment_valid(c, part_length: int | None = PART_LENGTH) -> Column:
+    """Exactly two ``-`` parts, a 3-character corpus part (of any length with
+    ``part_length=None``) and a fragment part that starts with ``fragment``."""
     parts = F.split(_c(c), "-")
+    size = F.length(F.get(parts, 0))
     return ((F.size(parts) == 2)
-            & (F.length(F.get(parts, 0)) == PART_LENGTH)
+            & (size > 0 if part_length is None else size == part_length)
             & F.coalesce(F.get(parts, 1).startswith(FRAGMENT_PREFIX), F.lit(False)))
 
 

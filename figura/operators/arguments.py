@@ -112,3 +112,22 @@ def deps_long(parsed: DataFrame, key: str = "id") -> DataFrame:
         F.try_element_at(F.col("_lem"), F.col("d.dependent")).alias("dependent_lemma"),
         F.col("d.governorGloss").alias("governor_gloss"),
         F.when(gov > 0, F.try_element_at(F.col("_lem"), gov)).alias("governor_lemma"))
+
+
+def arguments_in_row(tokens: str | Column = "tokens", deps: str | Column = "deps", offset: str | Column = "word_offset") -> list[Column]:
+    """``subject, object, subject_lemma, object_lemma`` of the verb at
+    ``offset``, by the rules of ``extract_arguments``, from the parser's nested
+    form in the same row: no row is exploded and nothing is shuffled. Without
+    a parse or an offset all four are blank."""
+    tokens, deps, offset = (F.col(c) if isinstance(c, str) else c for c in (tokens, deps, offset))
+    governed = F.filter(deps, lambda d: (d["governor"] == offset) & (d["governor"] > 0))
+    last = lambda label: F.try_element_at(F.filter(governed, lambda d: d["dep"] == label), F.lit(-1))
+    case = F.get(F.filter(deps, lambda d: (d["dep"] == CASE_LABEL) & (d["dependent"] == offset)), 0)
+    subj, obj = last(SUBJECT_LABEL), last(OBJECT_LABEL)
+    lemma = lambda i: F.when(i > 0, F.get(tokens, i - 1)["lemma"])
+    governs = F.coalesce(F.size(governed), F.lit(0)) > 0
+
+    def pick(gov_val, case_val, name):
+        return F.coalesce(F.lower(F.when(governs, gov_val).otherwise(case_val)), F.lit("")).alias(name)
+    return [pick(subj["dependentGloss"], F.lit(None), "subject"), pick(obj["dependentGloss"], case["governorGloss"], "object"),
+            pick(lemma(subj["dependent"]), F.lit(None), "subject_lemma"), pick(lemma(obj["dependent"]), lemma(case["governor"]), "object_lemma")]

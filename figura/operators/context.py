@@ -1,12 +1,10 @@
 """Discourse context: nearest enclosing units, smallest context, nth
 fragment, sentence lookup.
 
-Documents are node tables ``(doc_id, pre, tag, level, ancestors, ...)``
-where ``ancestors`` lists the ``pre`` numbers of a node's ancestors, root
-first (the markup scan emits it; see ``figura.sources.markup``). "Nearest
-enclosing X" is then an equi-join of the exploded ancestor list with the
-candidate nodes on ``(doc_id, pre)``: linear in nodes x depth, no range
-join, and no pairs within a document.
+Documents are node tables ``(doc_id, pre, post, tag, ...)`` in document and
+closing order (the markup scan emits them; see ``figura.sources.markup``).
+"Nearest enclosing X" is a merge of targets and candidates in document order
+with a stack of the open candidates (``figura.operators.structural``).
 """
 
 from __future__ import annotations
@@ -15,29 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figura.functions import text as T
+from figura.operators import structural
 
 # Fixed value: the context candidates in tie-break order (earlier wins).
 CONTEXT_ORDER = ("paragraph", "utterance", "div_4", "div_3", "div_2", "div_1")
 
 
 def nearest_ancestors(targets: DataFrame, candidates: DataFrame, kinds: list[str],
-                      doc: str = "doc_id", pre: str = "pre", kind: str = "kind",
-                      value: str = "pre", ancestors: str = "ancestors") -> DataFrame:
+                      doc: str = "doc_id", pre: str = "pre", kind: str = "kind", value="pre") -> DataFrame:
     """For every target node, the ``value`` of its nearest ancestor of each
     kind (null when it has none), one column per kind.
 
-    ``targets``: ``(doc, pre, ancestors)``; ``candidates``: ``(doc, pre,
-    kind, value...)``, one kind per candidate node.
+    ``targets``: ``(doc, pre, post)``; ``candidates``: ``(doc, pre, post,
+    kind, value...)``, one kind per candidate node; ``value`` is a column or
+    its name.
     """
-    up = targets.select(doc, F.col(pre).alias("_t"),
-                        F.posexplode(ancestors).alias("_depth", "_a"))
-    cand = candidates.where(F.col(kind).isin(*kinds)).select(
-        doc, F.col(pre).alias("_a"), F.col(kind).alias("_k"), F.col(value).alias("_v"))
-    hits = up.join(cand, [doc, "_a"])
-    # max over (depth, value) structs: the deepest ancestor is the nearest.
-    aggs = [F.max(F.when(F.col("_k") == k, F.struct("_depth", "_v")))["_v"].alias(k) for k in kinds]
-    found = hits.groupBy(doc, "_t").agg(*aggs)
-    return (targets.select(doc, pre).join(found.withColumnRenamed("_t", pre), [doc, pre], "left"))
+    value = F.col(value) if isinstance(value, str) else value
+    return structural.nearest(targets, candidates, kinds, value, doc, pre, kind=kind)
 
 
 def context_candidates(nodes: DataFrame) -> DataFrame:
@@ -46,7 +38,7 @@ def context_candidates(nodes: DataFrame) -> DataFrame:
     level = F.col("attrs").getItem("level")
     kind = (F.when(F.col("tag") == "p", F.lit("p")).when(F.col("tag") == "u", F.lit("u"))
             .when((F.col("tag") == "div") & level.isNotNull(), F.concat(F.lit("div_"), level)))
-    return nodes.select("doc_id", "pre", kind.alias("kind")).where(F.col("kind").isNotNull())
+    return nodes.select("doc_id", "pre", "post", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
 def smallest_context(candidates: list[tuple[str, Column]]) -> Column:

@@ -3,21 +3,19 @@ first-seen context dictionary, context gather, feature assembly and the
 Parquet feature store.
 
 Vectors are ``array<float>``; they become ML vectors only at the model
-boundary. Mean pooling uses ML's ``Summarizer`` (one vector buffer per
-group with map-side partial aggregation), so a document's tokens are never
-exploded into one row per dimension.
+boundary. Mean pooling is a blocked product of token counts and vectors
+(``figura.operators.product``), so no vector is shuffled per token.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figura.functions.vectors import blank_to_zero, zero_vector
+from figura.operators import product
 from figura.operators.sampling import dense_index
 
 KeyFn = Callable[[Column], Column]
@@ -36,6 +34,13 @@ class Vocabulary:
         self.vectors = vectors.select(F.col(key_col).alias("_key"), F.col(vec_col).alias("_vec"))
         self.dim = dim
         self.key_fn = key_fn
+        self._files: list[str] | None = None
+
+    def blocks(self) -> list[str]:
+        """The vector table's files, written once (see ``product``)."""
+        if self._files is None:
+            self._files = product.stage_blocks(self.vectors, "_key", "_vec")
+        return self._files
 
 
 def spread_blanks(term: str, columns: list[str], ways: int = 4096) -> Column:
@@ -75,29 +80,20 @@ def term_vectors(df: DataFrame, roles: list[str], vocab: Vocabulary,
 def mean_pool(tokens: DataFrame, key: str, token: str, vocab: Vocabulary,
               docs: DataFrame | None = None, name: str = "ctx_emb",
               dtype: str = "float32") -> DataFrame:
-    """Mean of the token vectors of each ``key`` group; unknown tokens count
-    as zero vectors, and groups without tokens (rows of ``docs``) get zeros.
-
-    Tokens are first counted per (group, token), so each distinct token is
-    mapped and joined once per group and enters the mean with its count as
-    weight. Only tokens with a vector are joined; the mean over them is scaled
-    by their share of the group's tokens.
+    """Mean of the token vectors of each ``key`` group of a token table;
+    unknown tokens count as zero vectors, and groups without tokens (rows of
+    ``docs``) get zeros.
+
+    Tokens are counted per (group, token) first; a group's distinct tokens and
+    counts become one row, which meets the vectors in
+    ``product.mean_vectors``. Where texts are at hand, ``mean_pool_arrays``
+    needs no shuffle of tokens at all.
     """
-    # count each token per group first (map-side partial aggregation), then
-    # map the distinct (group, token) pairs to vocabulary keys; two tokens
-    # with one key are two weighted rows of the same vector, so the mean is
-    # unchanged
     counts = (tokens.groupBy(key, F.col(token).alias("_tok")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-              .select(key, vocab.key_fn(F.col("_tok")).alias("_key"), "_w"))
-    vecs = (counts.join(vocab.vectors.where(F.col("_vec").isNotNull()), "_key")
-            .select(key, "_w", array_to_vector("_vec").alias("_v")))
-    known = vecs.groupBy(key).agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"), F.sum("_w").alias("_known"))
-    totals = counts.groupBy(key).agg(F.sum("_w").alias("_all"))
-    share = F.col("_known") / F.col("_all")
-    number = "float" if dtype == "float32" else "double"
-    mean = F.transform(vector_to_array("_m"), lambda x: (x * share).cast(number))
-    none = F.array_repeat(F.lit(0.0).cast(number), vocab.dim)
-    pooled = totals.join(known, key, "left").select(key, F.coalesce(mean, none).alias(name))
+              .select(key, F.struct(vocab.key_fn(F.col("_tok")).alias("k"), F.col("_w").alias("w")).alias("_p"))
+              .groupBy(key).agg(F.collect_list("_p").alias("_p"))
+              .select(key, F.col("_p.k").alias("_k"), F.col("_p.w").alias("_w")))
+    pooled = product.mean_vectors(counts, key, "_k", vocab.blocks(), vocab.dim, name, dtype, weights="_w")
     if docs is not None:
         zeros = F.array_repeat(F.lit(0.0).cast("float" if dtype == "float32" else "double"), vocab.dim)
         pooled = docs.select(key).join(pooled, key, "left") \
@@ -105,6 +101,14 @@ def mean_pool(tokens: DataFrame, key: str, token: str, vocab: Vocabulary,
     return pooled
 
 
+def mean_pool_arrays(docs: DataFrame, key: str, tokens: Column, vocab: Vocabulary, name: str = "ctx_emb",
+                     dtype: str = "float32") -> DataFrame:
+    """``mean_pool`` of documents with their tokens in an array: one row per
+    row of ``docs``. Neither tokens nor vectors are shuffled."""
+    keyed = docs.select(key, F.transform(tokens, vocab.key_fn).alias("_k"))
+    return product.mean_vectors(keyed, key, "_k", vocab.blocks(), vocab.dim, name, dtype)
+
+
 def context_dictionary(df: DataFrame, context: str = "min_context", order: str = "id",
                        name: str = "ctx_id") -> DataFrame:
     """Distinct contexts numbered 0, 1, ... in first-seen order.
@@ -151,3 +155,20 @@ def write_feature_store(features: DataFrame, contexts: DataFrame, path: str) ->
 
 def read_feature_store(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/features"), spark.read.parquet(f"{path}/contexts")
+
+
+def write_bucketed_store(features: DataFrame, contexts: DataFrame, path: str, name: str, buckets: int) -> None:
+    """The feature store as two tables, ``<name>_features`` (partitioned by
+    ``partition``) and ``<name>_contexts``, with their files under ``path``,
+    both dealt into ``buckets`` by ``ctx_id`` and sorted by it: the join that
+    gathers contexts then moves nothing."""
+    for df, part in ((features, "features"), (contexts, "contexts")):
+        rows = df.repartition(buckets, "ctx_id").write.mode("overwrite").bucketBy(buckets, "ctx_id").sortBy("ctx_id")
+        rows = rows.partitionBy("partition") if part == "features" else rows
+        rows.option("path", f"{path}/{part}").saveAsTable(f"{name}_{part}")
+
+
+def gather_from_store(spark, name: str) -> DataFrame:
+    """Each example of a bucketed store with its context."""
+    facts, contexts = spark.table(f"{name}_features"), spark.table(f"{name}_contexts")
+    return facts.join(contexts.hint("merge"), "ctx_id")

@@ -3,8 +3,9 @@
 Samples are ordered by ``md5(seed:id)``: the same rows come back for a given
 seed whatever the partitioning, and the size is exact. Global top-n uses
 Spark's ``TakeOrderedAndProject`` (per-partition top-n, one small merge).
-Per-group top-n is two-staged so that a hot group is spread over salt
-buckets before the final per-group window.
+Samples per group find the group's threshold from a histogram of the hashes
+and rank only what is below it; top-n by other orders is two-staged, so that a
+hot group is spread over salt buckets before the final per-group window.
 """
 
 from __future__ import annotations
@@ -49,11 +50,34 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
 
 def sample_per_group(df: DataFrame, group_cols: list[str], n: int, seed: int = 0,
                      id_col: str = "id", rank_name: str = "rank") -> DataFrame:
-    """Seeded sample of ``n`` rows per group (all rows when fewer)."""
-    key = sample_key(id_col, seed)
-    keyed = df.withColumn("_skey", key)
-    return top_n_per_group(keyed, group_cols, [F.col("_skey"), F.col(id_col)], n,
-                           salt_on=id_col, rank_name=rank_name).drop("_skey")
+    """Seeded sample of ``n`` rows per group (all rows when fewer): the ``n``
+    smallest sample keys, by ``bottom_k``."""
+    keyed = df.withColumn("_skey", sample_key(id_col, seed))
+    return bottom_k(keyed, group_cols, "_skey", n, [id_col], rank_name).drop("_skey")
+
+
+def bottom_k(df: DataFrame, group_cols: list[str], key: str, n: int, ties: list[str], rank_name: str = "rank",
+             digits: int = 5) -> DataFrame:
+    """The ``n`` rows of each group with the smallest ``key``, a hexadecimal
+    hash (ties by the columns ``ties``), ranked from 1.
+
+    Each group's hashes are counted by their first ``digits`` digits, a summary
+    that tasks build on their own and that adds up. The first count that
+    reaches ``n`` tells which hashes can be among the smallest; only rows up to
+    there, about ``n`` and a millionth of the group, are ranked. The size is
+    exact, a group of any share of the rows is counted where its rows are, and
+    nothing depends on a number of salts. A null group is a group."""
+    head = F.substring(F.col(key), 1, digits)
+    upto = Window.partitionBy(*group_cols).orderBy("_head").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = df.groupBy(*group_cols, head.alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
+    limit = (counts.withColumn("_sum", F.sum("_n").over(upto)).where(F.col("_sum") - F.col("_n") < n)
+             .groupBy(*group_cols).agg(F.max("_head").alias("_limit")).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], "_limit"))
+    same = head <= F.col("_limit")
+    for i, c in enumerate(group_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    rank = Window.partitionBy(*group_cols).orderBy(key, *ties)
+    return (df.join(limit, same).drop("_limit", *[f"_g{i}" for i in range(len(group_cols))])
+            .withColumn(rank_name, F.row_number().over(rank)).where(F.col(rank_name) <= n))
 
 
 def head(df: DataFrame, n: int, order_cols: list) -> DataFrame:

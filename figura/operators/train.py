@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from figura.operators.evaluate import class_weight
 from figura.operators.features import FEATURE_SETS
+from figura.session import staged
 
 
 def default_classifier():
@@ -78,9 +79,7 @@ def ablation(df: DataFrame, feature_sets: dict[str, list[str]] | None = None,
 
     def run(item):
         name, parts = item
-        p = fit_predict(cached, parts, name, classifier).persist(StorageLevel.MEMORY_AND_DISK)
-        p.count()   # materialise the predictions once
-        return p
+        return staged(fit_predict(cached, parts, name, classifier), "predictions")    # computed once
 
     items = list(feature_sets.items())
     if concurrent and len(items) > 1:
@@ -88,6 +87,7 @@ def ablation(df: DataFrame, feature_sets: dict[str, list[str]] | None = None,
             parts = list(pool.map(run, items))
     else:
         parts = [run(i) for i in items]
+    cached.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -20,11 +20,12 @@ runs inside the markup scan that produced the node tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from figura.functions import ids
 from figura.functions import text as T
-from figura.operators import arguments, context, corpus
+from figura.operators import arguments, context, corpus, structural
 from figura.session import staged
 from figura.sources import markup
 
@@ -39,9 +40,9 @@ def annotated_sentences(nodes: DataFrame) -> DataFrame:
     for every ``s[@n]`` of each fragment (lookups take the first by
     ``pre``)."""
     s = (markup.elements(nodes).where(F.col("tag") == "s")
-         .select("doc_id", "pre", F.col("attrs").getItem("n").alias("sentence_number")))
-    toks = markup.leaf_tokens(nodes, s.select("doc_id", "pre"), "raw_sentence")
-    full = s.join(toks, ["doc_id", "pre"]).withColumnRenamed("doc_id", "text_segment_id")
+         .select("doc_id", "pre", "post", F.col("attrs").getItem("n").alias("sentence_number")))
+    toks = markup.leaf_tokens(nodes, s, "raw_sentence")
+    full = toks.drop("post").withColumnRenamed("doc_id", "text_segment_id")
     return full.withColumn("sentence", T.word_tokens(T.join_tokens("raw_sentence")))
 
 
@@ -58,62 +59,72 @@ def source_contexts(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request ``(bnc_file, bnc_file_n, sentence_number)``: the
     smallest enclosing context (paragraph, utterance, level-4/3/2 div, or
     the fragment; shortest stripped text, ties to the earlier kind), its
-    kind, the sentence span inside it, and the document genre.
+    kind, the sentence span inside it, the document genre and how many text
+    units the document has (``n_units``).
 
     Candidates are compared by stripped length computed from text-run
     statistics; only the winning element's text is ever built, so a large
     fragment is not copied onto every sentence that asks for it."""
     el = markup.elements(nodes)
-    divs = el.where(F.col("tag") == "div").select("doc_id", "pre", F.col("attrs").getItem("level").alias("level"))
-    frags = context.fragment_ordinals(divs).select("doc_id", F.col("pre").alias("frag_pre"), "fragment_n")
-    s = el.where(F.col("tag") == "s").select("doc_id", F.col("pre").alias("s_pre"), "ancestors",
-                                              F.col("attrs").getItem("n").alias("n"))
-    s_in_frag = (s.select("doc_id", "s_pre", "n", F.explode("ancestors").alias("frag_pre"))
-                 .join(frags, ["doc_id", "frag_pre"]))
+    divs = el.where(F.col("tag") == "div").select("doc_id", "pre", "post", F.col("attrs").getItem("level").alias("level"))
+    frags = context.fragment_ordinals(divs)
     req = requests.select(F.col("bnc_file").alias("doc_id"), "bnc_file", "bnc_file_n", "sentence_number",
                           corpus.source_sentence_number("sentence_number").alias("n")).distinct()
-    hit = (req.join(s_in_frag.withColumnRenamed("fragment_n", "bnc_file_n"), ["doc_id", "bnc_file_n", "n"])
+    # sentences whose number is asked for, with every fragment around them
+    s = el.where(F.col("tag") == "s").select("doc_id", "pre", "post", F.col("attrs").getItem("n").alias("n"))
+    s = s.join(req.select("doc_id", "n").distinct(), ["doc_id", "n"])
+    inside = structural.enclosing(s, frags, F.struct("fragment_n", "pre", "post"), name="frag")
+    s_in_frag = s.join(inside, ["doc_id", "pre"]).select(
+        "doc_id", "n", F.col("frag.fragment_n").alias("bnc_file_n"), F.struct("pre", "post").alias("s"),
+        F.struct("frag.pre", "frag.post").alias("f"))
+    hit = (req.join(s_in_frag, ["doc_id", "bnc_file_n", "n"])
            .groupBy("doc_id", "bnc_file", "bnc_file_n", "sentence_number")
-           .agg(F.min(F.struct("s_pre", "frag_pre")).alias("_h"))
-           .select("doc_id", "bnc_file", "bnc_file_n", "sentence_number", "_h.s_pre", "_h.frag_pre"))
+           .agg(F.min(F.struct("s", "f")).alias("_h"))
+           .select("doc_id", "bnc_file", "bnc_file_n", "sentence_number", "_h.s", "_h.f"))
     hit = staged(hit, "requested-sentences")     # read by four branches below
-    targets = hit.select("doc_id", F.col("s_pre").alias("pre")).distinct() \
-        .join(s.select("doc_id", F.col("s_pre").alias("pre"), "ancestors"), ["doc_id", "pre"])
-    near = context.nearest_ancestors(targets, context.context_candidates(nodes), KINDS)
+    targets = hit.select("doc_id", "s.pre", "s.post").distinct()
+    near = context.nearest_ancestors(targets, context.context_candidates(nodes), KINDS, value=F.struct("pre", "post"))
     # candidate contexts of every sentence, in tie-break order
     cand = near.select("doc_id", F.col("pre").alias("s_pre"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("prio"), F.lit(LEVEL_COLS[k]).alias("kind"), F.col(k).alias("a"))
         for i, k in enumerate(KINDS)])).alias("x")) \
         .select("doc_id", "s_pre", "x.prio", "x.kind", "x.a").where(F.col("a").isNotNull())
-    cand = staged(cand.unionByName(hit.select("doc_id", "s_pre", F.lit(len(KINDS)).alias("prio"),
-                                              F.lit("div_1").alias("kind"), F.col("frag_pre").alias("a"))),
+    cand = staged(cand.unionByName(hit.select("doc_id", F.col("s.pre").alias("s_pre"), F.lit(len(KINDS)).alias("prio"),
+                                              F.lit("div_1").alias("kind"), F.col("f").alias("a"))),
                   "context-candidates")
-    lens = markup.element_stripped_lengths(nodes, cand.select("doc_id", F.col("a").alias("pre")), "slen")
-    best = (cand.join(lens.withColumnRenamed("pre", "a"), ["doc_id", "a"])
+    lens = markup.element_stripped_lengths(nodes, cand.select("doc_id", "a.pre", "a.post").distinct(), "slen")
+    best = (cand.join(lens.select("doc_id", F.struct("pre", "post").alias("a"), "slen"), ["doc_id", "a"])
             .groupBy("doc_id", "s_pre").agg(F.min(F.struct("slen", "prio", "kind", "a")).alias("_b"))
             .select("doc_id", "s_pre", F.col("_b.kind").alias("min_kind"), F.col("_b.a").alias("a")))
     best = staged(best, "context-winners")
     # texts of the winners and of the sentences only
-    need = best.select("doc_id", F.col("a").alias("pre")).unionByName(
-        hit.select("doc_id", F.col("s_pre").alias("pre"))).distinct()
-    texts = markup.element_text(nodes, need)
-    win = best.join(texts.select("doc_id", F.col("pre").alias("a"), F.col("text").alias("_ctx")), ["doc_id", "a"])
+    need = best.select("doc_id", "a.pre", "a.post").unionByName(hit.select("doc_id", "s.pre", "s.post")).distinct()
+    texts = staged(markup.element_text(nodes, need), "context-texts")
+    win = best.join(texts.select("doc_id", F.struct("pre", "post").alias("a"), F.col("text").alias("_ctx")), ["doc_id", "a"])
     sent = texts.select("doc_id", F.col("pre").alias("s_pre"), F.col("text").alias("_sent"))
+    hit = hit.withColumn("s_pre", F.col("s.pre")).drop("s", "f")
     out = (hit.join(win, ["doc_id", "s_pre"], "left").join(sent, ["doc_id", "s_pre"], "left")
            .withColumn("min_context", T.normalize_whitespace("_ctx")))
     span = T.char_span(F.col("min_context"), T.normalize_whitespace(F.col("_sent")))
     return (out.withColumn("sentence_start_idx", span["start"]).withColumn("sentence_end_idx", span["end"])
-            .join(source_genres(nodes).select("doc_id", "genre"), "doc_id", "left")
-            .drop("doc_id", "s_pre", "frag_pre", "a", "_ctx", "_sent"))
+            .join(source_genres(nodes), "doc_id", "left")
+            .drop("doc_id", "s_pre", "a", "_ctx", "_sent"))
 
 
 def assemble_examples(train_index: DataFrame, train_labels: DataFrame, test_labels: DataFrame,
                       annotated: DataFrame, source: DataFrame, deps: DataFrame,
-                      lemmas: DataFrame, keep_kind: bool = False) -> DataFrame:
+                      lemmas: DataFrame, keep_kind: bool = False, audit: bool = False,
+                      observation: Observation | None = None, part_length: int | None = ids.PART_LENGTH) -> DataFrame:
     """The example table (one row per labelled verb), with ``keep_kind`` also
     the kind of context chosen (``min_kind``). What several
     branches read (node tables, sentences, examples) is written once to the
-    shared folder."""
+    shared folder.
+
+    ``audit`` adds ``reject``, the first reason of ``REJECTS`` that a row
+    falls under (null for none); ``observation`` gets the number of examples
+    and of each reason from the job that writes the table, without a scan of
+    its own. ``part_length`` is the length of a corpus part in a valid id
+    (None: any). A sentence has one parse in ``deps``."""
     annotated = staged(annotated, "annotated-nodes")
     source = staged(source, "source-nodes")
     keys = ["bnc_file", "bnc_file_n", "sentence_number"]
@@ -131,13 +142,29 @@ def assemble_examples(train_index: DataFrame, train_labels: DataFrame, test_labe
             .withColumn("partition", F.lit("test")).withColumn("fold_no", F.lit(0)))
     ex = corpus.union_examples(train, test)
     ex = staged(ex.withColumn("word_offset", arguments.repair_word_offset()), "examples")
-    args = arguments.extract_arguments(arguments.deps_long(deps), ["id"], order="dep_pos",
-                                       verbs=ex.select("id", "word_offset"))
-    ex = ex.join(args, ["id", "word_offset"], "left")
-    for c in ("subject", "object", "subject_lemma", "object_lemma"):
-        ex = ex.withColumn(c, F.coalesce(F.col(c), F.lit("")))
-    ex = corpus.join_lemmas(ex, lemmas)
-    return corpus.finalize_examples(ex if keep_kind else ex.drop("min_kind"))
+    parses = deps.select("id", "tokens", "deps")
+    ex = ex.join(parses, "id", "left").select("*", *arguments.arguments_in_row()).drop("tokens", "deps")
+    ex = corpus.join_lemmas(ex, lemmas).withColumn("reject", reject_reason(part_length))
+    if observation is not None:
+        ex = ex.observe(observation, F.count(F.lit(1)).alias("examples"),
+                        *[F.count_if(F.col("reject") == r).alias(r) for r in REJECTS])
+    ex = corpus.finalize_examples(ex if keep_kind else ex.drop("min_kind"))
+    return ex.drop("n_units") if audit else ex.drop("n_units", "reject")
+
+
+# Why the job would have stopped at an example, in the order it would find out.
+REJECTS = ("id", "sentence", "context", "span", "text units")
+
+
+def reject_reason(part_length: int | None = ids.PART_LENGTH):
+    """The first of ``REJECTS``: a malformed id, no such sentence, no context,
+    a sentence that is not inside its context, a source document without
+    exactly one text unit. Null for a good row."""
+    ok = F.coalesce(ids.segment_valid("text_segment_id", part_length), F.lit(False)) & F.col("bnc_file_n").isNotNull() \
+        & F.col("sentence_number").isNotNull() & F.col("word_offset").isNotNull()
+    tests = (~ok, F.col("sentence").isNull(), F.col("min_context").isNull(),
+             F.coalesce(F.col("sentence_start_idx") < 0, F.lit(True)), F.coalesce(F.col("n_units") != 1, F.lit(True)))
+    return F.coalesce(*[F.when(t, F.lit(r)) for t, r in zip(tests, REJECTS, strict=True)])
 
 
 def is_reject():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from figura.operators import analysis, evaluate, train
 from figura.operators.features import FEATURE_SETS
 from figura.operators.sampling import seeded_sample
+from figura.session import few
 from figura.sources import readers
 
 PAIRS = [("l", "la"), ("la", "lac")]
@@ -25,7 +26,7 @@ def with_split(facts: DataFrame, n_dev: int = 0, seed: int = 0) -> DataFrame:
     Any other partition, null included, is an error."""
     dev = seeded_sample(facts.where(F.col("partition") == "train").select("id"), n_dev, seed) \
         .withColumn("_dev", F.lit(True))
-    return (facts.join(F.broadcast(dev), "id", "left")
+    return (facts.join(few(dev, n_dev), "id", "left")
             .withColumn("split", F.when(F.col("partition") == "test", "test")
                         .when(F.col("_dev"), "dev")
                         .when(F.col("partition") == "train", "train")

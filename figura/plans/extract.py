@@ -27,8 +27,7 @@ def extract_with_vocabulary(examples: DataFrame, vocab: FT.Vocabulary,
     (unknown tokens count as zeros); terms are looked up directly."""
     ex = _terms(examples)
     dictionary = FT.context_dictionary(ex)
-    toks = dictionary.select("ctx_id", F.explode(tokens("min_context")).alias("token"))
-    ctx_vec = FT.mean_pool(toks, "ctx_id", "token", vocab, docs=dictionary.select("ctx_id"))
+    ctx_vec = FT.mean_pool_arrays(dictionary, "ctx_id", tokens("min_context"), vocab)
     contexts = dictionary.join(ctx_vec, "ctx_id").select("ctx_id", "min_context", "ctx_emb")
     facts = FT.term_vectors(FT.gather_contexts(ex, dictionary), list(ROLES), vocab,
                             zero_roles=list(zero_roles))

@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from figura.functions import text as T
+from figura.functions.hashing import bucket
 from figura.operators import analysis
 from figura.operators.sampling import dense_index, head, seeded_sample
 from figura.plans.catalog import register
 from figura.plans.q_features import _ROLES_SQL, _roles
 from figura.plans.q_text import SQL_NORM
-from figura.plans.tables import EXAMPLES_SQL, PREDICTIONS_SQL, predictions, read
+from figura.plans.tables import EXAMPLES_SQL, PREDICTIONS_SQL, predictions, read, sql_bucket
 from figura.session import shared_path
 from figura.sources import readers
 
@@ -73,8 +74,8 @@ SELECT *, row_number() OVER (ORDER BY id) AS row_idx FROM devrows
 """)(annot_left_join)
 
 
-def _sample(spark, sf_dir):
-    return seeded_sample(dev_annotated(spark, sf_dir), N_SAMPLE, SAMPLE_SEED, key_name="sample_key")
+def _sample(spark, sf_dir, n=N_SAMPLE):
+    return seeded_sample(dev_annotated(spark, sf_dir), n, SAMPLE_SEED, key_name="sample_key")
 
 
 SAMPLE_SQL = DEV_SQL + f""",
@@ -84,14 +85,38 @@ smp AS (
 )"""
 
 
+# The columns an analyst reads beside the predictions: the verb with its
+# sentence (a line drawn from the text), context and arguments.
+READ = ["verb", "subject", "object", "sentence", "context_md5"]
+
+
+def shown(spark, sf_dir, rows):
+    """Sampled rows with the example columns that an analyst reads."""
+    ex = _roles(spark, sf_dir)
+    lines = F.split("text", "\n")
+    at = bucket(F.concat(F.lit("line:"), F.col("id").cast("string")), F.size(lines)).cast("int")
+    ex = ex.select("id", F.col("v").alias("verb"), F.col("s").alias("subject"), F.col("o").alias("object"),
+                   T.normalize_whitespace(F.get(lines, at)).alias("sentence"), F.md5(T.normalize_whitespace("text")).alias("context_md5"))
+    return analysis.with_example_columns(rows, ex).select(*SHOW, *READ)
+
+
+SHOWN_SQL = f"""{_ROLES_SQL.replace(EXAMPLES_SQL + ",", "").strip()},
+shown AS (
+  SELECT id, v AS verb, s AS subject, o AS object,
+         {SQL_NORM.format(f"string_split(text, chr(10))[{sql_bucket("'line:' || CAST(id AS VARCHAR)", "len(string_split(text, chr(10)))")} + 1]")} AS sentence,
+         md5({SQL_NORM.format('text')}) AS context_md5 FROM roles
+)"""
+
+
 def sample_head(spark, sf_dir):
     """First five rows of the seeded analysis sample (sample order)."""
-    return head(_sample(spark, sf_dir), 5, ["sample_key", "id"]).select(*SHOW)
+    return shown(spark, sf_dir, head(_sample(spark, sf_dir), 5, ["sample_key", "id"]).select(*SHOW))
 
 
 register("sample_head", f"""
-WITH {SAMPLE_SQL}
-SELECT {", ".join(SHOW)} FROM smp ORDER BY sample_key, id LIMIT 5
+WITH {SAMPLE_SQL}, {SHOWN_SQL}
+SELECT {", ".join(f"h.{c}" for c in SHOW)}, {", ".join(READ)}
+FROM (SELECT * FROM smp ORDER BY sample_key, id LIMIT 5) h JOIN shown ON h.id = shown.id
 """)(sample_head)
 
 
@@ -108,12 +133,12 @@ SELECT ctx_label, count(*) AS count FROM smp GROUP BY ctx_label
 
 def sample_beyond(spark, sf_dir):
     """Sampled rows annotated as needing more than the sentence."""
-    return _sample(spark, sf_dir).where(F.col("ctx_label") == "beyond").select(*SHOW)
+    return shown(spark, sf_dir, _sample(spark, sf_dir).where(F.col("ctx_label") == "beyond").select(*SHOW))
 
 
 register("sample_beyond", f"""
-WITH {SAMPLE_SQL}
-SELECT {", ".join(SHOW)} FROM smp WHERE ctx_label = 'beyond'
+WITH {SAMPLE_SQL}, {SHOWN_SQL}
+SELECT {", ".join(f"h.{c}" for c in SHOW)}, {", ".join(READ)} FROM smp h JOIN shown ON h.id = shown.id WHERE ctx_label = 'beyond'
 """)(sample_beyond)
 
 

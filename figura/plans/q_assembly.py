@@ -8,7 +8,9 @@ by ``conv_id % 4`` it is a level-4 div, a level-3 div, bare text of its
 exchange, or bare text of its fragment before the exchange. Each line is a
 sentence ``turn.line``, and each line with a token is an example, its verb, its
 offset (up to two off) and its parse drawn by md5. One conversation in ten also
-asks for a sentence that doesn't exist, which must come back as a reject.
+asks for a sentence that doesn't exist, one in ten has an example with a
+malformed id, and one source document in twenty has a second text unit: all of
+these must come back as rejects with their reason.
 """
 
 from __future__ import annotations
@@ -74,10 +76,12 @@ def source_corpus(turns):
                                 ["conv_id", "part"], "at", "x", sep="\n")
     parts = parts.select("conv_id", "part", F.concat(F.lit('<div level="1">'), F.col("text"), F.lit("</div>")).alias("x"))
     docs = corpus.ordered_text(parts, ["conv_id"], "part", "x", sep="\n")
+    second = F.concat(F.lit('<stext type="'), _pick(CODES, F.col("conv_id") % len(CODES)), F.lit('"></stext>'))
     return docs.select(
         F.concat(F.lit("C"), F.col("conv_id").cast("string")).alias("doc_id"),
         F.concat(F.lit('<bncDoc><wtext type="'), _pick(CODES, F.col("conv_id") % len(CODES)), F.lit('">'),
-                 F.col("text"), F.lit("</wtext></bncDoc>")).alias("content"))
+                 F.col("text"), F.lit("</wtext>"), F.when(F.col("conv_id") % 20 == 9, second).otherwise(F.lit("")),
+                 F.lit("</bncDoc>")).alias("content"))
 
 
 def requests(turns):
@@ -127,15 +131,19 @@ def corpus_assembly(spark, sf_dir):
     index = train.select("id", "genre", F.lit("train").alias("partition"), "fold_no")
     lost = turns.where((F.col("conv_id") % 10 == 7) & (F.col("turn") == 0)).select(
         F.concat(_segment(F.col("part")), F.lit("_0.0_1")).alias("id"), F.lit(0).alias("y"), F.lit("none").alias("verb_lemma"))
+    bad = turns.where((F.col("conv_id") % 10 == 3) & (F.col("turn") == 0)).select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("fragment01_0.0_1")).alias("id"), F.lit(0).alias("y"),
+        F.lit("none").alias("verb_lemma"))
+    lost = lost.unionByName(bad)
     test_labels = req.where("is_test").select("id", "y").unionByName(lost.select("id", "y"))
     lemmas = req.where(F.col("verb_lemma").isNotNull()).select("verb_lemma", "id").unionByName(lost.select("verb_lemma", "id"))
     ex = assemble_examples(index, train.select("id", "y"), test_labels, annotated, source,
-                           req.select("id", "tokens", "deps"), lemmas, keep_kind=True)
+                           req.select("id", "tokens", "deps"), lemmas, keep_kind=True, audit=True, part_length=None)
     return ex.select(
         "id", "y", "partition", "fold_no", "genre", "bnc_file", "bnc_file_n", "sentence_number", "sentence_offset",
         "subword_offset", "word_offset", "verb", "verb_lemma", "subject", "object", "subject_lemma", "object_lemma",
         "min_kind", F.md5("sentence").alias("sentence_md5"), F.md5("min_context").alias("context_md5"),
-        "sentence_start_idx", "sentence_end_idx", is_reject().alias("rejected"))
+        "sentence_start_idx", "sentence_end_idx", is_reject().alias("rejected"), "reject")
 
 
 _labels = ", ".join(f"'{x}'" for x in DEP_LABELS)
@@ -205,12 +213,16 @@ SELECT f.id, CAST({sql_bucket("'y:' || f.k", 2)} AS INTEGER) AS y, CASE WHEN is_
        ctx.kind AS min_kind, md5(array_to_string(raw, ' ')) AS sentence_md5, md5(c) AS context_md5,
        CAST(instr(c, {SQL_NORM.format('line')}) - 1 AS INTEGER) AS sentence_start_idx,
        CAST(instr(c, {SQL_NORM.format('line')}) - 1 + length({SQL_NORM.format('line')}) AS INTEGER) AS sentence_end_idx,
-       false AS rejected
+       false AS rejected, CASE WHEN f.conv_id % 20 = 9 THEN 'text units' END AS reject
 FROM f JOIN ctx ON f.conv_id = ctx.conv_id AND f.turn = ctx.turn JOIN code ON f.conv_id = code.conv_id
        LEFT JOIN gov ON f.id = gov.id LEFT JOIN cs ON f.id = cs.id
 WHERE lem[vi + 1] <> ''
 UNION ALL
 SELECT {_SEG} || '_0.0_1', 0, 'test', 0, NULL, 'C' || conv_id, CAST(part + 1 AS INTEGER), '0.0', 0, 0, 1, NULL, 'none',
-       '', '', '', '', NULL, NULL, NULL, NULL, NULL, true
+       '', '', '', '', NULL, NULL, NULL, NULL, NULL, true, 'sentence'
 FROM t WHERE conv_id % 10 = 7 AND turn = 0
+UNION ALL
+SELECT 'c' || conv_id || 'fragment01_0.0_1', 0, 'test', 0, NULL, 'C' || conv_id || 'FRAGMENT01', NULL, '0.0', 0, 0, 1, NULL, 'none',
+       '', '', '', '', NULL, NULL, NULL, NULL, NULL, true, 'id'
+FROM t WHERE conv_id % 10 = 3 AND turn = 0
 """)(corpus_assembly)

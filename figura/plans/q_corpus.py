@@ -15,9 +15,12 @@ from figura.functions import text as T
 from figura.functions.hashing import bucket
 from figura.functions.ids import two_digits
 from figura.operators import arguments, context, corpus
+from figura.operators.occurrences import first_occurrences
 from figura.plans.catalog import register
+from figura.plans.q_features import drawn_word, sql_drawn_word
 from figura.plans.q_text import SQL_NORM, SQL_STRIP, SQL_WORD_TOKENS, SQL_WS_TOKENS
 from figura.plans.tables import read, sql_bucket
+from figura.session import staged
 
 NL = "chr(10)"
 
@@ -39,8 +42,8 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """)(label_join)
 
 
-def _first_word(c):
-    return F.nullif(T.first_word(c), F.lit(""))     # null when the text has no word
+def _lemma(c, key):
+    return F.nullif(drawn_word(T.word_tokens(c), "lemma", key), F.lit(""))     # null when the text has no word
 
 
 def lemma_join_union(spark, sf_dir):
@@ -53,8 +56,8 @@ def lemma_join_union(spark, sf_dir):
     bench_id = F.concat(F.lit("bench_"), F.col("item_id").cast("string"))
     train = labels.select(doc_id.alias("id"), F.col("quality").alias("y"))
     test = bench.select(bench_id.alias("id"), F.lit(None).cast("int").alias("y"))
-    lem_a = docs.select(doc_id.alias("id"), _first_word("text").alias("verb_lemma"))
-    lem_b = bench.select(bench_id.alias("id"), _first_word("text").alias("verb_lemma"))
+    lem_a = docs.select(doc_id.alias("id"), _lemma("text", "doc_id").alias("verb_lemma"))
+    lem_b = bench.select(bench_id.alias("id"), _lemma("text", "item_id").alias("verb_lemma"))
     return corpus.join_lemmas(train.unionByName(test), lem_a, lem_b)
 
 
@@ -64,10 +67,10 @@ WITH ex AS (
   UNION ALL
   SELECT 'bench_' || CAST(item_id AS VARCHAR), CAST(NULL AS INTEGER) FROM benchmark
 ), lem AS (
-  SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, {SQL_WORD_TOKENS.format('text')}[1] AS verb_lemma
+  SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, nullif({sql_drawn_word(SQL_WORD_TOKENS.format('text'), 'lemma', 'doc_id')}, '') AS verb_lemma
   FROM documents
   UNION ALL
-  SELECT 'bench_' || CAST(item_id AS VARCHAR), {SQL_WORD_TOKENS.format('text')}[1] FROM benchmark
+  SELECT 'bench_' || CAST(item_id AS VARCHAR), nullif({sql_drawn_word(SQL_WORD_TOKENS.format('text'), 'lemma', 'item_id')}, '') FROM benchmark
 )
 SELECT ex.id, ex.y, lem.verb_lemma FROM ex JOIN lem ON ex.id = lem.id
 """)(lemma_join_union)
@@ -106,30 +109,39 @@ FROM benchmark
 
 # ------------------------------------------------------------- contexts
 
-def _conv_levels(conv):
-    """Per turn: its paragraph / utterance text and the exchange and
-    conversation texts that enclose it."""
-    conv = conv.withColumn("exchange", F.floor(F.col("turn") / 2).cast("bigint"))
-    exch = corpus.ordered_text(conv, ["conv_id", "exchange"], "turn", "text", sep="\n", name="div_2")
-    whole = corpus.ordered_text(conv, ["conv_id"], "turn", "text", sep="\n", name="div_1")
-    is_user = F.col("role") == "user"
-    return (conv.join(exch, ["conv_id", "exchange"]).join(whole, "conv_id")
-            .select("conv_id", "turn",
-                    F.when(~is_user, F.col("text")).alias("paragraph"),
-                    F.when(is_user, F.col("text")).alias("utterance"),
-                    F.lit(None).cast("string").alias("div_4"),
-                    F.lit(None).cast("string").alias("div_3"),
-                    "div_2", "div_1",
-                    F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("sentence_text")))
-
-
 def smallest_context(spark, sf_dir):
-    """Smallest enclosing context of each turn's first line, its kind and
-    the line's span inside it."""
-    levels = _conv_levels(read(spark, sf_dir, "conversations"))
-    out = context.with_min_context(levels)
-    return out.select("conv_id", "turn", "min_kind", "min_context",
-                      "sentence_start_idx", "sentence_end_idx")
+    """Smallest enclosing context of every line of every turn: its kind and
+    digest, and the line's span inside it.
+
+    Turns are compared with their exchange and conversation by length; only
+    texts that win are kept, once each, and meet all their lines at once."""
+    conv = read(spark, sf_dir, "conversations").withColumn("exchange", F.floor(F.col("turn") / 2).cast("bigint"))
+    own = F.when(F.col("role") == "user", F.lit("utterance")).otherwise(F.lit("paragraph"))
+    null = F.lit(None).cast("bigint")
+    turns = conv.select("conv_id", own.alias("kind"), F.col("turn").cast("bigint").alias("unit"), "text")
+    exch = corpus.ordered_text(conv, ["conv_id", "exchange"], "turn", "text", sep="\n") \
+        .select("conv_id", F.lit("div_2").alias("kind"), F.col("exchange").alias("unit"), "text")
+    whole = corpus.ordered_text(conv, ["conv_id"], "turn", "text", sep="\n") \
+        .select("conv_id", F.lit("div_1").alias("kind"), F.lit(0).cast("bigint").alias("unit"), "text")
+    units = staged(turns.unionByName(exch).unionByName(whole).withColumn("text", T.strip("text")), "context-units")
+    sizes = units.select("conv_id", "kind", "unit", F.length("text").alias("len"))
+    order = {k: i for i, k in enumerate(context.CONTEXT_ORDER)}
+    asked = conv.select("conv_id", "turn", F.explode(F.array(*[
+        F.struct(F.lit(order[k]).alias("prio"), F.lit(k).alias("kind"), u.alias("unit"))
+        for k, u in (("paragraph", F.when(F.col("role") != "user", F.col("turn").cast("bigint")).otherwise(null)),
+                     ("utterance", F.when(F.col("role") == "user", F.col("turn").cast("bigint")).otherwise(null)),
+                     ("div_2", F.col("exchange")), ("div_1", F.lit(0).cast("bigint")))])).alias("c")).select("conv_id", "turn", "c.*")
+    best = (asked.join(sizes, ["conv_id", "kind", "unit"]).where(F.col("len").isNotNull())
+            .groupBy("conv_id", "turn").agg(F.min(F.struct("len", "prio", "kind", "unit")).alias("b"))
+            .select("conv_id", "turn", F.col("b.kind").alias("kind"), F.col("b.unit").alias("unit")))
+    lines = conv.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    keys = ["conv_id", "kind", "unit"]
+    won = units.join(best.select(*keys).distinct(), keys).select(*keys, T.normalize_whitespace("text").alias("text"))
+    won = staged(won, "context-texts")
+    spans = first_occurrences(won, lines.join(best, ["conv_id", "turn"])
+                              .select(*keys, "turn", "line", T.normalize_whitespace("s").alias("sentence")), keys)
+    return (spans.join(won.select(*keys, F.md5("text").alias("context_md5")), keys)
+            .select("conv_id", "turn", "line", F.col("kind").alias("min_kind"), "context_md5", "sentence_start_idx", "sentence_end_idx"))
 
 
 register("smallest_context", f"""
@@ -140,30 +152,32 @@ WITH c AS (
 ), wh AS (
   SELECT conv_id, string_agg(text, {NL} ORDER BY turn) AS div_1 FROM c GROUP BY 1
 ), lv AS (
-  SELECT c.conv_id, c.turn, split_part(c.text, {NL}, 1) AS sentence_text,
+  SELECT c.conv_id, c.turn, c.text,
          CASE WHEN c.role <> 'user' THEN c.text END AS paragraph,
          CASE WHEN c.role = 'user' THEN c.text END AS utterance,
          ex.div_2, wh.div_1
   FROM c JOIN ex ON c.conv_id = ex.conv_id AND c.exchange = ex.exchange
          JOIN wh ON c.conv_id = wh.conv_id
 ), cand AS (
-  SELECT conv_id, turn, sentence_text, 0 AS prio, 'paragraph' AS kind, paragraph AS t FROM lv
-  UNION ALL SELECT conv_id, turn, sentence_text, 1, 'utterance', utterance FROM lv
-  UNION ALL SELECT conv_id, turn, sentence_text, 4, 'div_2', div_2 FROM lv
-  UNION ALL SELECT conv_id, turn, sentence_text, 5, 'div_1', div_1 FROM lv
+  SELECT conv_id, turn, 0 AS prio, 'paragraph' AS kind, paragraph AS t FROM lv
+  UNION ALL SELECT conv_id, turn, 1, 'utterance', utterance FROM lv
+  UNION ALL SELECT conv_id, turn, 4, 'div_2', div_2 FROM lv
+  UNION ALL SELECT conv_id, turn, 5, 'div_1', div_1 FROM lv
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn
                                ORDER BY length({SQL_STRIP.format('t')}), prio) AS rn
   FROM cand WHERE t IS NOT NULL
 ), fin AS (
-  SELECT conv_id, turn, kind AS min_kind, {SQL_NORM.format('t')} AS min_context,
-         {SQL_NORM.format('sentence_text')} AS sent
-  FROM best WHERE rn = 1
+  SELECT conv_id, turn, kind AS min_kind, {SQL_NORM.format('t')} AS min_context FROM best WHERE rn = 1
+), l AS (
+  SELECT conv_id, turn, unnest(range(0, len(string_split(text, {NL})))) AS line, unnest(string_split(text, {NL})) AS s FROM c
+), n AS (
+  SELECT l.*, {SQL_NORM.format('s')} AS sent FROM l
 )
-SELECT conv_id, turn, min_kind, min_context,
+SELECT n.conv_id, n.turn, CAST(n.line AS INTEGER) AS line, min_kind, md5(min_context) AS context_md5,
        CAST(instr(min_context, sent) - 1 AS INTEGER) AS sentence_start_idx,
        CAST(instr(min_context, sent) - 1 + length(sent) AS INTEGER) AS sentence_end_idx
-FROM fin
+FROM n JOIN fin ON n.conv_id = fin.conv_id AND n.turn = fin.turn
 """)(smallest_context)
 
 
@@ -174,23 +188,23 @@ B = 1 << 31
 
 def _conv_nodes(conv):
     """Node table of the conversation tree: candidates (turns, exchanges,
-    conversation) and sentence targets (lines) with ancestor lists."""
+    conversation) and sentence targets (lines). A line closes at its own
+    number, a candidate at the last number of its range."""
     e = F.floor(F.col("turn") / 2).cast("bigint")
     exch_pre = F.lit(2) + e * (3 * B)
     turn_pre = exch_pre + 1 + (F.col("turn") - 2 * e) * B
     turns = conv.select(F.col("conv_id").alias("doc_id"), "turn", "role", "text",
                         exch_pre.alias("exch_pre"), turn_pre.alias("turn_pre"))
-    cands = (turns.select("doc_id", F.col("turn_pre").alias("pre"),
+    cands = (turns.select("doc_id", F.col("turn_pre").alias("pre"), (F.col("turn_pre") + B - 1).alias("post"),
                           F.when(F.col("role") == "user", "u").otherwise("p").alias("kind"))
-             .unionByName(turns.select("doc_id", F.col("exch_pre").alias("pre"),
+             .unionByName(turns.select("doc_id", F.col("exch_pre").alias("pre"), (F.col("exch_pre") + 3 * B - 1).alias("post"),
                                        F.lit("div_2").alias("kind")).distinct())
-             .unionByName(turns.select("doc_id", F.lit(1).cast("bigint").alias("pre"),
+             .unionByName(turns.select("doc_id", F.lit(1).cast("bigint").alias("pre"), F.lit((1 << 63) - 1).alias("post"),
                                        F.lit("div_1").alias("kind")).distinct()))
     lines = turns.select("doc_id", "turn", "exch_pre", "turn_pre",
                          F.posexplode(F.split(F.col("text"), "\n")).alias("line", "s"))
-    targets = lines.select(
-        "doc_id", "turn", "line", (F.col("turn_pre") + 1 + F.col("line")).alias("pre"),
-        F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), "exch_pre", "turn_pre").alias("ancestors"))
+    targets = lines.select("doc_id", "turn", "line", (F.col("turn_pre") + 1 + F.col("line")).alias("pre"),
+                           (F.col("turn_pre") + 1 + F.col("line")).alias("post"))
     return cands, targets
 
 
@@ -259,8 +273,8 @@ FROM conversations c LEFT JOIN f ON c.conv_id = f.conv_id AND f.fragment_n = flo
 
 
 def sentence_lookup(spark, sf_dir):
-    """Examples ask for sentences 1 and 2 of each turn by (segment id,
-    sentence number); missing sentences come back as not found."""
+    """Examples ask for every sentence of each turn by (segment id, sentence
+    number), and for one more, which comes back as not found."""
     conv = read(spark, sf_dir, "conversations")
     seg = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-fragment"),
                    two_digits("turn"))
@@ -269,7 +283,7 @@ def sentence_lookup(spark, sf_dir):
     sentences = sentences.select("text_segment_id", (F.col("pre") + 1).cast("string").alias("sentence_number"),
                                  "pre", T.normalize_whitespace("line").alias("sentence"))
     ex = conv.select("conv_id", "turn", seg.alias("text_segment_id"),
-                     F.explode(F.array(F.lit("1"), F.lit("2"))).alias("sentence_number"))
+                     F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n")) + 1).cast("array<string>")).alias("sentence_number"))
     out = context.lookup_sentences(ex, sentences)
     return out.select("conv_id", "turn", "sentence_number", F.col("sentence").isNotNull().alias("found"),
                       F.md5("sentence").alias("sentence_md5"))
@@ -285,7 +299,7 @@ WITH seg AS (
   SELECT sid, CAST(pre + 1 AS VARCHAR) AS sentence_number, arg_min({SQL_NORM.format('line')}, pre) AS sentence
   FROM sent GROUP BY 1, 2
 ), ex AS (
-  SELECT conv_id, turn, sid, unnest(['1', '2']) AS sentence_number FROM seg
+  SELECT conv_id, turn, sid, CAST(unnest(range(1, len(string_split(text, {NL})) + 2)) AS VARCHAR) AS sentence_number FROM seg
 )
 SELECT ex.conv_id, ex.turn, ex.sentence_number, f.sentence IS NOT NULL AS found, md5(f.sentence) AS sentence_md5
 FROM ex LEFT JOIN firsts f ON ex.sid = f.sid AND ex.sentence_number = f.sentence_number

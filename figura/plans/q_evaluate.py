@@ -137,17 +137,20 @@ def mcnemar_midp(spark, sf_dir):
     return evaluate.significance(preds, MODEL_PAIRS, digits=R)
 
 
-register("mcnemar_midp", f"""
-WITH {PREDICTIONS_SQL}, {_DISC_SQL},
-terms AS (
+# The test term by term, from the discordant counts ``disc``.
+MIDP_SQL = f"""
+SELECT model_a, model_b, b, c,
+       {_round("2 * sum(pmf) - max(CASE WHEN k = least(b, c) THEN pmf END)")} AS midp
+FROM (
   SELECT d.model_a, d.model_b, d.b, d.c, g.k,
          exp(lgamma(d.b + d.c + 1) - lgamma(g.k + 1) - lgamma(d.b + d.c - g.k + 1)
              - (d.b + d.c) * ln(2)) AS pmf
   FROM disc d, generate_series(0, CAST(least(d.b, d.c) AS BIGINT)) g(k)
-)
-SELECT model_a, model_b, b, c,
-       {_round("2 * sum(pmf) - max(CASE WHEN k = least(b, c) THEN pmf END)")} AS midp
-FROM terms GROUP BY model_a, model_b, b, c
+) GROUP BY model_a, model_b, b, c
+"""
+register("mcnemar_midp", f"""
+WITH {PREDICTIONS_SQL}, {_DISC_SQL}
+{MIDP_SQL}
 """)(mcnemar_midp)
 
 

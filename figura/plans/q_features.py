@@ -7,7 +7,6 @@ to ``DIGITS`` so the oracle compare is value based.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from figura.functions import text as T
@@ -16,9 +15,10 @@ from figura.operators import features as FT
 from figura.plans.catalog import register
 from figura.plans.extract import extract_with_vocabulary
 from figura.plans.q_text import SQL_INFIX_TOKENS, SQL_WORD_TOKENS
+from figura.functions.hashing import bucket
 from figura.plans.tables import (DIGITS, EXAMPLES_SQL, VOCAB_SQL, examples, read,
-                                 sql_vocab_key, vocabulary)
-from figura.session import shared_path
+                                 sql_bucket, sql_vocab_key, vocabulary)
+from figura.session import shared_path, staged
 
 R = DIGITS
 NL = "chr(10)"
@@ -36,8 +36,7 @@ def mean_pool(spark, sf_dir):
     count as zeros; no tokens gives zeros)."""
     docs = read(spark, sf_dir, "documents")
     vocab = vocabulary(spark, sf_dir)
-    toks = docs.select("doc_id", F.explode(T.infix_tokens("text")).alias("token"))
-    pooled = FT.mean_pool(toks, "doc_id", "token", vocab, docs=docs, dtype="float64")
+    pooled = FT.mean_pool_arrays(docs, "doc_id", T.infix_tokens("text"), vocab, dtype="float64")
     return _long(pooled, ["doc_id"], "ctx_emb")
 
 
@@ -59,17 +58,30 @@ FROM documents d CROSS JOIN dims LEFT JOIN pooled p ON d.doc_id = p.doc_id AND d
 
 # ------------------------------------------------------------- term vectors
 
+# Of how many examples one has no subject, and one no object.
+BLANKS = 4
+
+
+def drawn_word(words, kind: str, key="id"):
+    """A word of the whole text drawn by md5 ('' if the text has none)."""
+    at = bucket(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")), F.greatest(F.size(words), F.lit(1)))
+    return F.coalesce(F.get(words, at.cast("int")), F.lit(""))
+
+
+def sql_drawn_word(words: str, kind: str, key: str = "id") -> str:
+    return f"coalesce({words}[{sql_bucket(f"'{kind}:' || CAST({key} AS VARCHAR)", f'len({words})')} + 1], '')"
+
+
 def _roles(spark, sf_dir):
-    """Per labelled document: verb = first word, subject = first word of
-    line 2, object = first word of line 3 ('' when absent)."""
+    """Per labelled document: verb, subject and object drawn from all words of
+    its text; one example in four has no subject, one no object."""
     docs = read(spark, sf_dir, "documents")
-    ex = examples(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    ex = examples(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "text"), "id").withColumn("_w", T.word_tokens("text"))
 
-    def word(c):
-        return T.first_word(c)
-    line = lambda k: F.split_part(F.col("text"), F.lit("\n"), F.lit(k))
-    return ex.select("id", "y", "partition", "genre", "text",
-                     word(F.col("text")).alias("v"), word(line(2)).alias("s"), word(line(3)).alias("o"))
+    def argument(kind):
+        blank = bucket(F.concat(F.lit(f"no {kind}:"), F.col("id").cast("string")), BLANKS) == 0
+        return F.when(blank, F.lit("")).otherwise(drawn_word(F.col("_w"), kind)).alias(kind)
+    return ex.select("id", "y", "partition", "genre", "text", drawn_word(F.col("_w"), "v").alias("v"), argument("s"), argument("o"))
 
 
 def _as_examples(spark, sf_dir):
@@ -79,12 +91,14 @@ def _as_examples(spark, sf_dir):
 
 
 _ROLES_SQL = EXAMPLES_SQL + f""",
+worded AS (
+  SELECT e.*, d.text, {SQL_WORD_TOKENS.format('d.text')} AS words FROM examples e JOIN documents d ON e.id = d.doc_id
+),
 roles AS (
-  SELECT e.*, d.text,
-         coalesce({SQL_WORD_TOKENS.format('d.text')}[1], '') AS v,
-         coalesce({SQL_WORD_TOKENS.format(f"split_part(d.text, {NL}, 2)")}[1], '') AS s,
-         coalesce({SQL_WORD_TOKENS.format(f"split_part(d.text, {NL}, 3)")}[1], '') AS o
-  FROM examples e JOIN documents d ON e.id = d.doc_id
+  SELECT * EXCLUDE (words), {sql_drawn_word('words', 'v')} AS v,
+         {", ".join(f"CASE WHEN {sql_bucket(f"'no {r}:' || CAST(id AS VARCHAR)", BLANKS)} = 0 THEN '' ELSE {sql_drawn_word('words', r)} END AS {r}"
+                    for r in ("s", "o"))}
+  FROM worded
 )"""
 
 
@@ -145,10 +159,9 @@ def _features(spark, sf_dir):
     roles = _roles(spark, sf_dir)
     vocab = vocabulary(spark, sf_dir)
     vecs = FT.term_vectors(roles, ["v", "s", "o"], vocab)
-    toks = roles.select("id", F.explode(T.infix_tokens("text")).alias("token"))
-    ctx = FT.mean_pool(toks, "id", "token", vocab, docs=roles.select("id"), dtype="float32")
+    ctx = FT.mean_pool_arrays(roles, "id", T.infix_tokens("text"), vocab, dtype="float32")
     # reused by several branches of the calling plans
-    return vecs.join(ctx, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    return staged(vecs.join(ctx, "id"), "features")
 
 
 def feature_concat(spark, sf_dir):
@@ -219,12 +232,13 @@ SELECT r.id, d.ctx_id, d.ctx_examples FROM roles r JOIN dict d ON r.text = d.tex
 
 def feature_store_roundtrip(spark, sf_dir):
     """Write the context dimension and the example facts (partitioned by
-    split partition) to the shared store, read them back and gather."""
+    split partition, bucketed by context) to the shared store, read them back
+    and gather."""
     facts, dims = extract_with_vocabulary(_as_examples(spark, sf_dir), vocabulary(spark, sf_dir))
     path = shared_path(spark, "feature-store")
-    FT.write_feature_store(facts, dims, path)
-    facts_r, dims_r = FT.read_feature_store(spark, path)
-    back = facts_r.join(dims_r, "ctx_id")
+    name = "store_" + path.rsplit("-", 1)[1]
+    FT.write_bucketed_store(facts, dims, path, name, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    back = FT.gather_from_store(spark, name)
     return back.select("id", "ctx_id", "y", "partition", "genre",
                        (F.size("v_emb") + F.size("s_emb") + F.size("o_emb") + F.size("ctx_emb"))
                        .alias("n_features"))

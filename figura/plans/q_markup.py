@@ -6,27 +6,26 @@ Files are staged under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from figura.functions import text as T
+from figura.functions.hashing import bucket
 from figura.operators import corpus
 from figura.plans.catalog import register
-from figura.plans.q_features import _ROLES_SQL, _roles
+from figura.plans.q_features import _ROLES_SQL, _roles, drawn_word, sql_drawn_word
 from figura.plans.q_text import SQL_WORD_TOKENS, SQL_WS_TOKENS
-from figura.plans.tables import read
-from figura.session import shared_path
+from figura.plans.tables import read, sql_bucket
+from figura.session import shared_path, staged
 from figura.sources import markup, readers
 
 NL = "chr(10)"
 
 
 def _page_nodes(spark, sf_dir):
-    """Parsed pages, persisted: the node table feeds several joins."""
+    """Parsed pages, written once: the node table feeds several joins."""
     pages = read(spark, sf_dir, "pages")
-    return markup.node_table(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("content")),
-                             min_partitions=spark.sparkContext.defaultParallelism) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    return staged(markup.node_table(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("content")),
+                                    min_partitions=spark.sparkContext.defaultParallelism), "page-nodes")
 
 
 def leaf_tokens(spark, sf_dir):
@@ -115,31 +114,37 @@ def _fragment_words(nodes):
         .select("doc_id", "n_sentences", F.size("_w").alias("n_words"), F.md5(F.array_join("_w", " ")).alias("words_md5"))
 
 
+# Of how many conversations one is named by no example.
+UNNAMED = 8
+
+
 def xml_corpus_scan(spark, sf_dir):
     """Conversations written as (a) one big annotated corpus file read back
     fragment by fragment and (b) one source file per key read back only for
-    the keys that examples name; both parsed into node tables; sentences
-    and words per fragment, and the same words from its source file."""
+    the keys that examples name (seven conversations in eight), the other
+    files unopened; both parsed into node tables; sentences and words per
+    fragment, and the same words from its source file."""
     conv = read(spark, sf_dir, "conversations")
-    xml = conversation_xml(conv).persist(StorageLevel.MEMORY_AND_DISK)   # written twice
+    xml = staged(conversation_xml(conv), "conversation-xml")             # read twice
     root = shared_path(spark, "xml-corpus")
     xml.select("xml").write.mode("overwrite").text(f"{root}/annotated")
     # one file per key: cluster by key so that each key is written once
     xml.select(F.col("fragment_id").alias("key"), "xml").repartition("key").write.mode("overwrite") \
         .partitionBy("key").text(f"{root}/source")
     frags = readers.scan_fragments(spark, f"{root}/annotated")
-    nodes = markup.node_table(frags.withColumnRenamed("fragment_id", "doc_id")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = staged(markup.node_table(frags.withColumnRenamed("fragment_id", "doc_id")), "fragment-nodes")
     words = _fragment_words(nodes)
-    wanted = conv.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-fragment01")).alias("k"))
+    named = bucket(F.concat(F.lit("named:"), F.col("conv_id").cast("string")), UNNAMED) > 0
+    wanted = conv.where(named).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-fragment01")).alias("k"))
     src = readers.scan_keyed_files(spark, f"{root}/source", wanted, "k", readers.KEY_IN_FOLDER)
-    source = markup.node_table(src.withColumnRenamed("key", "doc_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    source = staged(markup.node_table(src.withColumnRenamed("key", "doc_id")), "source-nodes")
     found = _fragment_words(source).select("doc_id", F.col("words_md5").alias("source_words_md5"))
     return (words.join(found, "doc_id", "left")
             .select(F.col("doc_id").alias("fragment_id"), "n_sentences", "n_words", "words_md5",
                     F.col("source_words_md5").isNotNull().alias("source_found"), "source_words_md5"))
 
 
+_NAMED = sql_bucket("'named:' || CAST(ss.conv_id AS VARCHAR)", UNNAMED) + " > 0"
 register("xml_corpus_scan", f"""
 WITH l AS (
   SELECT conv_id, turn, unnest(range(0, len(string_split(text, {NL})))) AS line,
@@ -155,8 +160,8 @@ WITH l AS (
 ), ss AS (SELECT conv_id, count(*) AS n_sentences FROM l GROUP BY conv_id)
 SELECT 'c' || CAST(ss.conv_id AS VARCHAR) || '-fragment01' AS fragment_id, ss.n_sentences,
        CAST(coalesce(ws.n_words, 0) AS INTEGER) AS n_words,
-       coalesce(ws.words_md5, md5('')) AS words_md5, true AS source_found,
-       coalesce(ws.words_md5, md5('')) AS source_words_md5
+       coalesce(ws.words_md5, md5('')) AS words_md5, {_NAMED} AS source_found,
+       CASE WHEN {_NAMED} THEN coalesce(ws.words_md5, md5('')) END AS source_words_md5
 FROM ss LEFT JOIN ws ON ss.conv_id = ws.conv_id
 """)(xml_corpus_scan)
 
@@ -169,7 +174,7 @@ def jsonl_nested_scan(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels")
     root = shared_path(spark, "jsonl")
-    lemma = F.nullif(T.first_word("text"), F.lit(""))
+    lemma = F.nullif(drawn_word(T.word_tokens("text"), "lemma", "doc_id"), F.lit(""))
     rec = docs.select(F.struct(lemma.alias("U-lemmaByPOS")).alias("x"),
                       F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"),
                       F.col("lang"))
@@ -184,41 +189,42 @@ def jsonl_nested_scan(spark, sf_dir):
 
 register("jsonl_nested_scan", f"""
 SELECT 'doc_' || CAST(l.doc_id AS VARCHAR) AS id, l.quality AS y,
-       {SQL_WORD_TOKENS.format('d.text')}[1] AS verb_lemma
+       nullif({sql_drawn_word(SQL_WORD_TOKENS.format('d.text'), 'lemma', 'd.doc_id')}, '') AS verb_lemma
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 """)(jsonl_nested_scan)
 
 
-CSV_SCHEMA = "id bigint, v string, s string, o string, sentence string"
+CSV_SCHEMA = "id bigint, line int, v string, s string, o string, sentence string"
 
 
 def csv_roundtrip_blanks(spark, sf_dir):
     """Examples written as three CSV files and read back: a header index
-    (id, genre, partition), headerless labels (id, y) and the example rows
-    with blank arguments and quoted, comma-bearing sentences, read in both
-    null regimes (blanks stay '' in one and become null in the other; the
-    word ``NA`` stays a word in the first)."""
-    roles = _roles(spark, sf_dir).withColumn("sentence", F.split_part(F.col("text"), F.lit("\n"), F.lit(1))) \
-        .select("id", "y", "genre", "partition", "v", "s", "o", "sentence")
+    (id, genre, partition), headerless labels (id, y) and a row for every line
+    of every example's text, with blank arguments and quoted, comma-bearing
+    sentences, read in both null regimes (blanks stay '' in one and become
+    null in the other; the word ``NA`` stays a word in the first)."""
+    roles = _roles(spark, sf_dir)
     path = shared_path(spark, "csv")
     readers.write_csv(roles.select("id", "genre", "partition"), f"{path}/index")
     (roles.select(F.col("id").cast("string").alias("id"), "y").write.mode("overwrite")
      .csv(f"{path}/labels"))                                   # no header row
-    readers.write_csv(roles.select("id", "v", "s", "o", "sentence"), f"{path}/examples")
+    lines = roles.select("id", "v", "s", "o", F.posexplode(F.split("text", "\n")).alias("line", "sentence"))
+    readers.write_csv(lines.select("id", "line", "v", "s", "o", "sentence"), f"{path}/examples")
     index = readers.read_index_csv(spark, f"{path}/index", "id bigint, genre string, partition string")
     labels = readers.read_headerless_labels_csv(spark, f"{path}/labels") \
         .select(F.col("id").cast("bigint").alias("id"), "y")
     keep = readers.read_csv_keep_blanks(spark, f"{path}/examples", CSV_SCHEMA)
     nulls = readers.read_csv_default_na(spark, f"{path}/examples", CSV_SCHEMA).select(
-        "id", F.col("s").isNull().alias("s_null"), F.col("o").isNull().alias("o_null"))
-    return (index.join(labels, "id").join(keep, "id").join(nulls, "id")
-            .select("id", "y", "genre", "partition", "v", "s", "o",
-                    F.md5("sentence").alias("sentence_md5"), "s_null", "o_null"))
+        "id", "line", *[F.col(c).isNull().alias(f"{c}_null") for c in ("s", "o", "sentence")])
+    return (index.join(labels, "id").join(keep, "id").join(nulls, ["id", "line"])
+            .select("id", "line", "y", "genre", "partition", "v", "s", "o",
+                    F.md5("sentence").alias("sentence_md5"), "s_null", "o_null", "sentence_null"))
 
 
+_NA = ", ".join(f"'{x}'" for x in readers.NA_STRINGS)
 register("csv_roundtrip_blanks", f"""
 WITH {_ROLES_SQL.strip()}
-SELECT id, y, genre, partition, v, s, o, md5(split_part(text, {NL}, 1)) AS sentence_md5,
-       s = '' AS s_null, o = '' AS o_null
-FROM roles
+SELECT id, CAST(line AS INTEGER) AS line, y, genre, partition, v, s, o, md5(sentence) AS sentence_md5,
+       s IN ({_NA}) AS s_null, o IN ({_NA}) AS o_null, sentence IN ({_NA}) AS sentence_null
+FROM (SELECT *, unnest(range(0, len(string_split(text, {NL})))) AS line, unnest(string_split(text, {NL})) AS sentence FROM roles)
 """)(csv_roundtrip_blanks)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from figura.functions import text
 from figura.operators import corpus
+from figura.operators.occurrences import first_occurrences
 from figura.operators.text_ops import token_offsets
 from figura.plans.catalog import register
 from figura.functions.hashing import bucket
@@ -108,7 +109,7 @@ FROM documents
 
 def token_offsets_q(spark, sf_dir):
     """Character offset of every whitespace token of every document."""
-    return token_offsets(read(spark, sf_dir, "documents"), "doc_id")
+    return token_offsets(read(spark, sf_dir, "documents"), "doc_id", min_partitions=spark.sparkContext.defaultParallelism)
 
 
 _NWS = q("[^" + text.WS_CLASS_SQL[1:])
@@ -150,10 +151,7 @@ def char_span(spark, sf_dir):
     ctx = corpus.ordered_text(conv, ["conv_id"], "turn", "text", sep="\n") \
         .select("conv_id", text.normalize_whitespace("text").alias("ctx"))
     sent = conv.select("conv_id", "turn", text.normalize_whitespace("text").alias("sent"))
-    span = text.char_span("ctx", "sent")
-    return sent.join(ctx, "conv_id").select(
-        "conv_id", "turn", span["start"].alias("sentence_start_idx"),
-        span["end"].alias("sentence_end_idx"))
+    return first_occurrences(ctx, sent, ["conv_id"], "ctx", "sent")
 
 
 register("char_span", f"""
@@ -175,8 +173,11 @@ FROM sent s JOIN ctx c ON s.conv_id = c.conv_id
 def _conv_ids(conv):
     seg = F.concat(F.lit("c"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 2),
                    F.lit("-fragment"), two_digits("turn"))
-    verb = F.regexp_replace(F.lower(F.split_part(F.col("text"), F.lit(" "), F.lit(1))), r"[^\p{L}]", "")
-    toks = F.size(text.whitespace_tokens("text"))
+    raw = text.whitespace_tokens("text")
+    toks = F.size(raw)
+    drawn = F.get(raw, bucket(F.concat_ws(":", F.lit("verb"), F.col("conv_id").cast("string"), F.col("turn").cast("string")),
+                             F.greatest(toks, F.lit(1))).cast("int"))
+    verb = F.coalesce(F.regexp_replace(F.lower(drawn), r"[^\p{L}]", ""), F.lit(""))
     sent_no = F.length("text").cast("string")
     train_id = F.concat_ws("_", seg, sent_no, F.col("turn").cast("string"), toks.cast("string"),
                            F.lit("0"), verb)
@@ -197,7 +198,8 @@ def id_split_typed(spark, sf_dir):
 
 
 _SQL_SEG = "'c' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 2) || '-fragment' || lpad(CAST(turn AS VARCHAR), greatest(2, length(CAST(turn AS VARCHAR)))::INTEGER, '0')"
-_SQL_VERB = r"regexp_replace(lower(split_part(text, ' ', 1)), '[^\p{L}]', '', 'g')"
+_SQL_DRAWN = f"{SQL_WS_TOKENS.format(x='text')}[" + sql_bucket("'verb:' || conv_id || ':' || turn", f"len({SQL_WS_TOKENS.format(x='text')})") + " + 1]"
+_SQL_VERB = r"coalesce(regexp_replace(lower(" + _SQL_DRAWN + r"), '[^\p{L}]', '', 'g'), '')"
 _SQL_NTOK = f"CAST(len({SQL_WS_TOKENS.format(x='text')}) AS VARCHAR)"
 register("id_split_typed", f"""
 WITH built AS (

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figura.functions.hashing import bucket
+from figura.session import few
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -70,12 +71,12 @@ examples AS (
 
 def with_dev_split(ex: DataFrame, n_dev: int = N_DEV, seed: int = SEED) -> DataFrame:
     """``split`` in {train, dev, test}: dev is the seeded sample of n_dev
-    train rows (bounded by n_dev, so it is broadcast). Rows of any other
+    train rows (broadcast if n_dev is small). Rows of any other
     partition have no split; the split checks count them as outside."""
     from figura.operators.sampling import seeded_sample
     dev = seeded_sample(ex.where(F.col("partition") == "train").select("id"), n_dev, seed) \
         .withColumn("_dev", F.lit(True))
-    return (ex.join(F.broadcast(dev), "id", "left")
+    return (ex.join(few(dev, n_dev), "id", "left")
             .withColumn("split", F.when(F.col("partition") == "test", "test")
                         .when(F.col("_dev"), "dev")
                         .when(F.col("partition") == "train", "train"))

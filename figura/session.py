@@ -15,6 +15,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that shape the physical plan. AQE re-plans joins and coalesces
 # shuffle partitions at runtime; skew-join splitting handles hot keys.
@@ -96,6 +97,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that a plan may broadcast on the word of a parameter.
+BROADCAST_ROWS = 100_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows at most, marked for a broadcast if that is few
+    enough; else the planner decides by measured size."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame, n: int | None) -> DataFrame:
+    """``df`` over ``n`` tasks if it arrives in fewer splits, else as it is
+    (no shuffle): for work that costs far more than its bytes."""
+    return df.repartition(n) if n and df.rdd.getNumPartitions() < n else df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once,
     outlives lost executors, and leaves a short plan to what follows."""

@@ -6,19 +6,19 @@ lower-cased, as an HTML parser does with XML) and emits one row per element
 and per text run:
 
     doc_id, pre, post, parent, depth, tag, attrs map<string,string>,
-    text (text runs only), ancestors array<bigint> (root first),
-    child_elements (element children of an element), in_leaf (a text run
-    whose parent element has no element children)
+    text (text runs only), child_elements (element children of an element),
+    in_leaf (a text run whose parent element has no element children)
 
 ``pre``/``post`` are document-order numbers (ancestor = pre below and post
-above), ``ancestors`` makes "enclosing element of kind X" an equi-join
-(``figura.operators.context.nearest_ancestors``). Everything after the
-scan is relational. One document is one record, so a task never holds more
-than the documents of its input split.
+above); what lies in what is found by the merges of
+``figura.operators.structural``, linear at any depth of nesting. Everything
+after the scan is relational. One document is one record, so a task never
+holds more than the documents of its input split.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,17 +26,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from figura.operators import structural
+from figura.session import spread
+
 NODE_SCHEMA = ("doc_id string, pre bigint, post bigint, parent bigint, depth int, tag string, "
-               "attrs map<string,string>, text string, ancestors array<bigint>, "
-               "child_elements int, in_leaf boolean")
+               "attrs map<string,string>, text string, child_elements int, in_leaf boolean")
 
 TEXT = "#text"
 # HTML elements that never have an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-COLUMNS = ["doc_id", "pre", "post", "parent", "depth", "tag", "attrs", "text", "ancestors",
-           "child_elements", "in_leaf"]
+COLUMNS = ["doc_id", "pre", "post", "parent", "depth", "tag", "attrs", "text", "child_elements", "in_leaf"]
 
 
 class _TreeBuilder(HTMLParser):
@@ -47,7 +48,7 @@ class _TreeBuilder(HTMLParser):
         self.doc_id = doc_id
         self.cols: dict[str, list] = {c: [] for c in COLUMNS[1:]}
         self.stack: list[tuple[int, str]] = []     # (pre, tag) of open elements
-        self.path: list[int] = []                  # pre numbers of open elements
+        self.open: Counter[str] = Counter()        # open elements by tag
         self.post = 0
 
     def _node(self, tag, attrs, text) -> int:
@@ -55,16 +56,16 @@ class _TreeBuilder(HTMLParser):
         pre = len(c["pre"])
         c["pre"].append(pre)
         c["post"].append(None)
-        c["parent"].append(self.path[-1] if self.path else None)
-        c["depth"].append(len(self.path))
+        parent = self.stack[-1][0] if self.stack else None
+        c["parent"].append(parent)
+        c["depth"].append(len(self.stack))
         c["tag"].append(tag)
         c["attrs"].append(attrs)
         c["text"].append(text)
-        c["ancestors"].append(list(self.path))
         if tag != TEXT:
             c["child_elements"].append(0)
-            if self.path:
-                c["child_elements"][self.path[-1]] += 1
+            if parent is not None:
+                c["child_elements"][parent] += 1
         else:
             c["child_elements"].append(None)
         c["in_leaf"].append(None)
@@ -80,17 +81,17 @@ class _TreeBuilder(HTMLParser):
             self._close(pre)
         else:
             self.stack.append((pre, tag))
-            self.path.append(pre)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._close(self._node(tag, {k: (v if v is not None else "") for k, v in attrs}, None))
 
     def handle_endtag(self, tag):
-        if not any(t == tag for _, t in self.stack):
+        if not self.open[tag]:
             return  # stray end tag
         while self.stack:
             pre, t = self.stack.pop()
-            self.path.pop()
+            self.open[t] -= 1
             self._close(pre)
             if t == tag:
                 break
@@ -102,9 +103,7 @@ class _TreeBuilder(HTMLParser):
     def finish(self) -> dict[str, list]:
         self.close()
         while self.stack:
-            pre, _ = self.stack.pop()
-            self.path.pop()
-            self._close(pre)
+            self._close(self.stack.pop()[0])
         c = self.cols
         c["doc_id"] = [self.doc_id] * len(c["pre"])
         c["in_leaf"] = [None if t != TEXT else (p is not None and c["child_elements"][p] == 0)
@@ -151,13 +150,11 @@ def node_table(docs: DataFrame, doc_id: str = "doc_id", content: str = "content"
                min_partitions: int | None = None) -> DataFrame:
     """``(doc_id, content)`` documents -> node table (see module doc).
 
-    Parsing is CPU-bound Python: ``min_partitions`` spreads the documents over
-    that many tasks first, for inputs that arrive in a few splits; by default
+    Parsing is CPU-bound Python: documents that arrive in fewer than
+    ``min_partitions`` splits are spread over that many tasks first; by default
     they are parsed where they are."""
     src = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content"))
-    if min_partitions:
-        src = src.repartition(min_partitions)
-    return src.mapInPandas(_parse_batches, NODE_SCHEMA)
+    return spread(src, min_partitions).mapInPandas(_parse_batches, NODE_SCHEMA)
 
 
 # ------------------------------------------------------------- relational ops
@@ -166,57 +163,31 @@ def elements(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("tag") != TEXT)
 
 
-def _runs_under(runs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Text runs (``doc_id, _tp, ancestors, ...``) with each target ``pre``
-    above them. Only node numbers are exploded and matched; texts are fetched
-    for the runs that matched."""
-    hit = (runs.select("doc_id", "_tp", F.explode("ancestors").alias("pre"))
-           .join(targets.select("doc_id", "pre"), ["doc_id", "pre"]))
-    return hit.join(runs.drop("ancestors"), ["doc_id", "_tp"])
+def _closing(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` with ``post``, taken from the node table where it lacks."""
+    if "post" in targets.columns:
+        return targets.select("doc_id", "pre", "post")
+    return targets.select("doc_id", "pre").join(elements(nodes).select("doc_id", "pre", "post"), ["doc_id", "pre"])
 
 
 def element_text(nodes: DataFrame, targets: DataFrame, name: str = "text") -> DataFrame:
     """Full text (all descendant text runs in document order) of each
-    target element ``(doc_id, pre)``: text rows are matched to targets
-    through their ancestor lists (an equi-join), then concatenated."""
-    hit = _runs_under(nodes.where(F.col("tag") == TEXT).select("doc_id", F.col("pre").alias("_tp"), "text", "ancestors"),
-                      targets)
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("_tp"), F.col("text"))))
-    got = hit.groupBy("doc_id", "pre").agg(F.array_join(F.transform(pairs, lambda x: x["text"]), "").alias(name))
+    target element ``(doc_id, pre[, post])``."""
+    got = structural.covered_text(_closing(nodes, targets), nodes.where(F.col("tag") == TEXT), name=name)
     return targets.join(got, ["doc_id", "pre"], "left").withColumn(name, F.coalesce(F.col(name), F.lit("")))
 
 
 def element_stripped_lengths(nodes: DataFrame, targets: DataFrame, name: str = "stripped_len") -> DataFrame:
-    """``len(text.strip())`` of each target element's full text, computed
-    from per-run statistics without building the text.
-
-    The stripped length is the total length minus the leading whitespace
-    (whole blank runs before the first non-blank run, plus that run's own
-    leading whitespace) and the trailing whitespace (likewise at the end).
-    Two grouped aggregations over the runs, no text concatenation."""
+    """``len(text.strip())`` of each target element's full text, from the
+    length, blankness and outer white space of its runs: the text is neither
+    moved nor built."""
     from figura.functions.text import WS_CLASS
     t = F.col("text")
     runs = nodes.where(F.col("tag") == TEXT).select(
-        "doc_id", F.col("pre").alias("_tp"), F.length(t).alias("_len"),
-        t.rlike(f"^{WS_CLASS}*$").alias("_blank"),
-        (F.length(t) - F.length(F.regexp_replace(t, f"^{WS_CLASS}+", ""))).alias("_lead"),
-        (F.length(t) - F.length(F.regexp_replace(t, f"{WS_CLASS}+$", ""))).alias("_trail"),
-        F.explode("ancestors").alias("pre"))
-    hit = runs.join(targets.select("doc_id", "pre").distinct(), ["doc_id", "pre"])
-    ends = hit.groupBy("doc_id", "pre").agg(
-        F.sum("_len").alias("_total"),
-        F.min(F.when(~F.col("_blank"), F.struct("_tp", "_lead"))).alias("_first"),
-        F.max(F.when(~F.col("_blank"), F.struct("_tp", "_trail"))).alias("_last"))
-    edges = (hit.join(ends.select("doc_id", "pre", F.col("_first._tp").alias("_f"), F.col("_last._tp").alias("_l")),
-                      ["doc_id", "pre"])
-             .groupBy("doc_id", "pre")
-             .agg(F.sum(F.when(F.col("_tp") < F.col("_f"), F.col("_len")).otherwise(0)).alias("_head"),
-                  F.sum(F.when(F.col("_tp") > F.col("_l"), F.col("_len")).otherwise(0)).alias("_tail")))
-    lens = ends.join(edges, ["doc_id", "pre"]).select(
-        "doc_id", "pre",
-        F.when(F.col("_first").isNull(), F.lit(0)).otherwise(
-            F.col("_total") - F.col("_head") - F.col("_first._lead") - F.col("_tail") - F.col("_last._trail"))
-        .cast("int").alias(name))
+        "doc_id", "pre", "post", F.length(t).alias("len"), t.rlike(f"^{WS_CLASS}*$").cast("int").alias("blank"),
+        (F.length(t) - F.length(F.regexp_replace(t, f"^{WS_CLASS}+", ""))).alias("lead"),
+        (F.length(t) - F.length(F.regexp_replace(t, f"{WS_CLASS}+$", ""))).alias("trail"))
+    lens = structural.covered_lengths(_closing(nodes, targets), runs, name=name).withColumn(name, F.col(name).cast("int"))
     return targets.join(lens, ["doc_id", "pre"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
@@ -235,21 +206,10 @@ def child_text(nodes: DataFrame, targets: DataFrame, name: str = "text") -> Data
 def leaf_tokens(nodes: DataFrame, targets: DataFrame, name: str = "tokens") -> DataFrame:
     """Raw tokens of each target: texts of its leaf descendants in document
     order, joined by spaces and split on whitespace (text lying directly in
-    an element that also has element children is not included).
-
-    Text runs inside leaves are matched to targets through their ancestor
-    lists."""
+    an element that also has element children is not included, nor is the
+    text of a target that is a leaf itself)."""
     from figura.functions.text import whitespace_tokens
-    hit = _runs_under(nodes.where(F.col("in_leaf")).select(
-        "doc_id", F.col("pre").alias("_tp"), F.col("parent").alias("_leaf"), "text", "ancestors"), targets)
-    hit = hit.where(F.col("_leaf") != F.col("pre"))        # the target itself is not its own leaf
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("_tp"), F.col("_leaf"), F.col("text"))))
-    # runs of one leaf are adjacent in document order: glue them, and put a
-    # space between different leaves
-    pieces = F.transform(pairs, lambda x, i: F.when(
-        (i > 0) & (x["_leaf"] != F.element_at(pairs, i)["_leaf"]), F.concat(F.lit(" "), x["text"]))
-        .otherwise(x["text"]))
-    got = hit.groupBy("doc_id", "pre").agg(F.array_join(pieces, "").alias("_joined"))
+    got = structural.covered_text(_closing(nodes, targets), nodes.where(F.col("in_leaf")), name="_joined", leaf="parent")
     return (targets.join(got, ["doc_id", "pre"], "left")
             .withColumn(name, whitespace_tokens(F.coalesce(F.col("_joined"), F.lit("")))).drop("_joined"))
 

@@ -125,7 +125,7 @@ def test_nearest_ancestors_and_text(spark):
     nodes = markup.node_table(docs).persist()
     el = markup.elements(nodes)
     cands = context.context_candidates(nodes)
-    sents = el.where(F.col("tag") == "s").select("doc_id", "pre", "ancestors", F.col("attrs")["n"].alias("n"))
+    sents = el.where(F.col("tag") == "s").select("doc_id", "pre", "post", F.col("attrs")["n"].alias("n"))
     near = context.nearest_ancestors(sents, cands, ["p", "u", "div_4", "div_3", "div_2"])
     pre_of = {r.tag + (r.attrs.get("level") or ""): r.pre for r in el.collect()}
     got = {r.n: (r.p, r.u, r.div_4, r.div_2) for r in near.join(sents.select("doc_id", "pre", "n"),

@@ -127,3 +127,35 @@ def test_word_vectors_count_every_word(spark, tmp_path):
     got = sorted(tuple(r) for r in E.queries()["word2vec_features"](spark, str(tmp_path)).select(*cols.split(", ")).collect())
     assert [r[2] for r in got] == [True, True, False, False, True] and [r[5] > 0 for r in got] == [True, True, False, False, True]
     assert got == sorted(con.execute(f"SELECT {cols} FROM ({E.oracle_sql()['word2vec_features']})").fetchall())
+
+
+def test_midp_of_unequal_counts_at_any_size(spark):
+    from fractions import Fraction
+    from math import comb, erfc, exp, pi, sqrt
+
+    from figura.functions.stats import half_binomial_midp, mcnemar_midp
+
+    def exact(b, c):
+        n, x = b + c, min(b, c)
+        total = sum(comb(n, k) for k in range(x + 1))
+        return float(Fraction(2 * total - comb(n, x), 2 ** n))
+
+    def series(b, c):
+        """A normal curve with the first corrections: the rest is below 1 / n^2."""
+        n, x = b + c, min(b, c)
+        z = (2 * x - n) / sqrt(n)
+        phi = exp(-z * z / 2) / sqrt(2 * pi)
+        return 2 * (erfc(-z / sqrt(2)) / 2 + phi * (z ** 3 - 7 * z) / (12 * n))
+
+    small = [(0, 1), (1, 0), (0, 7), (1, 2), (2, 1), (3, 9), (5, 40), (7, 8), (14, 17), (15, 16), (16, 17), (20, 60), (100, 131), (999, 1001), (0, 900), (400, 2000), (3000, 3001)]
+    df = spark.createDataFrame(small, "b long, c long")
+    for (b, c), r in zip(small, df.select(mcnemar_midp("b", "c")).collect(), strict=True):
+        assert abs(r[0] - exact(b, c)) < 1e-9, (b, c, r[0], exact(b, c))
+    big = [(10**6, 10**6 + 1), (5 * 10**6, 5 * 10**6 + 900), (3 * 10**9, 3 * 10**9 + 1), (3 * 10**9, 3 * 10**9 + 200_000), (10**12, 10**12 + 1),
+           (10**12, 10**12 + 10**6), (10**12, 10**12 + 5 * 10**6), (10**12, 2 * 10**12)]
+    got = [r[0] for r in spark.createDataFrame(big, "b long, c long").select(mcnemar_midp("b", "c")).collect()]
+    for (b, c), g in zip(big, got, strict=True):
+        assert abs(g - series(b, c)) < 2e-9, (b, c, g, series(b, c))
+    assert abs(got[0] - 0.99943581077) < 1e-10
+    same = spark.createDataFrame([(k, 2 * k) for k in (1, 2, 3, 10, 16, 1000, 10**6, 10**9, 10**12)], "x long, n long")
+    assert all(abs(r[0] - 1) < 1e-9 for r in same.select(half_binomial_midp(F.col("x"), F.col("n"))).collect())
