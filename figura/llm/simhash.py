@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figura.llm.common import stage, tasks
+from figura.llm.common import drop_staged, stage, tasks
 from figura.llm.components import components
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -53,14 +53,14 @@ def fingerprint(data: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit number."""
+    """(doc_id, fp, h): fp as a signed 64-bit number, h a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "h"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint, h bigint")
 
 
 class BKTree:
@@ -209,9 +209,9 @@ def links(fps: DataFrame, radius: int = 4, tree_size: int = 4096, blocks: int |
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str = "doc_id",
                     text: str = "text", tree_size: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (signed), component (label of
-    its group of linked fingerprints) and component_id, the smallest doc_id of
-    the group (null if the group has null ids only).
+    """One row per row of ``docs``: doc_id, fp (signed), h (hash of the text),
+    component (label of its group of linked fingerprints) and component_id,
+    the smallest doc_id of the group (null if the group has null ids only).
 
     Null, empty and wordless texts have fingerprint zero and are linked like
     any other. Equal fingerprints are one node, so copies and repeated rows
@@ -223,39 +223,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id:
     labels = components(edges)
     named = stage(nodes.join(labels, nodes.fp == labels.node, "left")
                   .select("fp", F.coalesce("label", "fp").alias("component"), "first"), "fp-components")
+    drop_staged(nodes, labels)
     groups = named.groupBy("component").agg(F.min("first").alias("component_id"))
     table = stage(named.select("fp", "component").join(groups, "component"), "fp-groups")
+    drop_staged(named)
     return prints.join(table, "fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text",
              tree_size: int = 4096) -> DataFrame:
-    """``docs`` with one document of each group, that with the smallest id;
-    columns unchanged. Rows that repeat the kept id are reduced to one; of a
-    group without ids one row stays (which one is not defined in either case).
+    """``docs`` with one document of each group: that with the smallest id
+    (null behind all), of those with this id that with the smallest text hash,
+    and of rows that agree in both that with the smallest hash of the whole
+    row. Columns are unchanged, whatever their names.
     """
     found = near_duplicates(docs, shingle, radius, doc_id, text, tree_size)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # `docs` may be any plan: rows are matched by id, and also by fingerprint where ids repeat or are null
-    repeated = stage(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
-                     .select(F.col("doc_id").alias("_kept")), "repeated-ids")
-    single = stage(kept.where("doc_id IS NOT NULL").join(repeated, F.col("doc_id") == F.col("_kept"), "left_anti")
-                   .select(F.col("doc_id").alias("_kept")), "kept-ids")
-    once = docs.join(single, F.col(doc_id) == F.col("_kept"), "left_semi")
-    if repeated.isEmpty():
-        return once
-    kind = docs.schema
-    rest = docs.join(repeated, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    marks = rest.withColumn("_fp", F.lit(0).cast("long"))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.schema.get_field_index(text)
-            fp = [fingerprint(t.as_py().encode() if t.is_valid else None, shingle) for t in b.column(k)]
-            yield b.set_column(b.num_columns - 1, "_fp", pa.array(np.array(fp, np.uint64).view(np.int64)))
-
-    marked = marks.mapInArrow(add, marks.schema)
-    rows = kept.groupBy("fp", "component").agg(F.min("doc_id").alias("_kept")).withColumnRenamed("fp", "_kfp")
-    one = (marked.join(rows, (F.col("_fp") == F.col("_kfp")) & F.col(doc_id).eqNullSafe(F.col("_kept")))
-           .dropDuplicates(["component"]).select(*kind.names))
-    return once.unionByName(one)
+    rows = found.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")).alias("k"))
+    kept = stage(first.select(F.col("k.doc_id").alias("kid"), F.col("k.h").alias("kh"), F.col("k.n").alias("n")), "kept-rows")
+    drop_staged(found)
+    # `docs` may be any plan: its rows are told apart by id and text, and travel as one column
+    t = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
+    same = F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh"))
+    once = t.join(kept.where("n = 1"), same, "left_semi").select("row")
+    if not kept.where("n > 1").isEmpty():
+        again = t.join(kept.where("n > 1"), same, "left_semi")
+        once = once.unionByName(again.groupBy("id", "h").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row"))
+    return once.select([F.col("row")[c].alias(c) for c in docs.columns])
