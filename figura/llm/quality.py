@@ -138,23 +138,28 @@ def host_rules(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """``docs`` without rejected documents; columns unchanged.
-
-    The base rule is applied in the row and bad hosts by an anti-join with
-    the (host-sized) verdict table, so texts are not shuffled while that table
-    is small enough for the planner to broadcast.
+    """``docs`` without rejected documents; columns unchanged, whatever their
+    names. Null or empty texts have no words and are rejected; rows that
+    repeat are judged each; an empty table stays empty.
+
+    Each text is measured once: rows that pass the base rule are written with
+    their counts, the others with counts alone, and bad hosts are taken out by
+    an anti-join with the (host-sized) verdict table, so texts are not
+    shuffled while that is small enough for the planner to broadcast.
     """
-    kind = docs.schema
-    counts = stage(document_counts(docs, doc_id, text, host), "quality-counts")
-    bad = stage(host_verdicts(counts).where("host_bad").select(F.col("host").alias("_bad_host")), "quality-hosts")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    t = docs.select(row, F.coalesce(F.trim(F.col(host).cast("string")), F.lit("")).alias("host"), F.col(text).alias("text"))
+    kind = t.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for t in b.column(b.schema.get_field_index(text)):
-                m = dict(zip(COUNTS, measure(t.as_py()), strict=True))
-                keep.append(m["n_words"] >= 10 and m["n_repeat_words"] * 100 <= m["n_words"] * 20)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return (docs.mapInArrow(run, kind)
-            .join(bad, F.coalesce(F.trim(F.col(host).cast("string")), F.lit("")) == F.col("_bad_host"), "left_anti"))
+            got = [measure(x.as_py()) for x in b.column(2)]
+            cols = list(zip(*got, strict=True)) or [[]] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]],
+                                             names=["row", "host", *COUNTS])
+
+    measured = t.mapInArrow(run, f"row {kind}, host string, " + ", ".join(f"{c} bigint" for c in COUNTS)).withColumn("base_failed", base_failed())
+    measured = stage(measured.withColumn("row", F.when(~F.col("base_failed"), F.col("row"))), "quality-rows")
+    bad = stage(host_verdicts(measured).where("host_bad").select("host"), "quality-hosts")
+    kept = measured.where(~F.col("base_failed")).join(bad, "host", "left_anti")
+    return kept.select([F.col("row")[c].alias(c) for c in docs.columns])
