@@ -113,7 +113,9 @@ def pack(cuts: DataFrame, capacity: int = 1024) -> DataFrame:
 
     Lengths are counted with map-side sums; the histogram (``capacity`` rows
     at most) goes to the driver and the plan, whose size ``capacity`` bounds,
-    to the tasks. A length that holds most pieces is ranked in buckets.
+    to the tasks. A length that holds most pieces is ranked in buckets. Other
+    columns pass through, whatever their names; a sequence_id or offset that
+    the table has already is replaced.
     """
     counts = {r.length: r.n for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(k < 1 or k > capacity for k in counts):
@@ -121,14 +123,15 @@ def pack(cuts: DataFrame, capacity: int = 1024) -> DataFrame:
     slots = np.array(plan(counts, capacity), np.int64).reshape(-1, 5)
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
     first = {int(n): int(k) for n, k in zip(*np.unique(slots[:, 0], return_index=True), strict=True)}
-    ranked = gapless_rank(cuts, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank", sum(counts.values()))
-    names = cuts.columns
+    names = [c for c in cuts.columns if c not in ("sequence_id", "offset")]
+    rows = cuts.select(F.struct(*[F.col(c) for c in names]).alias("row"), "length", "doc_id", "piece", "ids_crc32")
+    ranked = gapless_rank(rows, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", sum(counts.values())).select("row", "length", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = {n: (k, k + int((slots[:, 0] == n).sum())) for n, k in first.items()}
         for b in batches:
             length = b.column("length").to_numpy(zero_copy_only=False)
-            rank = b.column("_rank").to_numpy(zero_copy_only=False)
+            rank = b.column("rank").to_numpy(zero_copy_only=False)
             at = np.zeros(len(length), np.int64)
             for n in np.unique(length).tolist():
                 lo, hi = bounds[n]
@@ -136,10 +139,10 @@ def pack(cuts: DataFrame, capacity: int = 1024) -> DataFrame:
                 at[mine] = lo + np.searchsorted(slots[lo:hi, 1], rank[mine], "right") - 1
             s = slots[at]
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in names], pa.array(s[:, 3] + rank - s[:, 1]), pa.array(s[:, 4])],
+                [*b.column("row").flatten(), pa.array(s[:, 3] + rank - s[:, 1]), pa.array(s[:, 4])],
                 names=[*names, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cuts.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema["row"].dataType.fields)
     return ranked.mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
