@@ -117,7 +117,8 @@ def parse_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html",
              ts: Column | None = None) -> DataFrame:
-    """(page_id, url, ts, payload, digest, refers_to, revisit) of every page.
+    """(page_id, url, ts, payload, digest, refers_to, revisit) of every page;
+    ``ts`` is its capture time, a timestamp or Unix seconds in UTC (null: 0).
 
     Of payloads that are equal and have ``MIN_REVISIT`` bytes or more, the
     smallest page_id is the response (all rows with that id, if it repeats;
@@ -126,8 +127,9 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", paylo
     meeting in one task (the join may split them).
     """
     data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    # no capture time is given: the default is a fixed second for each page
-    ts = ts if ts is not None else F.coalesce(F.col(page_id), F.lit(0)).cast("long")
+    # without a capture time, pages are a second apart from 2024 on, by page_id
+    ts = (F.coalesce(ts.cast("long"), F.lit(0)) if ts is not None else
+          F.lit(DEFAULT_START) + F.least(F.greatest(F.coalesce(F.col(page_id), F.lit(0)).cast("long"), F.lit(0)), F.lit(1 << 36)))
     t = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
                      ts.alias("ts"), data.alias("payload"), F.sha2(data, 256).alias("digest"))
     groups = (t.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest")
@@ -140,8 +142,14 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", paylo
                     F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
+DEFAULT_START = 1_704_067_200
+_YEARS = (-62_135_596_800, 253_402_300_799)              # the years 1 to 9999
+
+
 def _stamp(seconds: int) -> str:
-    return (datetime(2024, 1, 1, tzinfo=UTC) + timedelta(seconds=seconds % (100 * 365 * 86400))).strftime("%Y%m%d%H%M%S")
+    """Unix seconds as fourteen digits; times outside four-digit years become the first or the last."""
+    t = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=min(max(seconds, _YEARS[0]), _YEARS[1]))
+    return f"{t.year:04d}" + t.strftime("%m%d%H%M%S")
 
 
 def _write_run(out: str, rows: list[tuple], keys: list[str], stem: str) -> tuple:
@@ -264,7 +272,6 @@ def merge_pass(manifest: DataFrame, out: str, fan_in: int, range_rows: int) -> D
     groups = -(-count // fan_in)
     dealt = manifest.withColumn("grp", F.pmod(F.xxhash64("run"), F.lit(groups)))
     sample = dealt.select("grp", F.explode("samples").alias("s"), (F.col("n") / F.size("samples")).alias("w"))
-    totals = dealt.groupBy("grp").agg(F.sum("n").alias("total"))
     from pyspark.sql import Window
     upto = Window.partitionBy("grp").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = (sample.withColumn("at", F.floor(F.sum("w").over(upto) / range_rows))
@@ -273,8 +280,16 @@ def merge_pass(manifest: DataFrame, out: str, fan_in: int, range_rows: int) -> D
     nxt = Window.partitionBy("grp").orderBy("lo")
     ranges = (cuts.distinct().withColumn("hi", F.lead("lo").over(nxt))
               .withColumn("lo", F.when(F.row_number().over(nxt) > 1, F.col("lo"))))
-    files = (ranges.join(dealt.select("grp", "run", "first", "last", "part", "path", "n"), "grp")
-             .where((F.col("hi").isNull() | (F.col("first") < F.col("hi"))) & (F.col("lo").isNull() | (F.col("last") >= F.col("lo")))))
+    # the ranges that a file's first and last keys fall into, found in key order; the file goes to these and those between
+    ranges = ranges.withColumn("r", F.row_number().over(nxt))
+    ends = (ranges.select("grp", F.coalesce("lo", F.lit("")).alias("k"), F.lit(0).alias("end"), "r", F.lit(None).cast("string").alias("path"))
+            .unionByName(dealt.select("grp", "path", F.explode(F.array(F.struct(F.col("first").alias("k"), F.lit(1).alias("end")),
+                                                                      F.struct(F.col("last").alias("k"), F.lit(2).alias("end")))).alias("x"))
+                         .select("grp", "x.k", "x.end", F.lit(None).cast("int").alias("r"), "path")))
+    met = ends.withColumn("r", F.last("r", True).over(Window.partitionBy("grp").orderBy("k", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    spans = met.where("end > 0").groupBy("grp", "path").agg(F.min("r").alias("a"), F.max("r").alias("b"))
+    files = (dealt.select("grp", "run", "first", "part", "path").join(spans, ["grp", "path"])
+             .withColumn("r", F.explode(F.sequence("a", "b"))).join(ranges, ["grp", "r"]))
     work = files.groupBy("grp", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("run", "first", "part", "path"))).alias("files"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,10 +358,11 @@ def read_index(merged: DataFrame) -> DataFrame:
 
 def read_archives(paths: DataFrame) -> DataFrame:
     """Read archive files (column ``archive``) back: one row per record, its
-    digest checked against the payload of responses."""
+    digest checked against the payload of responses, their number against
+    ``n`` if that column is there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, written in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = []
                 for at, h, block in parse_records(read_file(path)):
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -356,28 +372,36 @@ def read_archives(paths: DataFrame) -> DataFrame:
                         raise ValueError(f"{path} at {at}: the payload doesn't match its digest")
                     rows.append((_page_id(h["WARC-Record-ID"]), size, digest, h["WARC-Type"],
                                  _page_id(h.get("WARC-Refers-To")), path, at))
+                if written is not None and len(rows) != written:
+                    raise ValueError(f"{path} has {len(rows)} records of {written}")
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                                                  names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset"])
 
-    return (paths.select("archive").repartition(max(1, paths.count()))
+    written = F.col("n") if "n" in paths.columns else F.lit(None)
+    return (paths.select("archive", written.cast("bigint").alias("n")).repartition(max(1, paths.count()))
             .mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
                              "refers_to bigint, archive string, offset bigint"))
 
 
 def archive_pages(pages: DataFrame, out: str | None = None, page_id: str = "page_id", url: str = "url", payload: str = "html",
-                  archive_bytes: int = 64 << 20, fan_in: int = 64, range_rows: int = 20_000) -> DataFrame:
+                  archive_bytes: int = 64 << 20, fan_in: int = 64, range_rows: int = 20_000, ts: Column | None = None) -> DataFrame:
     """Write, index, merge and read back: one row per page with its record
     (page_id, payload_bytes, payload_digest, record_type, refers_to) and its
     place in the merged index (url_key, timestamp, position, archive, offset).
 
     Null payloads are empty, null URLs have the empty key, other columns are
     ignored, repeated rows are records of their own; no pages give no rows.
+    ``ts`` is the capture time (see ``captures``). An archive with another
+    number of records than were written, or a record that the index lacks,
+    fails the job.
     """
     out = out or folder(pages.sparkSession, "warc")
-    manifest = write_archives(captures(pages, page_id, url, payload), f"{out}/archives", archive_bytes)
+    manifest = write_archives(captures(pages, page_id, url, payload, ts), f"{out}/archives", archive_bytes)
     merged = merge_index(manifest, f"{out}/index", fan_in, range_rows)
     index = read_index(merged).select("archive", "offset", F.col("key").alias("url_key"), F.col("ts").alias("timestamp"), "position")
     # file names compress so well that the planner would take a long index for a small one
-    return read_archives(manifest).join(index.hint("merge"), ["archive", "offset"])
+    got = read_archives(manifest).join(index.hint("merge"), ["archive", "offset"], "left")
+    lost = F.raise_error(F.concat(F.lit("not in the index: "), "archive", F.lit(" "), F.col("offset").cast("string")))
+    return got.withColumn("position", F.coalesce("position", lost.cast("bigint")))
