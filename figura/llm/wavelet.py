@@ -131,11 +131,19 @@ class WaveletMatrix:
         return np.array([self.select(c, k) for k in range(self.count(c))], np.int64)
 
 
-def dump(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
-    """Bytes of a shard file."""
+def _column(values: list, kind: pa.DataType | None) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.array(values, kind)], names=["doc_id"])
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def dump(ids: np.ndarray, doc_ids: list, lengths: list[int], kind: pa.DataType | None = None) -> bytes:
+    """Bytes of a shard file. Document ids are an Arrow column of any type."""
     m = WaveletMatrix.build(ids)
     press = zstandard.ZstdCompressor(level=1).compress
-    parts = [press(json.dumps(doc_ids).encode()), press(np.array(lengths, np.int64).tobytes())]
+    parts = [press(_column(doc_ids, kind)), press(np.array(lengths, np.int64).tobytes())]
     for b, r in zip(m.bits, m.ranks, strict=True):
         parts += [press(b.tobytes()), press(r.tobytes())]
     head = json.dumps({"n": m.n, "docs": len(lengths), "zeros": m.zeros, "sections": [len(p) for p in parts]}).encode()
@@ -155,7 +163,7 @@ def load(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
         at += n
     bits = [np.frombuffer(p, np.uint8) for p in parts[2::2]]
     ranks = [np.frombuffer(p, np.uint32) for p in parts[3::2]]
-    return WaveletMatrix(bits, head["zeros"], ranks, head["n"]), json.loads(parts[0]), np.frombuffer(parts[1], np.int64)
+    return WaveletMatrix(bits, head["zeros"], ranks, head["n"]), pa.ipc.open_stream(parts[0]).read_all()["doc_id"].to_pylist(), np.frombuffer(parts[1], np.int64)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, out: str, end: int = 2, doc_id: str = "doc_id", text: str = "text",
@@ -171,7 +179,8 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, end: int = 2, doc_id
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = src.repartitionByRange(partitions, *order[:1]) if partitions else src.repartitionByRange(*order[:1])
+    # ranges of (id, text hash): rows of one id, or without one, may spread over tasks
+    dealt = src.repartitionByRange(partitions, *order) if partitions else src.repartitionByRange(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -182,14 +191,16 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, end: int = 2, doc_id
         def flush() -> pa.RecordBatch:
             nonlocal ids, doc_ids, lengths, held, seq
             path = f"{out}/shard-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.wavm"
-            write_file(path, dump(np.frombuffer(b"".join(ids), np.uint32), doc_ids, lengths))
+            write_file(path, dump(np.frombuffer(b"".join(ids), np.uint32), doc_ids, lengths, kind))
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part]), pa.array([seq]), pa.array([path]), pa.array([len(lengths)]), pa.array([held])],
                 names=["part", "seq", "path", "n_docs", "n_tokens"])
             ids, doc_ids, lengths, held, seq = [], [], [], 0, seq + 1
             return row
 
+        kind = None
         for b in batches:
+            kind = b.column(0).type
             for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = enc.encode(t.as_py())
                 ids.append(x)
