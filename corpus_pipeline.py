@@ -20,12 +20,15 @@ from figura.session import prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or their host's verdict rejects go."""
+    """Documents that the base rule or their host's verdict rejects go; null
+    and empty texts fail the base rule. An empty table stays empty (so in all
+    stages)."""
     return quality.filter_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go from the texts."""
+    """Later copies of repeated line runs go from the texts; no document goes,
+    a text may become empty, a null text stays null."""
     got = linededup.delete_repeats(docs, MIN_RUN_WORDS)
     if "n_chars" in got.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -33,17 +36,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays, that with the smallest id;
+    null, empty and wordless texts are one group."""
     return simhash.keep_one(docs, shingle=4, radius=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages go."""
+    """Documents with benchmark passages go; null and empty texts have none."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bestfit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents with their places in sequences."""
+    """Pieces of the remaining documents with their places in sequences; a
+    null or empty text is its end id alone."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), 1024, end=2)
 
 
@@ -55,7 +60,7 @@ STAGES = [
     ("best-fit packing", bestfit_packing),
 ]
 
-#: Tokenisation and SimHash have no SQL form. Tests hold stages against their operators, not run() against brute force.
+#: Tokenisation and SimHash have no SQL form. Tests hold run() against the five stages in plain Python.
 ORACLE_SQL = None
 
 
