@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,3 +134,44 @@ def arguments_in_row(tokens: str | Column = "tokens", deps: str | Column = "deps
         return F.coalesce(F.lower(F.when(governs, gov_val).otherwise(case_val)), F.lit("")).alias(name)
     return [pick(subj["dependentGloss"], F.lit(None), "subject"), pick(obj["dependentGloss"], case["governorGloss"], "object"),
             pick(lemma(subj["dependent"]), F.lit(None), "subject_lemma"), pick(lemma(obj["dependent"]), lemma(case["governor"]), "object_lemma")]
+
+
+def all_arguments(parses: DataFrame, keys: list[str], deps: str = "deps") -> DataFrame:
+    """``(keys, word_offset, subject, object, subject_lemma, object_lemma)`` of
+    every dependent of every sentence taken as the verb, by the rules of
+    ``extract_arguments``.
+
+    ``parses`` has a row per sentence with ``deps``, an array in list order of
+    ``struct<dep, governor, dependent, dependent_gloss, dependent_lemma,
+    governor_gloss, governor_lemma>``. Each sentence is read once, in its row:
+    linear in its length and without a shuffle. Null and empty parses give no
+    rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at: list[int] = []
+            out: list[tuple] = []
+            for i, parse in enumerate(b.column(len(keys)).to_pylist()):
+                parse = parse or ()
+                subj, obj, case, governs = {}, {}, {}, set()
+                for d in parse:
+                    if d["governor"] and d["governor"] > 0:
+                        governs.add(d["governor"])
+                        if d["dep"] == SUBJECT_LABEL:
+                            subj[d["governor"]] = (d["dependent_gloss"], d["dependent_lemma"])
+                        elif d["dep"] == OBJECT_LABEL:
+                            obj[d["governor"]] = (d["dependent_gloss"], d["dependent_lemma"])
+                    if d["dep"] == CASE_LABEL:
+                        case.setdefault(d["dependent"], (d["governor_gloss"], d["governor_lemma"]))
+                for verb in dict.fromkeys(d["dependent"] for d in parse):
+                    s = subj.get(verb, ("", ""))
+                    o = (obj if verb in governs else case).get(verb, ("", ""))
+                    at.append(i)
+                    out.append((verb, *[(x or "").lower() for x in (s[0], o[0], s[1], o[1])]))
+            verb, *texts = zip(*out, strict=True) if out else [()] * 5
+            ids = [c.take(pa.array(at, pa.int64())) for c in b.columns[:len(keys)]]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(verb, pa.int32()), *[pa.array(t, pa.string()) for t in texts]],
+                                             names=[*keys, "word_offset", "subject", "object", "subject_lemma", "object_lemma"])
+
+    rows = parses.select(*keys, deps)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keys)])
+    return rows.mapInArrow(run, f"{kinds}, word_offset int, subject string, object string, subject_lemma string, object_lemma string")

@@ -4,8 +4,8 @@ The vector table is written once in blocks of ``BLOCK`` rows to the shared
 folder. Tasks keep their documents and go through the blocks in turn, adding
 each block's share to their documents' sums, so that neither tokens nor
 vectors are shuffled: what leaves a task is one vector per document. A task
-holds one chunk of documents' sums (``SUMS`` numbers at most, or one document)
-and the blocks it met last (``HELD`` numbers).
+holds one chunk of documents (``TOKENS`` tokens and ``SUMS`` numbers of sums,
+or one document) and the blocks it met last (``HELD`` numbers).
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from figura.session import shared_path
 from figura.sources.files import locate
 
 BLOCK = 16_384
-SUMS = 4_000_000
+SUMS = 1_000_000
 HELD = 16_000_000
-TOKENS = 2_000_000
+TOKENS = 400_000
 
 _blocks: OrderedDict[str, tuple[pa.Array, np.ndarray]] = OrderedDict()     # this worker's blocks
 
@@ -106,13 +106,14 @@ def mean_vectors(docs: DataFrame, key: str, tokens: str, files: list[str], dim:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, size = [], 0, 0
         for b in batches:
-            n = pc.sum(pc.list_value_length(b.column(1))).as_py() or 0
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
-                held.append(part)
-                rows += part.num_rows
-                size += n * part.num_rows // max(b.num_rows, 1)
-                if rows >= step or size >= TOKENS:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:               # as many rows as fit, one at least
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, min(at + step - rows, int(np.searchsorted(ends, before + TOKENS - size, "right"))))
+                held.append(b.slice(at, to - at))
+                rows, size, at = rows + to - at, size + int(ends[to - 1] - before), to
+                if rows >= step or size >= TOKENS or at < b.num_rows:
                     yield finish(held)
                     held, rows, size = [], 0, 0
         if held:

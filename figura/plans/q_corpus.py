@@ -368,32 +368,29 @@ DEP_LABELS = ("nsubj", "dobj", "case", "amod", "det", "advmod")
 LEMMA_STRIP = r"[^\p{L}]"
 
 
-def dependency_table(conv):
-    """Synthetic parse of every turn: one dependency per token with an
-    md5-drawn governor (0 = root) and label."""
+def parses(conv):
+    """Stand-in parse of every turn, in its row: one dependency per token with
+    an md5-drawn governor (0 = root) and label."""
     toks = T.whitespace_tokens("text")
     sent = conv.select("conv_id", "turn", toks.alias("toks"),
                        F.transform(toks, lambda t: F.lower(F.regexp_replace(t, LEMMA_STRIP, ""))).alias("lem"))
-    rows = sent.select("conv_id", "turn", "toks", "lem", F.posexplode("toks").alias("i0", "tok"))
-    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"),
-                      (F.col("i0") + 1).cast("string"))
-    g = bucket(F.concat(F.lit("gov:"), key), F.size("toks") + 1).cast("int")
     labels = F.array(*[F.lit(x) for x in DEP_LABELS])
-    lab = F.element_at(labels, (bucket(F.concat(F.lit("dep:"), key), len(DEP_LABELS)) + 1).cast("int"))
-    return rows.select(
-        "conv_id", "turn", (F.col("i0") + 1).cast("int").alias("dependent"), g.alias("governor"),
-        F.when(g == 0, F.lit("root")).otherwise(lab).alias("dep"),
-        F.col("tok").alias("dependent_gloss"), F.element_at("lem", F.col("i0") + 1).alias("dependent_lemma"),
-        F.when(g == 0, F.lit("ROOT")).otherwise(F.element_at("toks", F.greatest(g, F.lit(1)))).alias("governor_gloss"),
-        F.when(g == 0, F.lit("root")).otherwise(F.element_at("lem", F.greatest(g, F.lit(1)))).alias("governor_lemma"))
+
+    def dependency(tok, i):
+        key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), (i + 1).cast("string"))
+        g = bucket(F.concat(F.lit("gov:"), key), F.size("toks") + 1).cast("int")
+        lab = F.element_at(labels, (bucket(F.concat(F.lit("dep:"), key), len(DEP_LABELS)) + 1).cast("int"))
+        return F.struct(
+            F.when(g == 0, F.lit("root")).otherwise(lab).alias("dep"), g.alias("governor"), (i + 1).cast("int").alias("dependent"),
+            tok.alias("dependent_gloss"), F.get("lem", i).alias("dependent_lemma"),
+            F.when(g == 0, F.lit("ROOT")).otherwise(F.get("toks", g - 1)).alias("governor_gloss"),
+            F.when(g == 0, F.lit("root")).otherwise(F.get("lem", g - 1)).alias("governor_lemma"))
+    return sent.select("conv_id", "turn", F.transform("toks", dependency).alias("deps"))
 
 
 def dep_arguments(spark, sf_dir):
     """Subject/object and their lemmas for every token taken as the verb."""
-    deps = dependency_table(read(spark, sf_dir, "conversations"))
-    # one dependency per token: the token positions are the candidate verbs
-    verbs = deps.select("conv_id", "turn", F.col("dependent").alias("word_offset"))
-    return arguments.extract_arguments(deps, ["conv_id", "turn"], verbs=verbs)
+    return arguments.all_arguments(parses(read(spark, sf_dir, "conversations")), ["conv_id", "turn"])
 
 
 _labels_sql = ", ".join(f"'{x}'" for x in DEP_LABELS)

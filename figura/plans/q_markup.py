@@ -28,11 +28,17 @@ def _page_nodes(spark, sf_dir):
                                     min_partitions=spark.sparkContext.defaultParallelism), "page-nodes")
 
 
+# Words that lie in an element beside its children, and in nested elements.
+MIXED = "<ul>loose <b>kept <i>inner</i> lost</b> text<li><a href=\"x\">link </a>beside</li></ul>"
+
+
 def leaf_tokens(spark, sf_dir):
-    """Tokens of each navigation list: texts of its leaf descendants (the
-    links) in document order."""
-    nodes = _page_nodes(spark, sf_dir)
-    targets = markup.elements(nodes).where(F.col("tag") == "ul").select("doc_id", "pre")
+    """Tokens of each list: texts of its leaf descendants in document order.
+    Each page's navigation list is followed by a list with mixed content, of
+    which only the leaves' words count."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat("html", F.lit(MIXED)).alias("content"))
+    nodes = staged(markup.node_table(pages, min_partitions=spark.sparkContext.defaultParallelism), "page-nodes")
+    targets = markup.elements(nodes).where(F.col("tag") == "ul").select("doc_id", "pre", "post")
     toks = markup.leaf_tokens(nodes, targets)
     return toks.select(F.col("doc_id").cast("bigint").alias("page_id"),
                        F.size("tokens").alias("n_tokens"), T.join_tokens("tokens").alias("tokens"))
@@ -44,6 +50,8 @@ register("leaf_tokens", f"""
 SELECT page_id, CAST(len({SQL_WS_TOKENS.format(_LINK_TEXTS)}) AS INTEGER) AS n_tokens,
        array_to_string({SQL_WS_TOKENS.format(_LINK_TEXTS)}, ' ') AS tokens
 FROM pages
+UNION ALL
+SELECT page_id, 2, 'inner link' FROM pages WHERE html IS NOT NULL
 """)(leaf_tokens)
 
 

@@ -132,6 +132,25 @@ def test_arguments_in_row_follow_the_long_form(spark):
     assert got == want and len(set(got.values())) > 10
 
 
+def test_all_arguments_follow_the_long_form(spark):
+    rng = random.Random(18)
+    kind = "array<struct<dep:string,governor:int,dependent:int,dependent_gloss:string,dependent_lemma:string,governor_gloss:string,governor_lemma:string>>"
+    rows = []
+    for i in range(80):
+        n = rng.randint(0, 8)
+        words = [rng.choice(["Bank", "money", "Ran", None]) for _ in range(n)]
+        lem = lambda w: w and w.lower()
+        rows.append((i % 40, i // 40, [(rng.choice(["nsubj", "dobj", "case", "det"]), g := rng.randint(0, n), d, words[d - 1], lem(words[d - 1]),
+                                        words[g - 1] if g else "ROOT", lem(words[g - 1]) if g else "root") for d in range(1, n + 1)]))
+    df = spark.createDataFrame([*rows, (99, 0, None)], f"conv_id long, turn int, deps {kind}")
+    got = arguments.all_arguments(df, ["conv_id", "turn"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    long = df.select("conv_id", "turn", F.explode("deps").alias("d")).select("conv_id", "turn", "d.*")
+    cols = ["conv_id", "turn", "word_offset", "subject", "object", "subject_lemma", "object_lemma"]
+    want = arguments.extract_arguments(long, ["conv_id", "turn"]).select(*cols)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect()))
+
+
 # ------------------------------------------------------------- rejects
 
 def test_every_reject_reason_is_counted(spark):
