@@ -87,6 +87,50 @@ def infix_tokens(c) -> Column:
     return whitespace_tokens(spaced)
 
 
+# Marks that the affix tokenizer takes off the beginning and the end of a
+# chunk, and chunks that stay whole: defaults of the rule set, an argument.
+PREFIXES = "([{<\"'`“‘«$€£§#"
+SUFFIXES = ")]}>\"'`”’».,!?;:%…"
+EXCEPTIONS = ("e.g.", "i.e.", "etc.", "Mr.", "Mrs.", "Dr.", "U.S.", "p.m.", "a.m.", "...", "'s", "'t", ":)", ":(")
+
+
+def affix_tokens(c, prefixes: str = PREFIXES, suffixes: str = SUFFIXES, exceptions=EXCEPTIONS, infix: str = INFIX_CLASS) -> Column:
+    """Tokens of a rule set: each chunk between white space loses a mark of
+    ``prefixes`` from its beginning and one of ``suffixes`` from its end, again
+    and again, every mark a token of its own, until neither is there or what
+    is left is one of ``exceptions``. What is left is split at ``infix``
+    characters (tokens too) unless it is an exception.
+
+    A fold over the chunk's length in the row; chunks without marks at either
+    end skip it."""
+    marks = lambda s: F.lit(s)
+    whole = lambda x: x.isin(*exceptions) if exceptions else F.lit(False)
+
+    def peel(s, _):
+        x, n = s["core"], F.length(s["core"])
+        stop = (n == 0) | whole(x)
+        front = ~stop & (F.instr(marks(prefixes), F.substring(x, 1, 1)) > 0)
+        rest = F.when(front, F.substring(x, F.lit(2), n)).otherwise(x)
+        back = ~stop & (F.length(rest) > 0) & ~(front & whole(rest)) & (F.instr(marks(suffixes), F.right(rest, F.lit(1))) > 0)
+        core = F.when(back, F.left(rest, F.length(rest) - 1)).otherwise(rest)
+        return F.struct(
+            F.when(front, F.concat(s["pre"], F.array(F.substring(x, 1, 1)))).otherwise(s["pre"]).alias("pre"), core.alias("core"),
+            F.when(back, F.concat(F.array(F.right(rest, F.lit(1))), s["suf"])).otherwise(s["suf"]).alias("suf"))
+
+    def inner(x):
+        parts = F.filter(F.split(F.regexp_replace(x, f"({infix})", "\u0000$1\u0000"), "\u0000"), lambda y: y != "")
+        return F.when(whole(x), F.array(x)).when(x == "", F.array().cast("array<string>")).otherwise(parts)
+
+    none = F.array().cast("array<string>")
+
+    def chunk(x):
+        got = F.aggregate(F.sequence(F.lit(1), F.length(x)), F.struct(none.alias("pre"), x.alias("core"), none.alias("suf")), peel,
+                          lambda s: F.concat(s["pre"], inner(s["core"]), s["suf"]))
+        marked = (F.instr(marks(prefixes), F.substring(x, 1, 1)) > 0) | (F.instr(marks(suffixes), F.right(x, F.lit(1))) > 0)
+        return F.when(marked, got).otherwise(inner(x))
+    return F.flatten(F.transform(whitespace_tokens(c), chunk))
+
+
 def char_span(context, sentence) -> Column:
     """0-based ``[start, end)`` of the first occurrence of ``sentence`` in
     ``context`` (``str.find``); start is -1 when it does not occur."""

@@ -42,7 +42,8 @@ def stage_blocks(vectors: DataFrame, key: str, vector: str, block: int = BLOCK)
     return sorted(vectors.sparkSession.read.parquet(path).inputFiles())
 
 
-def _block(uri: str) -> tuple[pa.Array, np.ndarray]:
+def load_block(uri: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys and vectors of a block, kept by the worker that read it."""
     if uri in _blocks:
         _blocks.move_to_end(uri)
         return _blocks[uri]
@@ -68,7 +69,7 @@ def _multiply(keys: pa.Array, weights: np.ndarray | None, lengths: np.ndarray, f
     count = np.bincount(where.ravel(), weights=weights, minlength=len(pair)).astype(float)
     doc, code = pair // width, pair % width
     for uri in files:
-        have, table = _block(uri)
+        have, table = load_block(uri)
         if not len(have):
             continue
         row = np.append(pc.fill_null(pc.index_in(enc.dictionary.cast(have.type), value_set=have), -1).to_numpy(zero_copy_only=False), -1)[code]

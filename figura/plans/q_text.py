@@ -90,6 +90,45 @@ FROM documents
 """)(infix_tokens)
 
 
+def affix_tokens(spark, sf_dir):
+    """Tokens of the rule set: marks off both ends, exceptions whole, infixes."""
+    d = read(spark, sf_dir, "documents")
+    toks = text.affix_tokens("text")
+    return d.select("doc_id", F.size(toks).alias("n_tokens"), F.md5(text.join_tokens(toks)).alias("tokens_md5"))
+
+
+_EXCEPT = ", ".join(f"'{q(x)}'" for x in text.EXCEPTIONS)
+_PRE, _SUF = q(text.PREFIXES), q(text.SUFFIXES)
+register("affix_tokens", f"""
+WITH RECURSIVE ch AS MATERIALIZED (
+  SELECT DISTINCT unnest({SQL_WS_TOKENS.format(x='text')}) AS c FROM documents
+), peel(c, pre, core, suf, more) AS (
+  SELECT c, []::VARCHAR[], c, []::VARCHAR[], true FROM ch
+  UNION ALL
+  SELECT c, CASE WHEN front THEN list_append(pre, core[1]) ELSE pre END,
+         CASE WHEN back THEN left(rest, length(rest) - 1) ELSE rest END,
+         CASE WHEN back THEN list_prepend(right(rest, 1), suf) ELSE suf END, front OR back
+  FROM (
+    SELECT *, rest <> '' AND NOT (front AND rest IN ({_EXCEPT})) AND NOT (core = '' OR core IN ({_EXCEPT}))
+              AND contains('{_SUF}', right(rest, 1)) AS back
+    FROM (
+      SELECT *, CASE WHEN front THEN substr(core, 2) ELSE core END AS rest
+      FROM (SELECT *, core <> '' AND core NOT IN ({_EXCEPT}) AND contains('{_PRE}', core[1]) AS front FROM peel WHERE more)))
+), cut AS (
+  SELECT c, list_concat(list_concat(pre, CASE WHEN core IN ({_EXCEPT}) THEN [core] ELSE list_filter(string_split(
+           regexp_replace(core, '({q(text.INFIX_CLASS)})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') END), suf) AS toks
+  FROM peel WHERE NOT more
+), t AS (
+  SELECT doc_id, unnest({SQL_WS_TOKENS.format(x='text')}) AS c, unnest(range(0, len({SQL_WS_TOKENS.format(x='text')}))) AS i FROM documents
+), g AS (
+  SELECT doc_id, flatten(list(toks ORDER BY i)) AS toks FROM t JOIN cut USING (c) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(toks), 0) AS INTEGER) AS n_tokens, md5(coalesce(array_to_string(toks, ' '), '')) AS tokens_md5
+FROM documents d LEFT JOIN g USING (doc_id) WHERE d.text IS NOT NULL
+UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL
+""")(affix_tokens)
+
+
 def token_join_roundtrip(spark, sf_dir):
     """Raw tokens -> joined sentence; equals the whitespace-normalised text."""
     d = read(spark, sf_dir, "documents")
