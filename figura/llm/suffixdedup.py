@@ -14,13 +14,15 @@ passage to the left of its suffix: the symbols in suffix order are that
 column of the collection's BWT, sorting them (stably, within an anchor) gives
 the order of the longer suffixes, and the common prefix of new neighbours is
 one more than the smallest between them before. Neighbours with a common
-prefix of ``length`` or more are repeated windows. Columns are read from, and
-BWT and prefixes appended to, sequential files in the shared folder; memory is
-a few numbers a passage.
+prefix of ``length`` or more are repeated windows. The columns of symbols are
+written once and read back round by round, and each round appends the suffixes
+with long enough prefixes to a second file, which is read at the end to put
+runs of windows together; both are sequential files in the shared folder, and
+memory is a few numbers a passage. A column of the BWT lives for its round.
 
 Equal passages are counted before their text is fetched and enter once with
-their number. An anchor with more than ``max_group`` different passages is
-split: windows by where the anchor lies in them (halves), passages by the bytes
+their number. An anchor with more than ``max_group`` different passages (by
+default half a task's share, 20,000 at most) is split: windows by where the anchor lies in them (halves), passages by the bytes
 that all windows of a half have. Equal windows stay together; the halving ends
 at single windows, whose equal passages are one.
 """
@@ -29,14 +31,13 @@ from __future__ import annotations
 
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,12 +211,11 @@ def repeated_windows(group: np.ndarray, many: np.ndarray, texts: list[bytes], of
                 f.write(data[base[here] + c].tobytes())
         del data
         columns = fs.open_input_stream(path + ".columns")
-        log = fs.open_output_stream(path + ".bwt.zst")
-        press = zstandard.ZstdCompressor(level=1).compressobj()
+        prefixes = fs.open_output_stream(path + ".prefixes")
     enter = np.argsort(-right, kind="stable")            # passages by where they begin, from the right
     entered, symbols = 0, np.zeros(m, np.uint8)
     order, lcp = np.empty(0, np.int64), np.empty(0, np.int32)
-    flags: list[tuple[np.ndarray, np.ndarray]] = []
+    flags: list[tuple[int, np.ndarray]] = []
     for c in range(top - 1, bottom - 1, -1):
         gone = left[order] > c
         if gone.any():                                   # ended on the left: prefixes with the next shrink
@@ -245,7 +245,6 @@ def repeated_windows(group: np.ndarray, many: np.ndarray, texts: list[bytes], of
             here = np.flatnonzero((c < right) & (c >= left))
             symbols[here] = np.frombuffer(columns.read(len(here)), np.uint8)
             bwt = symbols[order]
-            log.write(press.compress(bwt.tobytes() + lcp.tobytes()))
         else:
             bwt = data[base[order] + c]
         key = (group[order] << 8) | bwt
@@ -267,28 +266,53 @@ def repeated_windows(group: np.ndarray, many: np.ndarray, texts: list[bytes], of
         twice = lcp >= length
         twice[:-1] |= twice[1:]
         hit = order[twice]
-        if len(hit):
-            flags.append((hit, c - left[hit]))
+        if len(hit) and name:
+            prefixes.write(np.array([c, len(hit)], np.int64).tobytes() + hit.astype(np.int32).tobytes())
+        elif len(hit):
+            flags.append((c, hit))
     if name:
-        log.write(press.flush())
-        log.close()
+        prefixes.close()
         columns.close()
-        for end in (".columns", ".bwt.zst"):
+        with fs.open_input_stream(path + ".prefixes") as f:
+            runs = _window_runs(_rounds(f), left)
+        for end in (".columns", ".prefixes"):
             fs.delete_file(path + end)
+    else:
+        runs = _window_runs(flags, left)
     out: list[list[tuple[int, int]]] = [[(0, int(n))] if x else [] for x, n in zip(many, size - length + 1, strict=True)]
-    if flags:
-        who, start = (np.concatenate(x) for x in zip(*flags, strict=True))
-        o = np.lexsort((start, who))
-        who, start = who[o], start[o]
-        new = np.concatenate([[True], (np.diff(who) != 0) | (np.diff(start) != 1)])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(who)))
-        for i, s, n in zip(who[first].tolist(), start[first].tolist(), count.tolist(), strict=True):
-            if not many[i]:
-                out[i].append((s, s + n))
+    for i, s, e in runs:
+        if not many[i]:
+            out[i].append((s, e))
     return out
 
 
+def _rounds(f) -> Iterator[tuple[int, np.ndarray]]:
+    """The rounds of a file of prefixes: column, passages with a repeated window."""
+    while head := f.read(16):
+        c, n = np.frombuffer(head, np.int64)
+        yield int(c), np.frombuffer(f.read(4 * int(n)), np.int32)
+
+
+def _window_runs(rounds: Iterable[tuple[int, np.ndarray]], left: np.ndarray) -> list[tuple[int, int, int]]:
+    """(passage, s, e) of runs of window starts, by passage, then start. Rounds
+    go from right to left: a run goes on while each next start is one less."""
+    low, high = np.full(len(left), -2, np.int64), np.zeros(len(left), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for c, hit in rounds:
+        start = c - left[hit]
+        new = low[hit] != start + 1
+        old = hit[new & (low[hit] >= 0)]
+        if len(old):
+            done.append((old, low[old], high[old]))
+        high[hit[new]] = start[new] + 1
+        low[hit] = start
+    rest = np.flatnonzero(low >= 0)
+    done.append((rest, low[rest], high[rest]))
+    who, s, e = (np.concatenate(x) for x in zip(*done, strict=True))
+    o = np.lexsort((s, who))
+    return list(zip(who[o].tolist(), s[o].tolist(), e[o].tolist(), strict=True))
+
+
 def _split_hot(work: DataFrame, length: int, gram: int, max_group: int) -> tuple[DataFrame, list[DataFrame]]:
     """Split anchors with over ``max_group`` passages; returns the work and
     what is found on the way. See the module's text."""
@@ -338,7 +362,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def repeated_spans(runs: DataFrame, out: str, length: int, gram: int, collection_bytes: int, max_group: int) -> DataFrame:
+def repeated_spans(runs: DataFrame, out: str, length: int, gram: int, collection_bytes: int,
+                   max_group: int | None) -> DataFrame:
     """(chunk, s, e): ranges of window starts, as bytes of their chunk, whose
     window occurs twice or more."""
     spark = runs.sparkSession
@@ -359,6 +384,8 @@ def repeated_spans(runs: DataFrame, out: str, length: int, gram: int, collection
 
     work = stage(heads.repartition(n, "chunk").groupBy("chunk").applyInPandas(
         fetch, "akey bigint, key bigint, shape bigint, text bigint, many boolean, off int, first int, lo int, hi int, bytes binary"), "passage-work")
+    if max_group is None:                                # at most half of what a task gets: work only, the rows are the same
+        max_group = min(20_000, max(512, work.count() // (2 * n)))
     work, found = _split_hot(work, length, gram, max_group)
     spans = "array<struct<s:int,e:int>>"
 
@@ -397,7 +424,8 @@ def repeated_spans(runs: DataFrame, out: str, length: int, gram: int, collection
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", gram: int | None = None,
-                   chunk_bytes: int = 4 << 20, collection_bytes: int = 8 << 20, max_group: int = 20_000) -> DataFrame:
+                   chunk_bytes: int = 4 << 20, collection_bytes: int = 8 << 20,
+                   max_group: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, spans (maximal removed
     byte ranges [s, e)) and kept (the remaining bytes).
 
