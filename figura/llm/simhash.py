@@ -7,10 +7,12 @@ linked fingerprints share a shard in some table. Each shard gets a BK-tree
 (children keyed by their integer Hamming distance to the parent) and searches
 follow only the edges whose key is within the radius of the query's distance.
 
-A shard whose tree would pass ``tree_size`` nodes is cut into trees of that
-size at most and its queries into as many blocks: each tree goes to each block
-of queries. So no tree, task or message grows with a hot group, and no link is
-lost. A task returns a spanning forest of its links, not the links.
+A shard whose tree would pass ``tree_size`` nodes is dealt again by blocks of
+the bits it leaves open. What stays above that has its fingerprints close
+together: it is cut into trees of that size at most and its queries into as
+many blocks, and each tree goes to each block of queries. So no tree, task or
+message grows with a hot group, and no link is lost. A task returns a spanning
+forest of its links, not the links.
 """
 
 from __future__ import annotations
@@ -142,21 +144,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, radius: int = 4, tree_size: int = 4096, blocks: int | None = None) -> DataFrame:
+def _narrower(mask: int, radius: int, bits: int = 64) -> list[int]:
+    """``mask`` with one more block of agreeing bits each: the other bits are
+    cut into ``radius + 1`` blocks, of which two fingerprints that agree in
+    ``mask`` and differ in ``radius`` bits at most have one in common."""
+    free = [b for b in range(bits) if not mask >> b & 1]
+    if len(free) <= radius:
+        return []
+    edges = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def links(fps: DataFrame, radius: int = 4, tree_size: int = 4096, blocks: int | None = None, levels: int = 3) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column ``fp``) that connect
     exactly those within ``radius`` bits, directly or over others.
 
     ``blocks`` (default by the number of fingerprints, so that a shard of
-    random fingerprints stays below a tree) changes the work only.
+    random fingerprints stays below a tree) changes the work only. A shard
+    above ``tree_size`` is dealt again by ``radius + 1`` blocks of the bits
+    that it leaves open, up to ``levels`` times; what is still above it has
+    its fingerprints close together and is cut.
     """
+    spark = fps.sparkSession
     if blocks is None:
         n = fps.count()
         blocks = radius + 1
         while blocks < radius + 4 and n / 2.0 ** (64 * (blocks - radius) // blocks) > tree_size / 2:
             blocks += 1
     masks = _masks(64, radius, blocks)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    level = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t")).withColumn("key", F.col("fp").bitwiseAND(F.col("t")))
+    settled: list[DataFrame] = []
+    for _ in range(levels):
+        hot = stage(level.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_size).select("t", "key"), "hot-shards")
+        masks = sorted({m & ((1 << 64) - 1) for m in (r.t for r in hot.select("t").distinct().collect())})     # masks, not data: a few thousand
+        nxt = {m: _narrower(m, radius) for m in masks}
+        if not any(nxt.values()):
+            break
+        finer = spark.createDataFrame([(_signed(m), [_signed(x) for x in xs]) for m, xs in nxt.items() if xs], "t long, finer array<long>")
+        hot = hot.join(F.broadcast(finer.select("t")), "t")
+        settled.append(level.join(hot, ["t", "key"], "left_anti"))
+        again = level.join(hot, ["t", "key"], "left_semi").join(F.broadcast(finer), "t")
+        level = stage(again.select("fp", F.explode("finer").alias("t")).distinct().withColumn("key", F.col("fp").bitwiseAND(F.col("t"))), "finer-shards")
+    keyed = level
+    for x in settled:
+        keyed = keyed.unionByName(x)
+    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"))
     hot = stage(sizes.where(F.col("n") > tree_size).select("t", "key", F.ceil(F.col("n") / tree_size).cast("int").alias("cuts")), "hot-shards")
     rows = keyed.join(hot, ["t", "key"], "left").select(
         "t", "key", "fp", F.coalesce("cuts", F.lit(1)).alias("cuts"),
