@@ -69,7 +69,7 @@ def drawn_word(words, kind: str, key="id"):
 
 
 def sql_drawn_word(words: str, kind: str, key: str = "id") -> str:
-    return f"coalesce({words}[{sql_bucket(f"'{kind}:' || CAST({key} AS VARCHAR)", f'len({words})')} + 1], '')"
+    return f"coalesce({words}[{sql_bucket(f"'{kind}:' || CAST({key} AS VARCHAR)", f'greatest(len({words}), 1)')} + 1], '')"
 
 
 def _roles(spark, sf_dir):

@@ -237,7 +237,7 @@ def id_split_typed(spark, sf_dir):
 
 
 _SQL_SEG = "'c' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 2) || '-fragment' || lpad(CAST(turn AS VARCHAR), greatest(2, length(CAST(turn AS VARCHAR)))::INTEGER, '0')"
-_SQL_DRAWN = f"{SQL_WS_TOKENS.format(x='text')}[" + sql_bucket("'verb:' || conv_id || ':' || turn", f"len({SQL_WS_TOKENS.format(x='text')})") + " + 1]"
+_SQL_DRAWN = f"{SQL_WS_TOKENS.format(x='text')}[" + sql_bucket("'verb:' || conv_id || ':' || turn", f"greatest(len({SQL_WS_TOKENS.format(x='text')}), 1)") + " + 1]"
 _SQL_VERB = r"coalesce(regexp_replace(lower(" + _SQL_DRAWN + r"), '[^\p{L}]', '', 'g'), '')"
 _SQL_NTOK = f"CAST(len({SQL_WS_TOKENS.format(x='text')}) AS VARCHAR)"
 register("id_split_typed", f"""
