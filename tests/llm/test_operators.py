@@ -120,14 +120,30 @@ def test_cross_entropy_difference(docs, empty):
         loss = [sum(s * (math.log2(k * h[x[0]] + a * v) - math.log2(k * g[x] + a)) for s, k, (g, h, _) in
                     ((1, 1, model["t"]), (-1, scale, model["b"]))) for x in grams(t)]
         want.append((d, len(loss), round(sum(loss) / len(loss), 6) if loss else None))
-    for kw in ({}, dict(shard_bytes=5000, chunk_tokens=500, heavy=50)):
+    for kw in ({}, dict(shard_bytes=5000, chunk_tokens=500, heavy=50), dict(shard_bytes=5000, chunk_tokens=500, heavy=50, fan=2),
+               dict(shard_bytes=20_000, chunk_tokens=300, heavy=5, fan=1)):
         got = lmscore.cross_entropy_difference(docs, docs.where("doc_id % 5 = 0"), **kw).collect()
         assert key((r.doc_id, r.n_tokens, None if r.score is None else round(r.score, 6)) for r in got) == key(want)
     assert lmscore.cross_entropy_difference(empty, empty).count() == 0
     assert lmscore.cross_entropy_difference(docs, empty).count() == len(ROWS)
 
 
-@pytest.mark.parametrize("kw", [{}, dict(shard_bytes=2000, chunk_tokens=500, heavy=50)])
+def test_scoring_rows_grow_with_the_ngrams(spark, monkeypatch):
+    """Twice the text, chunks and shards: about twice the rows, not four times."""
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+    made = []
+    for k in (1, 2):
+        df = spark.createDataFrame([(i, say(400)) for i in range(64 * k)], "doc_id long, text string").repartition(4)
+        bits = 4 + k
+        counts = lmscore.ngram_counts(df, True, bits, 800, fan=3)
+        made.append(counts.count())
+        assert lmscore._levels(bits, 3) == ([3, 5] if k == 1 else [3, 6])
+        assert counts.groupBy("shard").count().count() == 8
+    assert made[1] <= 2.2 * made[0]
+
+
+@pytest.mark.parametrize("kw", [{}, dict(shard_bytes=2000, chunk_tokens=500, heavy=50), dict(shard_bytes=2000, chunk_tokens=500, heavy=50, fan=3)])
 @pytest.mark.parametrize("held", ["separate", "empty"])
 def test_cross_entropy_difference_with_a_background(spark, docs, held, kw):
     """N-grams that the background holds once, and those it doesn't hold."""
