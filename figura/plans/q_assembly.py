@@ -26,7 +26,7 @@ from figura.plans.catalog import register
 from figura.plans.q_corpus import _ok1, _ok2, _ok3, _t1, _t2, _t3, DEP_LABELS, LEMMA_STRIP
 from figura.plans.q_markup import _xml_escape
 from figura.plans.q_text import SQL_NORM, SQL_WS_TOKENS
-from figura.plans.tables import TEST_BUCKETS, read, sql_bucket
+from figura.plans.tables import TEST_BUCKETS, read_spread, sql_bucket
 from figura.session import shared_path, staged
 from figura.sources import markup, readers
 
@@ -121,7 +121,7 @@ def requests(turns):
 def corpus_assembly(spark, sf_dir):
     """Both corpora, index, labels, parses and lemmas assembled into the
     example table, with the kind of context chosen and the rejects marked."""
-    turns = _turns(read(spark, sf_dir, "conversations"))
+    turns = _turns(read_spread(spark, sf_dir, "conversations"))
     path = f"{shared_path(spark, 'assembly')}/annotated"
     annotated_corpus(turns).select("xml").write.text(path)
     annotated = markup.node_table(readers.scan_fragments(spark, path).withColumnRenamed("fragment_id", "doc_id"))

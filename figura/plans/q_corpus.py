@@ -19,7 +19,7 @@ from figura.operators.occurrences import first_occurrences
 from figura.plans.catalog import register
 from figura.plans.q_features import drawn_word, sql_drawn_word
 from figura.plans.q_text import SQL_NORM, SQL_STRIP, SQL_WORD_TOKENS, SQL_WS_TOKENS
-from figura.plans.tables import read, sql_bucket
+from figura.plans.tables import read, read_spread, sql_bucket
 from figura.session import staged
 
 NL = "chr(10)"
@@ -390,7 +390,7 @@ def parses(conv):
 
 def dep_arguments(spark, sf_dir):
     """Subject/object and their lemmas for every token taken as the verb."""
-    return arguments.all_arguments(parses(read(spark, sf_dir, "conversations")), ["conv_id", "turn"])
+    return arguments.all_arguments(parses(read_spread(spark, sf_dir, "conversations")), ["conv_id", "turn"])
 
 
 _labels_sql = ", ".join(f"'{x}'" for x in DEP_LABELS)

@@ -16,7 +16,7 @@ from figura.plans.catalog import register
 from figura.plans.extract import extract_with_vocabulary
 from figura.plans.q_text import SQL_INFIX_TOKENS, SQL_WORD_TOKENS
 from figura.functions.hashing import bucket
-from figura.plans.tables import (DIGITS, EXAMPLES_SQL, VOCAB_SQL, examples, read,
+from figura.plans.tables import (DIGITS, EXAMPLES_SQL, VOCAB_SQL, examples, read, read_spread,
                                  sql_bucket, sql_vocab_key, vocabulary)
 from figura.session import shared_path, staged
 
@@ -34,7 +34,7 @@ def _long(df, key, vec, extra=()):
 def mean_pool(spark, sf_dir):
     """Mean word vector of every document (infix tokenizer; unknown tokens
     count as zeros; no tokens gives zeros)."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read_spread(spark, sf_dir, "documents")
     vocab = vocabulary(spark, sf_dir)
     pooled = FT.mean_pool_arrays(docs, "doc_id", T.infix_tokens("text"), vocab, dtype="float64")
     return _long(pooled, ["doc_id"], "ctx_emb")

@@ -14,7 +14,7 @@ from figura.operators import corpus
 from figura.plans.catalog import register
 from figura.plans.q_features import _ROLES_SQL, _roles, drawn_word, sql_drawn_word
 from figura.plans.q_text import SQL_WORD_TOKENS, SQL_WS_TOKENS
-from figura.plans.tables import read, sql_bucket
+from figura.plans.tables import read, read_spread, sql_bucket
 from figura.session import shared_path, staged
 from figura.sources import markup, readers
 
@@ -132,7 +132,7 @@ def xml_corpus_scan(spark, sf_dir):
     the keys that examples name (seven conversations in eight), the other
     files unopened; both parsed into node tables; sentences and words per
     fragment, and the same words from its source file."""
-    conv = read(spark, sf_dir, "conversations")
+    conv = read_spread(spark, sf_dir, "conversations")
     xml = staged(conversation_xml(conv), "conversation-xml")             # read twice
     root = shared_path(spark, "xml-corpus")
     xml.select("xml").write.mode("overwrite").text(f"{root}/annotated")

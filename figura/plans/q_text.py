@@ -11,7 +11,7 @@ from figura.operators.text_ops import token_offsets
 from figura.plans.catalog import register
 from figura.functions.hashing import bucket
 from figura.functions.ids import two_digits
-from figura.plans.tables import read, sql_bucket
+from figura.plans.tables import read, read_spread, sql_bucket
 
 # Stand-in corpus type codes drawn per document (the last one is not in
 # the genre map and must come out as 'unknown').
@@ -92,7 +92,7 @@ FROM documents
 
 def affix_tokens(spark, sf_dir):
     """Tokens of the rule set: marks off both ends, exceptions whole, infixes."""
-    d = read(spark, sf_dir, "documents")
+    d = read_spread(spark, sf_dir, "documents")
     toks = text.affix_tokens("text")
     return d.select("doc_id", F.size(toks).alias("n_tokens"), F.md5(text.join_tokens(toks)).alias("tokens_md5"))
 
@@ -148,7 +148,7 @@ FROM documents
 
 def token_offsets_q(spark, sf_dir):
     """Character offset of every whitespace token of every document."""
-    return token_offsets(read(spark, sf_dir, "documents"), "doc_id", min_partitions=spark.sparkContext.defaultParallelism)
+    return token_offsets(read_spread(spark, sf_dir, "documents"), "doc_id")
 
 
 _NWS = q("[^" + text.WS_CLASS_SQL[1:])

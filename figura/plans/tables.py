@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figura.functions.hashing import bucket
-from figura.session import few
+from figura.session import few, spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -37,6 +37,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``read`` for work that costs far more than its bytes: a table of fewer
+    splits than the session has cores is spread over them."""
+    return spread(read(spark, sf_dir, name), spark.sparkContext.defaultParallelism)
+
+
 # ---------------------------------------------------------------- examples
 
 def partition_expr(id_col: str = "id"):
