@@ -55,14 +55,6 @@ def prf_by_group(predictions: DataFrame, group: str = "genre", model: str = "mod
     return _metrics(agg, [model, group], digits)
 
 
-def prf(predictions: DataFrame, y: str = "y", pred: str = "pred",
-        by: list[str] | None = None, digits: int | None = None) -> DataFrame:
-    """P/R/F1/accuracy per ``by`` group (overall when ``by`` is empty)."""
-    by = by or []
-    agg = predictions.groupBy(*by).agg(*_counts(F.col(y), F.col(pred)))
-    return _metrics(agg, by, digits)
-
-
 def with_feature_width(metrics: DataFrame, widths: DataFrame, model: str = "model") -> DataFrame:
     """Attach ``n_features`` per model; ``widths`` has one row per model."""
     return metrics.join(F.broadcast(widths), model, "left")
