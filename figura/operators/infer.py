@@ -7,8 +7,8 @@ a rate that falls linearly. The noise is a fixed pool of word vectors and enters
 by its mean, so nothing is drawn at random on the way: the result depends on
 the text and the seed only, not on batches, partitions or repeated runs.
 
-Texts are fitted many at a time by array arithmetic in Arrow batches; word
-vectors are read in blocks (``product``) and never shuffled.
+Texts are fitted by array arithmetic in Arrow batches; word vectors are looked
+up for many texts at a time, read in blocks (``product``) and never shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from figura.functions.hashing import md5_int
 from figura.operators import product
 
-TOKENS = 50_000     # tokens of the texts fitted together
+TOKENS = 50_000     # tokens of the texts whose words are looked up together
 
 
 def noise_pool(vectors: DataFrame, key: str, vector: str, size: int = 64, seed: int = 0) -> np.ndarray:
@@ -50,25 +50,27 @@ def fit(start: np.ndarray, doc: np.ndarray, word: np.ndarray, count: np.ndarray,
     (ascending) has word ``word[i]`` of ``table`` ``count[i]`` times.
 
     The rate of a step is ``alpha`` per word, at most that of guaranteed
-    descent. A text without words keeps zeros."""
+    descent. A text without words keeps zeros. Texts are fitted one after
+    another: a text's words stay in the processor's cache through its steps."""
     d = start.copy()
     n = np.bincount(doc, count, len(d))
     d[n == 0] = 0.0
     if not len(doc):
         return d
     first = np.flatnonzero(np.r_[True, np.diff(doc) > 0])
-    who = doc[first]
-    u = table[word]
-    longest = np.maximum(np.maximum.reduceat(np.square(u).sum(1), first), np.square(noise).sum(1).max(initial=1e-12))
-    most = 4.0 / ((1 + negative) * longest)
+    loudest = np.square(noise).sum(1).max(initial=1e-12)
     sigmoid = lambda x: 0.5 * (1 + np.tanh(x / 2))
-    for t in range(steps):
-        rate = np.minimum((alpha - (alpha - min_alpha) * t / max(steps - 1, 1)) * n[who], most)
-        pull = (count * (1 - sigmoid(np.einsum("pd,pd->p", d[doc], u))))[:, None] * u
-        step = np.add.reduceat(pull, first, axis=0) / n[who, None]
-        if len(noise):
-            step -= negative * sigmoid(d[who] @ noise.T) @ noise / len(noise)
-        d[who] += rate[:, None] * step
+    for at, end in zip(first, [*first[1:], len(doc)], strict=True):
+        i, u, times = doc[at], table[word[at:end]], count[at:end]
+        most = 4.0 / ((1 + negative) * max(np.square(u).sum(1).max(), loudest))
+        x = d[i]
+        for t in range(steps):
+            rate = min((alpha - (alpha - min_alpha) * t / max(steps - 1, 1)) * n[i], most)
+            step = (times * (1 - sigmoid(u @ x))) @ u / n[i]
+            if len(noise):
+                step -= negative * sigmoid(noise @ x) @ noise / len(noise)
+            x = x + rate * step
+        d[i] = x
     return d
 
 
