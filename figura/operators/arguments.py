@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ SUBJECT_LABEL = "nsubj"
 OBJECT_LABEL = "dobj"
 CASE_LABEL = "case"
 
+_DEPENDENCIES = 20_000     # dependencies of the sentences that are Python objects at once
+
 
 def _py_get(arr: Column, i: Column) -> tuple[Column, Column]:
     """Python-style ``arr[i]`` (negative counts from the end): returns
@@ -144,33 +148,42 @@ def all_arguments(parses: DataFrame, keys: list[str], deps: str = "deps") -> Dat
     ``parses`` has a row per sentence with ``deps``, an array in list order of
     ``struct<dep, governor, dependent, dependent_gloss, dependent_lemma,
     governor_gloss, governor_lemma>``. Each sentence is read once, in its row:
-    linear in its length and without a shuffle. Null and empty parses give no
+    linear in its length and without a shuffle; a batch is taken through in
+    pieces of ``_DEPENDENCIES`` dependencies. Null and empty parses give no
     rows."""
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        at: list[int] = []
+        out: list[tuple] = []
+        for i, parse in enumerate(b.column(len(keys)).to_pylist()):
+            parse = parse or ()
+            subj, obj, case, governs = {}, {}, {}, set()
+            for d in parse:
+                if d["governor"] and d["governor"] > 0:
+                    governs.add(d["governor"])
+                    if d["dep"] == SUBJECT_LABEL:
+                        subj[d["governor"]] = (d["dependent_gloss"], d["dependent_lemma"])
+                    elif d["dep"] == OBJECT_LABEL:
+                        obj[d["governor"]] = (d["dependent_gloss"], d["dependent_lemma"])
+                if d["dep"] == CASE_LABEL:
+                    case.setdefault(d["dependent"], (d["governor_gloss"], d["governor_lemma"]))
+            for verb in dict.fromkeys(d["dependent"] for d in parse):
+                s = subj.get(verb, ("", ""))
+                o = (obj if verb in governs else case).get(verb, ("", ""))
+                at.append(i)
+                out.append((verb, *[(x or "").lower() for x in (s[0], o[0], s[1], o[1])]))
+        verb, *texts = zip(*out, strict=True) if out else [()] * 5
+        ids = [c.take(pa.array(at, pa.int64())) for c in b.columns[:len(keys)]]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(verb, pa.int32()), *[pa.array(t, pa.string()) for t in texts]],
+                                          names=[*keys, "word_offset", "subject", "object", "subject_lemma", "object_lemma"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at: list[int] = []
-            out: list[tuple] = []
-            for i, parse in enumerate(b.column(len(keys)).to_pylist()):
-                parse = parse or ()
-                subj, obj, case, governs = {}, {}, {}, set()
-                for d in parse:
-                    if d["governor"] and d["governor"] > 0:
-                        governs.add(d["governor"])
-                        if d["dep"] == SUBJECT_LABEL:
-                            subj[d["governor"]] = (d["dependent_gloss"], d["dependent_lemma"])
-                        elif d["dep"] == OBJECT_LABEL:
-                            obj[d["governor"]] = (d["dependent_gloss"], d["dependent_lemma"])
-                    if d["dep"] == CASE_LABEL:
-                        case.setdefault(d["dependent"], (d["governor_gloss"], d["governor_lemma"]))
-                for verb in dict.fromkeys(d["dependent"] for d in parse):
-                    s = subj.get(verb, ("", ""))
-                    o = (obj if verb in governs else case).get(verb, ("", ""))
-                    at.append(i)
-                    out.append((verb, *[(x or "").lower() for x in (s[0], o[0], s[1], o[1])]))
-            verb, *texts = zip(*out, strict=True) if out else [()] * 5
-            ids = [c.take(pa.array(at, pa.int64())) for c in b.columns[:len(keys)]]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(verb, pa.int32()), *[pa.array(t, pa.string()) for t in texts]],
-                                             names=[*keys, "word_offset", "subject", "object", "subject_lemma", "object_lemma"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(len(keys))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:               # as many sentences as fit, one at least
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _DEPENDENCIES, "right")))
+                yield work(b.slice(at, to - at))
+                at = to
 
     rows = parses.select(*keys, deps)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keys)])
