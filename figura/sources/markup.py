@@ -1,6 +1,6 @@
 """Markup (XML / HTML) -> node table.
 
-The one custom Python piece: ``mapInPandas`` parses each document with the
+The one custom Python piece: ``mapInArrow`` parses each document with the
 standard library's tolerant HTML tokenizer (tag and attribute names
 lower-cased, as an HTML parser does with XML) and emits one row per element
 and per text run:
@@ -22,7 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,20 +123,22 @@ def parse_markup(doc_id: str, content: str) -> list[dict]:
 NODES_PER_FRAME = 20_000
 
 
-def _frame(acc: dict[str, list]) -> pd.DataFrame:
-    out = pd.DataFrame(acc, columns=COLUMNS)
-    out["parent"] = out["parent"].astype("Int64")
-    out["child_elements"] = out["child_elements"].astype("Int32")
-    out["in_leaf"] = out["in_leaf"].astype("boolean")
-    return out
+_ARROW = pa.schema([("doc_id", pa.string()), ("pre", pa.int64()), ("post", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()),
+                    ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+                    ("child_elements", pa.int32()), ("in_leaf", pa.bool_())])
 
 
-def _parse_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _frame(acc: dict[str, list]) -> pa.RecordBatch:
+    cols = acc | {"attrs": [a if a is None else list(a.items()) for a in acc["attrs"]]}
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _ARROW], schema=_ARROW)
+
+
+def _parse_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     acc: dict[str, list] = {c: [] for c in COLUMNS}
-    for pdf in it:
-        for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
-            b = _TreeBuilder(str(doc_id))
-            b.feed(content or "")
+    for batch in it:
+        for doc_id, content in zip(*batch.columns, strict=True):     # one text at a time leaves Arrow
+            b = _TreeBuilder(str(doc_id.as_py()))
+            b.feed(content.as_py() or "")
             for c, vals in b.finish().items():
                 acc[c].extend(vals)
             if len(acc["doc_id"]) >= NODES_PER_FRAME:
@@ -154,7 +156,7 @@ def node_table(docs: DataFrame, doc_id: str = "doc_id", content: str = "content"
     ``min_partitions`` splits are spread over that many tasks first; by default
     they are parsed where they are."""
     src = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content"))
-    return spread(src, min_partitions).mapInPandas(_parse_batches, NODE_SCHEMA)
+    return spread(src, min_partitions).mapInArrow(_parse_batches, NODE_SCHEMA)
 
 
 # ------------------------------------------------------------- relational ops
