@@ -25,6 +25,19 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 _ROWS = 5_000      # output rows handed on at once
 
 
+def _values(column: pa.Array) -> list:
+    """``to_pylist``, by way of numpy for whole numbers and texts."""
+    if pa.types.is_string(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not pa.types.is_integer(column.type):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy().tolist()
+    values = column.fill_null(0).to_numpy().astype(object)
+    values[column.is_null().to_numpy(zero_copy_only=False)] = None
+    return values.tolist()
+
+
 def _merge(rows: DataFrame, doc: str, schema: StructType, start: Callable) -> DataFrame:
     """Stream ``rows`` (doc, pre, side, post, ...) in document order through
     one handler per document: ``start(emit)`` gives ``(node, finish)``, where
@@ -43,7 +56,7 @@ def _merge(rows: DataFrame, doc: str, schema: StructType, start: Callable) -> Da
             return got
 
         for b in batches:
-            for d, *rest in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for d, *rest in zip(*map(_values, b.columns), strict=True):
                 if node is None or d != current:
                     if finish is not None:
                         finish()

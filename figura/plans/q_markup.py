@@ -136,15 +136,13 @@ def xml_corpus_scan(spark, sf_dir):
     xml = staged(conversation_xml(conv), "conversation-xml")             # read twice
     root = shared_path(spark, "xml-corpus")
     xml.select("xml").write.mode("overwrite").text(f"{root}/annotated")
-    # one file per key: cluster by key so that each key is written once
-    xml.select(F.col("fragment_id").alias("key"), "xml").repartition("key").write.mode("overwrite") \
-        .partitionBy("key").text(f"{root}/source")
+    layout = readers.write_keyed_files(xml, f"{root}/source", "fragment_id", "xml")
     frags = readers.scan_fragments(spark, f"{root}/annotated")
     nodes = staged(markup.node_table(frags.withColumnRenamed("fragment_id", "doc_id")), "fragment-nodes")
     words = _fragment_words(nodes)
     named = bucket(F.concat(F.lit("named:"), F.col("conv_id").cast("string")), UNNAMED) > 0
     wanted = conv.where(named).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-fragment01")).alias("k"))
-    src = readers.scan_keyed_files(spark, f"{root}/source", wanted, "k", readers.KEY_IN_FOLDER)
+    src = readers.scan_keyed_files(spark, f"{root}/source", wanted, "k", layout)
     source = staged(markup.node_table(src.withColumnRenamed("key", "doc_id")), "source-nodes")
     found = _fragment_words(source).select("doc_id", F.col("words_md5").alias("source_words_md5"))
     return (words.join(found, "doc_id", "left")

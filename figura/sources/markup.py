@@ -2,8 +2,9 @@
 
 The one custom Python piece: ``mapInArrow`` parses each document with the
 standard library's tolerant HTML tokenizer (tag and attribute names
-lower-cased, as an HTML parser does with XML) and emits one row per element
-and per text run:
+lower-cased, as an HTML parser does with XML; of documents with plain tags
+alone it reads each different tag once) and emits one row per element and per
+text run:
 
     doc_id, pre, post, parent, depth, tag, attrs map<string,string>,
     text (text runs only), child_elements (element children of an element),
@@ -18,10 +19,13 @@ holds more than the documents of its input split.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,25 +131,171 @@ _ARROW = pa.schema([("doc_id", pa.string()), ("pre", pa.int64()), ("post", pa.in
                     ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
                     ("child_elements", pa.int32()), ("in_leaf", pa.bool_())])
 
+# A tag that reads alike wherever it stands: plain names, values in double quotes.
+_PLAIN = re.compile(r"""/[a-zA-Z][a-zA-Z0-9:._-]*|[a-zA-Z][a-zA-Z0-9:._-]*(?: [a-zA-Z][a-zA-Z0-9:._-]*="[^"&]*")* ?/?""")
+# Elements whose content the tokenizer reads in another way.
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext svg math".split())
+START, END, CLOSED = range(3)
 
-def _frame(acc: dict[str, list]) -> pa.RecordBatch:
-    cols = acc | {"attrs": [a if a is None else list(a.items()) for a in acc["attrs"]]}
-    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _ARROW], schema=_ARROW)
+
+class _OneTag(HTMLParser):
+    """The events of one tag."""
+
+    def __init__(self, tag: str):
+        super().__init__(convert_charrefs=True)
+        self.events: list[tuple] = []
+        self.feed(tag)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        kind = CLOSED if tag in VOID else START
+        self.events.append((kind, tag, list({k: (v if v is not None else "") for k, v in attrs}.items())))
+
+    def handle_startendtag(self, tag, attrs):
+        self.events.append((CLOSED, tag, list({k: (v if v is not None else "") for k, v in attrs}.items())))
+
+    def handle_endtag(self, tag):
+        self.events.append((END, tag, None))
+
+    def handle_data(self, data):
+        self.events.append((None, data, None))
+
+
+class _Tags(dict):
+    """(kind, name, attributes) of plain tags met before, None for others."""
+
+    def __missing__(self, raw: str):
+        got = None
+        if _PLAIN.fullmatch(raw):
+            events = _OneTag(f"<{raw}>").events
+            if len(events) == 1 and events[0][0] is not None and events[0][1] not in _RAW:
+                got = events[0]
+        if len(self) >= 50_000:
+            self.clear()
+        self[raw] = got
+        return got
+
+
+class _Nodes:
+    """Nodes of several documents, a list per column. Documents of plain tags
+    are cut at their brackets, with a tag read once however often it stands;
+    any other document goes through the tokenizer whole."""
+
+    def __init__(self, tags: _Tags):
+        self.tags = tags
+        self.docs: list[str] = []
+        self.sizes: list[int] = []
+        self.post: list[int] = []
+        self.parent: list[int] = []          # -1: none
+        self.depth: list[int] = []
+        self.tag: list[str] = []
+        self.attrs: list[list | None] = []
+        self.text: list[str | None] = []
+
+    def add(self, doc_id: str, content: str) -> None:
+        before = len(self.tag)
+        if not self._plain(content):
+            for c in (self.post, self.parent, self.depth, self.tag, self.attrs, self.text):
+                del c[before:]
+            b = _TreeBuilder(doc_id)
+            b.feed(content)
+            c = b.finish()
+            self.post += c["post"]
+            self.parent += [-1 if p is None else p for p in c["parent"]]
+            self.depth += c["depth"]
+            self.tag += c["tag"]
+            self.attrs += [a if a is None else list(a.items()) for a in c["attrs"]]
+            self.text += c["text"]
+        self.docs.append(doc_id)
+        self.sizes.append(len(self.tag) - before)
+
+    def _plain(self, content: str) -> bool:
+        """Add a document's nodes as ``_TreeBuilder`` would; False at the
+        first piece that is not a plain tag and the text behind it."""
+        tags, base = self.tags, len(self.tag)
+        posts, parents, depths, names, attrs, texts = self.post, self.parent, self.depth, self.tag, self.attrs, self.text
+        stack: list[int] = []
+        open_: list[str] = []
+        of_name: dict[str, int] = {}         # open elements by name
+        top, depth, post = -1, 0, 0
+        for k, piece in enumerate(content.split("<")):
+            if k:
+                raw, close, data = piece.partition(">")
+                tag = tags[raw] if close else None
+                if tag is None:
+                    return False
+                kind, name, attributes = tag
+                if kind == END:
+                    if of_name.get(name):
+                        while True:
+                            posts[base + stack.pop()] = post
+                            post += 1
+                            was = open_.pop()
+                            of_name[was] -= 1
+                            if was == name:
+                                break
+                        depth = len(stack)
+                        top = stack[-1] if depth else -1
+                else:
+                    parents.append(top)
+                    depths.append(depth)
+                    names.append(name)
+                    attrs.append(attributes)
+                    texts.append(None)
+                    posts.append(post)
+                    if kind == START:
+                        top = len(names) - 1 - base
+                        stack.append(top)
+                        open_.append(name)
+                        of_name[name] = of_name.get(name, 0) + 1
+                        depth += 1
+                    else:
+                        post += 1
+            else:
+                data = piece
+            if data and "&" in data:
+                data = unescape(data)
+            if data:
+                parents.append(top)
+                depths.append(depth)
+                names.append(TEXT)
+                attrs.append(None)
+                texts.append(data)
+                posts.append(post)
+                post += 1
+        while stack:
+            posts[base + stack.pop()] = post
+            post += 1
+        return True
+
+    def frame(self) -> pa.RecordBatch:
+        sizes = np.array(self.sizes, np.int64)
+        base = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        n = len(base)
+        parent = np.array(self.parent, np.int64)
+        orphan, at = parent < 0, np.where(parent < 0, 0, parent + base)
+        tag = pa.array(self.tag, pa.string())
+        is_text = np.equal(np.array(self.tag, object), TEXT).astype(bool)
+        children = np.bincount(at[~orphan & ~is_text], minlength=n).astype(np.int32)
+        cols = {"doc_id": pa.array(self.docs, pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+                "pre": pa.array(np.arange(n) - base), "post": pa.array(self.post, pa.int64()), "parent": pa.array(parent, mask=orphan),
+                "depth": pa.array(self.depth, pa.int32()), "tag": tag, "attrs": pa.array(self.attrs, _ARROW.field("attrs").type),
+                "text": pa.array(self.text, pa.string()), "child_elements": pa.array(children, mask=is_text),
+                "in_leaf": pa.array(~orphan & (children[at] == 0), mask=~is_text)}
+        return pa.RecordBatch.from_arrays([cols[f.name] for f in _ARROW], schema=_ARROW)
 
 
 def _parse_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    acc: dict[str, list] = {c: [] for c in COLUMNS}
+    tags = _Tags()
+    acc = _Nodes(tags)
     for batch in it:
         for doc_id, content in zip(*batch.columns, strict=True):     # one text at a time leaves Arrow
-            b = _TreeBuilder(str(doc_id.as_py()))
-            b.feed(content.as_py() or "")
-            for c, vals in b.finish().items():
-                acc[c].extend(vals)
-            if len(acc["doc_id"]) >= NODES_PER_FRAME:
-                yield _frame(acc)
-                acc = {c: [] for c in COLUMNS}
-    if acc["doc_id"]:
-        yield _frame(acc)
+            acc.add(str(doc_id.as_py()), content.as_py() or "")
+            if len(acc.tag) >= NODES_PER_FRAME:
+                yield acc.frame()
+                acc = _Nodes(tags)
+    if acc.tag:
+        yield acc.frame()
 
 
 def node_table(docs: DataFrame, doc_id: str = "doc_id", content: str = "content",
