@@ -27,6 +27,11 @@ MAGIC = b"WAVM0001"
 BLOCK = 512
 
 
+def _narrow(top: int) -> type:
+    """The type that ids with a highest bit ``top`` are moved as."""
+    return np.uint16 if top < 16 else np.uint32
+
+
 class WaveletMatrix:
     """Access, rank and select over a sequence of ids below 2 ** planes."""
 
@@ -38,16 +43,17 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         n = len(ids)
         top = max(int(ids.max()).bit_length() if n else 1, 1) - 1
-        bits, zeros, ranks, cur = [], [], [], ids
+        kind = _narrow(top)
+        bits, zeros, ranks, cur = [], [], [], ids.astype(kind, copy=False)
         for level in range(top, -1, -1):
-            one = (cur >> level) & 1 == 1
+            one = (cur & kind(1 << level)) != 0
             packed = np.packbits(one, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8) + BLOCK // 8, np.uint8)])
             per = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
             bits.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.uint32))
-            zeros.append(int(n - one.sum()))
-            cur = np.concatenate([cur[~one], cur[one]])
+            zeros.append(n - int(np.count_nonzero(one)))
+            cur = np.concatenate([np.compress(~one, cur), np.compress(one, cur)])
         return cls(bits, zeros, ranks, n)
 
     def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -77,15 +83,16 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """Every id in order: the parting is undone plane by plane, from the last."""
-        cur = np.zeros(self.n, np.uint32)
+        kind = _narrow(self.top)
+        cur = np.zeros(self.n, kind)
         for level in range(self.top, -1, -1):
-            one = np.unpackbits(self.bits[level], count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(self.bits[level], count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
-            nxt = np.empty(self.n, np.uint32)
-            nxt[~one] = cur[:z]
-            nxt[one] = cur[z:] | np.uint32(1 << (self.top - level))
+            nxt = np.empty(self.n, kind)
+            nxt[np.flatnonzero(~one)] = cur[:z]
+            nxt[np.flatnonzero(one)] = cur[z:] | kind(1 << (self.top - level))
             cur = nxt
-        return cur
+        return cur.astype(np.uint32, copy=False)
 
     def _range(self, c: int, lo: int, hi: int) -> tuple[int, int]:
         if c >> (self.top + 1):
