@@ -29,6 +29,7 @@ from figura.llm.common import drop_staged, stage, tasks
 
 _PARTIAL = 300_000       # distinct words a task counts before it hands them on
 _CHARS = 400_000         # letters of one bitset index, if its groups allow
+_CELLS = 200_000         # 64-bit cells that queries read at once
 KEY = ["m", "a", "b", "head", "tail"]
 NEAR = "word string, n_near bigint, best_n bigint, best string"
 
@@ -156,7 +157,18 @@ class BitIndex:
 
     def one_edit(self, letters: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, word): query rows have the words' length (one letter
-        replaced) or one more (one letter deleted); words lo..hi-1 are asked."""
+        replaced) or one more (one letter deleted); words lo..hi-1 are asked.
+        Queries of large groups read many cells, so they are taken in pieces."""
+        upto = np.cumsum(np.where(hi > lo, ((hi - 1) >> 6) - (lo >> 6) + 1, 0))
+        found, i = [], 0
+        while i < len(lo):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _CELLS, "right")))
+            q, w = self._one_edit(letters[i:j], lo[i:j], hi[i:j])
+            found.append((q + i, w))
+            i = j
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+    def _one_edit(self, letters: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         longer = letters.shape[1] - self.m
         codes = self.code(letters)
         q, cell, none = self._cells(lo, hi)
